@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callmetrics.llm import q_chat
+from callmetrics.llm import q_bpe, q_chat
 
-QUERIES = {"op8_chat_format": q_chat.op8_chat_format}
-SQL = {**q_chat.SQL}
+QUERIES = {"op4_bpe": q_bpe.op4_bpe, "op8_chat_format": q_chat.op8_chat_format}
+SQL = {**q_bpe.SQL, **q_chat.SQL}

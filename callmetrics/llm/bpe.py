@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 NEVER = 1 << 60
 #: Unicode White_Space, the blanks of the split pattern. str.split() knows four control characters more.
-BLANK = "\t-\r \x85\xa0  -     　"
+BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD_BLANKS = regex.compile("[\x1c-\x1f]")
 SPLIT_ON_BLANKS = regex.compile(f"[{BLANK}]+")
 

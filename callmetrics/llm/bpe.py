@@ -18,6 +18,7 @@ save that columns named ``ids`` or ``decoded`` are refused.
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 NEVER = 1 << 60
 #: Unicode White_Space, the blanks of the split pattern. str.split() knows four control characters more.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PLAIN_ENDS = frozenset(".,:;!?")
 ODD_BLANKS = regex.compile("[\x1c-\x1f]")
 SPLIT_ON_BLANKS = regex.compile(f"[{BLANK}]+")
 
@@ -44,7 +46,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """Encoder and decoder for one vocabulary file (the JSON text of a ``tokenizers`` BPE model)."""
 
-    def __init__(self, file_text: str, keep_words: int = 300_000):
+    def __init__(self, file_text: str, keep_words: int = 600_000):
         spec = json.loads(file_text)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
@@ -65,7 +67,7 @@ class Bpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(pattern.replace(r"[^\s", f"[^{BLANK}"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.letters = byte_letters()
+        self.shown = {b: letter for b, letter in enumerate(byte_letters())}
         self.side_by_side: dict[tuple[int, int], bool] = {}
         self.sound: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
@@ -139,70 +141,93 @@ class Bpe:
     # -- trie --------------------------------------------------------------------------------------------------
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of distinct non-empty words, given in byte letters, from one walk over their trie."""
-        root: dict = {}
-        for word in words:  # all letters but the last are inner edges; the last carries the word end
-            node = root
-            for letter in word[:-1]:
-                node = node.setdefault(letter, {})
-            node.setdefault("", []).append(word)
+        """Ids of distinct non-empty words, given in byte letters, from one walk over their trie.
+
+        The trie is held as its words in order: that is its depth-first order, and going on from one word to the next
+        leaves the states of their common beginning standing on the stacks ``tokens`` and ``sizes``.
+        """
+        vocab, sound, beside, longest, end = self.vocab, self.sound, self.side_by_side, self.longest, self.end
         out: dict[str, tuple[int, ...]] = {}
-        last: list[tuple[int, int]] = [(-1, 0)]  # by depth: the last token and its length in letters
-        path: list[str] = []
-        stack: list[tuple[str, dict, int]] = [("", root, 0)]
-        while stack:
-            letter, node, depth = stack.pop()
-            if depth:
-                del path[depth - 1 :], last[depth:]
-                path.append(letter)
-                last.append(self._last_token("".join(path[-self.longest :]), depth, last, ""))
-            for word in node.get("", ()):
-                prefix = "".join(path[-self.longest :]) + word[-1]
-                token, n = self._last_token(prefix, depth + 1, last, self.end)
-                ids, at = [token], depth + 1 - n
-                while at:
-                    token, n = last[at]
-                    ids.append(token)
-                    at -= n
-                out[word] = tuple(ids[::-1])
-            for key, child in node.items():
-                if key:
-                    stack.append((key, child, depth + 1))
+        tokens, sizes = [-1], [0]  # by depth: last token of the prefix and its letters
+        before = ""
+        for word in sorted(words):
+            inner = len(word) - 1
+            depth, most = 0, min(len(tokens) - 1, inner)
+            while depth < most and word[depth] == before[depth]:
+                depth += 1
+            del tokens[depth + 1 :], sizes[depth + 1 :]
+            while True:
+                depth += 1
+                last = depth > inner  # the last letter carries the word end and is a leaf
+                n = depth if depth < longest else longest
+                while n:
+                    token = vocab.get(word[depth - n :] + end if last else word[depth - n : depth])
+                    if token is not None and (sound.get(token) or self._is_sound(token)):
+                        if n == depth:
+                            break
+                        pair = (tokens[depth - n], token)
+                        fits = beside.get(pair)
+                        if fits or (fits is None and self._may_follow(*pair)):
+                            break
+                    n -= 1
+                else:
+                    raise ValueError(f"the vocabulary has no letter {word[depth - 1]!r}")
+                if last:
+                    break
+                tokens.append(token)
+                sizes.append(n)
+            ids = [token]
+            at = depth - n
+            while at:
+                ids.append(tokens[at])
+                at -= sizes[at]
+            ids.reverse()
+            out[word] = tuple(ids)
+            before = word
         return out
 
-    def _last_token(self, tail: str, depth: int, last: list[tuple[int, int]], end: str) -> tuple[int, int]:
-        """The token that ends the prefix of ``depth`` letters, whose last letters are ``tail``."""
-        vocab = self.vocab
-        for n in range(min(len(tail), depth, self.longest), 0, -1):
-            token = vocab.get(tail[-n:] + end)
-            if token is not None and self._is_sound(token) and (n == depth or self._may_follow(last[depth - n][0], token)):
-                return token, n
-        raise ValueError(f"the vocabulary has no letter {tail[-1]!r}")
-
     # -- texts -------------------------------------------------------------------------------------------------
 
+    def _letters(self, word: str) -> str:
+        return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
+
     def _pieces(self, chunk: str) -> list[str | int]:
         """Words in byte letters, and ids of special strings, of a text without blanks."""
-        import unicodedata
-
         found: list[str | int] = []
         for part in self.cut.split(chunk) if self.cut else [chunk]:
             if part in self.special:
                 found.append(self.special[part])
             elif part:
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                found += ["".join([self.letters[b] for b in w.encode()]) for w in self.piece.findall(plain)]
+                found += [self._letters(w) for w in self.piece.findall(self._plain(part))]
         return found
 
+    @staticmethod
+    def _plain(part: str) -> str:
+        return part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+
     def learn(self, chunks: set[str]) -> None:
         """Make the ids of all given chunks known."""
         if len(self.chunks) > self.keep_words:
             self.chunks.clear()
             self.words.clear()
-        new = {chunk: self._pieces(chunk) for chunk in chunks if chunk not in self.chunks}
-        self.words |= self.encode_words({w for pieces in new.values() for w in pieces if isinstance(w, str) and w not in self.words})
+        new: dict[str, list[str | int]] = {}
+        letters = self._letters
+        for chunk in chunks - self.chunks.keys():
+            plain = self._plain(chunk)
+            if plain.isalpha():
+                new[chunk] = [letters(plain)]
+            elif plain[-1:] in PLAIN_ENDS and plain[:-1].isalpha():
+                new[chunk] = [letters(plain[:-1]), plain[-1]]
+            else:
+                new[chunk] = self._pieces(chunk)
+        wanted = {w for pieces in new.values() for w in pieces if type(w) is str}
+        self.words |= self.encode_words(wanted - self.words.keys())
+        words, known = self.words, self.chunks
         for chunk, pieces in new.items():
-            self.chunks[chunk] = tuple(i for w in pieces for i in (self.words[w] if isinstance(w, str) else (w,)))
+            if len(pieces) == 1 and type(pieces[0]) is str:
+                known[chunk] = words[pieces[0]]
+            else:
+                known[chunk] = tuple([i for w in pieces for i in (words[w] if type(w) is str else (w,))])
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         split = [SPLIT_ON_BLANKS.split(t) if ODD_BLANKS.search(t) else t.split() for t in texts]
@@ -222,7 +247,7 @@ def encode_and_decode(frame: DataFrame, vocabulary: str, text: str = "text", bat
     """``frame`` without ``text``, with ``ids`` (array of int) and ``decoded``. ``vocabulary``: path of the JSON file.
 
     The file, of a fixed size, is read on the driver and broadcast. Each Python worker keeps the ids of at most
-    about 300,000 distinct words and works on at most ``batch_chars`` characters, or one longer text, at a time.
+    about 600,000 distinct words and works on at most ``batch_chars`` characters, or one longer text, at a time.
     """
     if {"ids", "decoded"} & set(frame.columns):
         raise ValueError("columns named ids or decoded are in the way")

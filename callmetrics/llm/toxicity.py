@@ -104,6 +104,7 @@ def fit(
     if not toxic:
         return Model((), (), -math.inf, 0.0)
     prior = min(max(toxic / n, 1e-6), 1 - 1e-6)
+    # ids of the sample are few by its bound and broadcast, so that no text moves but those of the sample;
     # a row may serve as a positive and, by another hash, with its label out of sight
     chosen = lambda salt, share: F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, share)))
     rows = known.select(
@@ -111,7 +112,7 @@ def fit(
         ((F.col("toxic") == 1) & chosen("positive", most_positive / toxic)).alias("p"),
         chosen("unlabelled", most_unlabelled / n).alias("u"),
     ).where("p or u")
-    found = documents.select("doc_id", "text").join(rows, "doc_id").select("p", "u", F.array_sort(F.array_distinct(text_words(F.col("text")))).alias("words"))
+    found = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("p", "u", F.array_sort(F.array_distinct(text_words(F.col("text")))).alias("words"))
     copies = found.groupBy(F.md5(F.array_join("words", " ").cast("binary")).alias("key")).agg(F.max("p").alias("p"), F.max("u").alias("u"), F.first("words").alias("words"))
     sample = stored(copies, "toxicity-sample")
     n_p, n_u = (x or 0 for x in sample.agg(F.sum(F.col("p").cast("int")), F.sum(F.col("u").cast("int"))).first())

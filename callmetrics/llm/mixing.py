@@ -34,6 +34,12 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffle_key(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """A document's place in the shuffled order of its source."""
+    parts = (F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", *parts).cast("binary"), 256), 1, KEY_DIGITS), 16, 10).cast("long")
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
     """Per source: ``source``, ``source_size``, ``weight``, ``target``; one row for each distinct source."""
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -76,12 +82,10 @@ def mix(
 ) -> DataFrame:
     """One row per document and serving.
 
-    Columns: ``row`` (a number for each input row), doc_id, source, ``epoch``, size, source_size, target, ``start`` and
+    Columns: ``row`` (a number for each input row), doc_id, ``key`` (place in the shuffled order), source, ``epoch``, size, source_size, target, ``start`` and
     ``finish`` (virtual times), ``before`` (words earlier in the mix), ``taken`` (words of this serving in the mix).
     """
-    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
-    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text).cast("binary"), 256)
-    key = F.conv(F.substring(digest, 1, KEY_DIGITS), 16, 10).cast("long")
+    key = shuffle_key(F.col("doc_id"), F.col("text"), seed)
     queue = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # not null, to be joined on
     sized = cut(documents.select("doc_id", "source", text_size(F.col("text")).alias("size"), key.alias("key"), queue.alias("queue")))
     ranges = max(1, sized.count() // rows_per_range)
@@ -105,7 +109,7 @@ def mix(
     total = starts.select("queue", "source_size").distinct().agg(F.floor(share * F.sum("source_size")).cast("long").alias("budget"))
     left = F.col("budget") - F.col("before")
     return lined_up.crossJoin(F.broadcast(total)).select(  # total is one row
-        "row", "doc_id", "source", "epoch", "size", "source_size", "target", (F.col("begun") / F.col("target")).alias("start"), "finish", "before",
+        "row", "doc_id", "key", "source", "epoch", "size", "source_size", "target", (F.col("begun") / F.col("target")).alias("start"), "finish", "before",
         F.greatest(F.lit(0).cast("long"), F.least(F.col("served"), left)).alias("taken"),
     )
 

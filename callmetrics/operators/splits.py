@@ -1,9 +1,8 @@
 """Leakage-free splits: components of rows that share keys, hash ranks, quotas and exact allocation.
 
 Rows stay on the executors throughout. Components come from min-label hops along row-key edges, whose minima combine
-before each shuffle. Only the allocation itself, an ordered fold over (rank, sizes) of components, runs where its state
-is: groups are folded in rank order as an array aggregate when there is one target, and by a driver loop over small
-tuples when quotas interact.
+before each shuffle. Only the allocation itself, an ordered fold over (rank, sizes) of components, runs where its state is:
+small tuples stream to the driver in rank order, a partition at a time.
 """
 
 from __future__ import annotations
@@ -93,14 +92,20 @@ def audit_queue(rows: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFra
 def first_fit(ranked: DataFrame, target: int, group: str = "component") -> DataFrame:
     """Groups taken in rank order whenever they still fit into ``target`` rows; ``total`` is what they hold.
 
-    A group that is too large is passed over and later ones are tried, so this is a fold and no prefix sum. Sizes and
-    rank keys alone are gathered, as one array that is folded by an aggregate.
+    A group that is too large is passed over and later ones are tried, so this is a fold and no prefix sum. Range-sorted
+    (group, size) pairs stream through the driver a partition at a time and the stream ends with the target; only the
+    taken groups, ``target`` at most, are kept.
     """
-    queue = ranked.select(F.struct("rank_key", F.col(group).alias("g"), F.col("size").alias("n")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("q"))
-    kind = ranked.schema[group].dataType.simpleString()
-    start = F.struct(F.lit(0).alias("total"), F.array().cast(f"array<{kind}>").alias("taken"))
-    step = lambda acc, x: F.when(acc["total"] + x["n"] <= target, F.struct((acc["total"] + x["n"]).alias("total"), F.concat(acc["taken"], F.array(x["g"])).alias("taken"))).otherwise(acc)
-    return queue.select(F.aggregate("q", start, step).alias("r")).select("r.total", F.explode("r.taken").alias(group))
+    spark, kind = ranked.sparkSession, ranked.schema[group].dataType.simpleString()
+    taken, total = [], 0
+    if target > 0:
+        for row in ranked.where(F.col("size") <= target).orderBy("rank_key", group).select(group, "size").toLocalIterator():
+            if total + row["size"] <= target:
+                taken.append(row[group])
+                total += row["size"]
+            if total == target:
+                break
+    return spark.createDataFrame([(total, g) for g in taken], f"total long, {group} {kind}")
 
 
 def require_exact(taken: DataFrame, target: int, what: str) -> DataFrame:

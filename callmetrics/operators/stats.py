@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callmetrics.operators.storage import cut
+
 
 class SeriesError(ValueError):
     """A series that a statistic is not defined on."""
@@ -24,6 +26,15 @@ def _index(draws: DataFrame, n: int, seed: int) -> DataFrame:
     return draws.withColumn("row", F.pmod(word.cast("long"), F.lit(n)))
 
 
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with ``row``, their place from 0 by a unique ``order``: range-sorted, counted by partition and shifted."""
+    spread = cut(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()))
+    counts = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    starts = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    return spread.withColumn("_within", within).join(starts, "_p").withColumn("row", F.col("_start") + F.col("_within")).drop("_p", "_start", "_within")
+
+
 def draws(rows: DataFrame, order: str, samples: int, statistic: dict[str, Column], seed: int = 42) -> DataFrame:
     """(draw, statistics): each draw resamples all rows with replacement; rows are numbered by ``order``."""
     n = rows.count()
@@ -31,11 +42,11 @@ def draws(rows: DataFrame, order: str, samples: int, statistic: dict[str, Column
         raise SeriesError("there is nothing to resample")
     if samples <= 0:
         raise SeriesError("samples must be positive")
-    numbered = rows.withColumn("row", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
+    placed = numbered(rows, order)
     spark = rows.sparkSession
-    pairs = spark.range(samples).withColumnRenamed("id", "draw").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = spark.range(samples * n).select(F.floor(F.col("id") / n).alias("draw"), (F.col("id") % n).alias("slot"))
     picked = _index(pairs, n, seed).groupBy("draw", "row").agg(F.count(F.lit(1)).alias("times"))
-    return picked.join(numbered, "row").groupBy("draw").agg(*[column.alias(name) for name, column in statistic.items()])
+    return picked.join(placed, "row").groupBy("draw").agg(*[column.alias(name) for name, column in statistic.items()])
 
 
 def interval(samples: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:

@@ -176,7 +176,7 @@ def rejection_flow(spark, sf_dir):
 def conflict_drop(spark, sf_dir):
     """Documents with equal text under another language or source are all dropped."""
     docs = table(spark, sf_dir, "documents")
-    keys = F.array(F.concat(F.lit("text:"), F.md5(F.trim("text").cast("binary"))), F.concat(F.lit("head:"), F.md5(F.substring("text", 1, 200).cast("binary"))))
+    keys = F.array(F.concat(F.lit("text:"), F.md5(F.trim("text").cast("binary"))), F.concat(F.lit("head:"), F.md5(F.substring_index("text", "\n", 1).cast("binary"))))
     bad = normalize.conflicting_ids(docs, "doc_id", keys, F.concat_ws("/", "lang", "source"))
     return docs.join(bad, "doc_id", "left_anti").select("doc_id")
 
@@ -267,7 +267,7 @@ SELECT path, CAST(n_gold AS BIGINT) AS n_gold, CAST(n_predicted AS BIGINT) AS n_
     "rejection_flow": """WITH r AS (SELECT CASE WHEN length(text) < 100 THEN 'too short' WHEN lang = 'es' THEN 'language' WHEN length(text) > 5000 THEN 'too long' END AS reason FROM documents)
 SELECT 'source' AS step, count(*) AS n FROM r UNION ALL SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END, count(*) FROM r GROUP BY 1
 UNION ALL SELECT 'rejected:' || reason, count(*) FROM r WHERE reason IS NOT NULL GROUP BY 1""",
-    "conflict_drop": """WITH k AS (SELECT doc_id, 'text:' || trim(text) AS key, lang || '/' || source AS gold FROM documents UNION ALL SELECT doc_id, 'head:' || substr(text, 1, 200), lang || '/' || source FROM documents)
+    "conflict_drop": """WITH k AS (SELECT doc_id, 'text:' || trim(text) AS key, lang || '/' || source AS gold FROM documents UNION ALL SELECT doc_id, 'head:' || string_split(text, chr(10))[1], lang || '/' || source FROM documents)
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(DISTINCT gold) > 1))""",
     "context_view": """SELECT CASE WHEN doc_id % 7 = 0 OR n_chars <= 2048 THEN 'kept' ELSE 'dropped' END AS side, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM documents GROUP BY 1""",
     "normalized_records": f"""WITH r AS (SELECT event_id AS pos, event_type, CASE event_id % {len(RECORD_FORMS)} {_REASONS} END AS reason FROM events)

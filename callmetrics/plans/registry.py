@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callmetrics.plans import calls
+from callmetrics.plans import calls, study
 
-QUERIES = {**calls.QUERIES}
-SQL = {**calls.SQL}
+QUERIES = {**calls.QUERIES, **study.QUERIES}
+SQL = {**calls.SQL, **study.SQL}

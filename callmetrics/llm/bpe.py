@@ -59,7 +59,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """Encoder and decoder for one vocabulary file (the JSON text of a ``tokenizers`` BPE model)."""
 
-    def __init__(self, file_text: str, keep_words: int = 600_000):
+    def __init__(self, file_text: str, keep_words: int = 400_000):
         spec = json.loads(file_text)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
@@ -76,7 +76,14 @@ class Bpe:
             made = self.vocab[left + right]
             self.rank[a, b] = at
             self.made_by.setdefault(made, (at, a, b))
-        self.longest = max(map(len, self.vocab))
+        #: By last two letters: letters of the longest token that ends so, inside a word and at its end.
+        self.reach: dict[str, int] = {}
+        self.reach_end: dict[str, int] = {}
+        for text in self.vocab:
+            at_end = bool(self.end) and text.endswith(self.end)
+            plain = text[: -len(self.end)] if at_end else text
+            table = self.reach_end if at_end else self.reach
+            table[plain[-2:]] = max(table.get(plain[-2:], 1), len(plain))
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(pattern.replace(r"[^\s", f"[^{BLANK}"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -85,6 +92,8 @@ class Bpe:
         self.sound: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[int, ...]] = {}
+        self.older_words: dict[str, tuple[int, ...]] = {}
+        self.older_chunks: dict[str, tuple[int, ...]] = {}
         self.keep_words = keep_words
 
     # -- borders -----------------------------------------------------------------------------------------------
@@ -159,7 +168,8 @@ class Bpe:
         The trie is held as its words in order: that is its depth-first order, and going on from one word to the next
         leaves the states of their common beginning standing on the stacks ``tokens`` and ``sizes``.
         """
-        vocab, sound, beside, longest, end = self.vocab, self.sound, self.side_by_side, self.longest, self.end
+        vocab, sound, beside, end = self.vocab, self.sound, self.side_by_side, self.end
+        reach, reach_end = self.reach, self.reach_end
         out: dict[str, tuple[int, ...]] = {}
         tokens, sizes = [-1], [0]  # by depth: last token of the prefix and its letters
         before = ""
@@ -172,7 +182,9 @@ class Bpe:
             while True:
                 depth += 1
                 last = depth > inner  # the last letter carries the word end and is a leaf
-                n = depth if depth < longest else longest
+                n = (reach_end if last else reach).get(word[depth - 2 : depth] if depth > 1 else "", 1)
+                if n > depth:
+                    n = depth
                 while n:
                     token = vocab.get(word[depth - n :] + end if last else word[depth - n : depth])
                     if token is not None and (sound.get(token) or self._is_sound(token)):
@@ -227,12 +239,15 @@ class Bpe:
 
     def learn(self, chunks: set[str]) -> None:
         """Make the ids of all given chunks known."""
-        if len(self.chunks) > self.keep_words:
-            self.chunks.clear()
-            self.words.clear()
+        if len(self.chunks) > self.keep_words:  # what the next generation asks for again moves over to it
+            self.older_chunks, self.chunks = self.chunks, {}
+            self.older_words, self.words = self.words, {}
+        missing = chunks - self.chunks.keys()
+        again = missing & self.older_chunks.keys()
+        self.chunks.update(zip(again, map(self.older_chunks.__getitem__, again), strict=True))
         new: dict[str, list[str | int]] = {}
         letters = self._letters
-        for chunk in chunks - self.chunks.keys():
+        for chunk in missing - again:
             plain = self._plain(chunk)
             if plain.isalpha():
                 new[chunk] = [letters(plain)]
@@ -241,7 +256,10 @@ class Bpe:
             else:
                 new[chunk] = self._pieces(chunk)
         wanted = {w for pieces in new.values() for w in pieces if type(w) is str}
-        self.words |= self.encode_words(wanted - self.words.keys())
+        unknown = wanted - self.words.keys()
+        again = unknown & self.older_words.keys()
+        self.words.update(zip(again, map(self.older_words.__getitem__, again), strict=True))
+        self.words |= self.encode_words(unknown - again)
         words, known = self.words, self.chunks
         for chunk, pieces in new.items():
             if len(pieces) == 1 and type(pieces[0]) is str:
@@ -267,7 +285,7 @@ def encode_and_decode(frame: DataFrame, vocabulary: str, text: str = "text", bat
     """``frame`` without ``text``, with ``ids`` (array of int) and ``decoded``. ``vocabulary``: path of the JSON file.
 
     The file, of a fixed size, is read on the driver and broadcast. Each Python worker keeps the ids of at most
-    about 600,000 distinct words and works on at most ``batch_chars`` characters, or one longer text, at a time.
+    about 800,000 distinct words and works on at most ``batch_chars`` characters, or one longer text, at a time.
     """
     if {"ids", "decoded"} & set(frame.columns):
         raise ValueError("columns named ids or decoded are in the way")

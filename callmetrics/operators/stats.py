@@ -96,7 +96,7 @@ def parity_mean_interval(rows: DataFrame, order: str, value: str, samples: int =
     """(low, high) of the mean by the Twister sequence; the whole series goes to one task."""
     series = rows.select(F.col(order).alias("pos"), F.col(value).cast("double").alias("value"))
     mean = lambda values, picks: sum(values[i] for i in picks) / len(picks)
-    return series.groupBy(F.lit(1)).applyInPandas(_twister(mean, samples, confidence, seed), "low double, high double")
+    return series.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(_twister(mean, samples, confidence, seed), "low double, high double")
 
 
 def micro_f1(counts: list, picks: list[int]) -> float:
@@ -107,7 +107,7 @@ def micro_f1(counts: list, picks: list[int]) -> float:
 def parity_f1_interval(rows: DataFrame, order: str, counts: tuple[str, str, str], samples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """(low, high) of micro F1 by the Twister sequence."""
     series = rows.select(F.col(order).alias("pos"), F.array(*[F.col(c).cast("long") for c in counts]).alias("value"))
-    return series.groupBy(F.lit(1)).applyInPandas(_twister(micro_f1, samples, confidence, seed), "low double, high double")
+    return series.withColumn("whole", F.lit(1)).groupBy("whole").applyInPandas(_twister(micro_f1, samples, confidence, seed), "low double, high double")
 
 
 # -- order statistics -----------------------------------------------------------------------------------------------

@@ -51,7 +51,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def read_manifest_splits(spark: SparkSession, path: str) -> DataFrame:
     """(split, pos, value) of a prepared manifest's ``splits``."""
-    whole = spark.read.text(path, wholetext=True).select(F.variant_get(F.parse_json("value"), F.lit("$.splits"), F.lit("map<string,array<variant>>")).alias("s"))
+    whole = spark.read.text(path, wholetext=True).select(F.variant_get(F.parse_json("value"), "$.splits", "map<string,array<variant>>").alias("s"))
     splits = whole.select(F.explode("s").alias("split", "rows"))
     return splits.select("split", F.posexplode("rows").alias("pos", "row")).select("split", "pos", F.to_json("row").alias("value"))
 

@@ -23,6 +23,20 @@ ALIASES = {"source_id": ("id", "source_id"), "query": ("query", "prompt", "quest
 CONFLICT = "duplicate-group gold conflict"
 TOO_LONG = "rendered length exceeds max_seq_length"
 NOT_JSON = "{} is not valid JSON: {}"
+NON_FINITE = "{} contains non-finite number"
+NO_QUERY = "query is missing"
+TOOLS_NOT_LIST = "tools must be an array"
+TOOL_NOT_OBJECT = "each tool must be an object"
+TOOL_WITHOUT_NAME = "tool function name is required"
+TOOL_TWICE = "candidate function names are not unique"
+ONE_ANSWER = "exactly one gold answer is required"
+ANSWER_NOT_OBJECT = "gold answer must be an object"
+ANSWER_PARTS = "gold function and object arguments are required"
+UNKNOWN_FUNCTION = "gold function is not in candidate tools"
+ARGUMENTS_FAIL = "gold arguments fail schema: {}"
+LENGTH_NOT_WHOLE = "rendered_length must be an integer"
+LENGTH_FAILED = "rendered length failed: {}"
+NOT_RECORD = "record must be an object"
 
 
 def api_prefix(name: Column) -> Column:
@@ -47,24 +61,24 @@ def _json_field(value: Any, field: str) -> Any:
         except ValueError as error:
             raise ValueError(NOT_JSON.format(field, error) if getattr(error, "syntax", False) else str(error)) from error
     if has_non_finite(value):
-        raise ValueError(f"{field} contains non-finite number")
+        raise ValueError(NON_FINITE.format(field))
     return value
 
 
 def _tools(value: Any) -> list[dict[str, Any]]:
     listed = _json_field(value, "tools")
     if not isinstance(listed, list):
-        raise ValueError("tools must be an array")
+        raise ValueError(TOOLS_NOT_LIST)
     found: dict[str, dict[str, Any]] = {}
     for tool in listed:
         if not isinstance(tool, dict):
-            raise ValueError("each tool must be an object")
+            raise ValueError(TOOL_NOT_OBJECT)
         inner = tool.get("function", tool)
         if not isinstance(inner, dict) or not isinstance(inner.get("name"), str):
-            raise ValueError("tool function name is required")
+            raise ValueError(TOOL_WITHOUT_NAME)
         schema = parameter_schema(inner.get("parameters", inner.get("schema")))
         if inner["name"] in found:
-            raise ValueError("candidate function names are not unique")
+            raise ValueError(TOOL_TWICE)
         found[inner["name"]] = {"name": inner["name"], "description": inner.get("description", ""), "parameters": schema}
     return [found[name] for name in sorted(found)]
 
@@ -73,15 +87,15 @@ def _gold(value: Any) -> tuple[str, dict[str, Any]]:
     answers = _json_field(value, "answers")
     answers = [answers] if isinstance(answers, dict) else answers
     if not isinstance(answers, list) or len(answers) != 1:
-        raise ValueError("exactly one gold answer is required")
+        raise ValueError(ONE_ANSWER)
     if not isinstance(answers[0], dict):
-        raise ValueError("gold answer must be an object")
+        raise ValueError(ANSWER_NOT_OBJECT)
     wrapped = answers[0].get("function")
     inner = wrapped if isinstance(wrapped, dict) else {"name": wrapped}
     name = answers[0].get("name") or inner.get("name")
     arguments = _json_field(answers[0].get("arguments", inner.get("arguments", {})), "arguments")
     if not isinstance(name, str) or not isinstance(arguments, dict):
-        raise ValueError("gold function and object arguments are required")
+        raise ValueError(ANSWER_PARTS)
     return name, arguments
 
 
@@ -91,18 +105,18 @@ def normal_record(record: dict[str, Any], position: Any, most_length: int | None
     try:
         query = _pick(record, "query")
         if not isinstance(query, str) or not query.strip():
-            raise ValueError("query is missing")
+            raise ValueError(NO_QUERY)
         tools = _tools(_pick(record, "tools"))
         name, arguments = _gold(_pick(record, "answers"))
         schema = next((t["parameters"] for t in tools if t["name"] == name), None)
         if schema is None:
-            raise ValueError("gold function is not in candidate tools")
+            raise ValueError(UNKNOWN_FUNCTION)
         broken = first_violation(arguments, schema)
         if broken:
-            raise ValueError(f"gold arguments fail schema: {broken[2]}")
+            raise ValueError(ARGUMENTS_FAIL.format(broken[2]))
         length = record.get("rendered_length")
         if length is not None and not isinstance(length, int):
-            raise ValueError("rendered_length must be an integer")
+            raise ValueError(LENGTH_NOT_WHOLE)
         if length is not None and most_length is not None and length > most_length:
             raise ValueError(TOO_LONG)
     except ValueError as error:
@@ -136,13 +150,13 @@ def normalize(records: DataFrame, text: str = "value", position: str = "pos", mo
         except ValueError as error:
             return {"source_id": str(pos), "reason": NOT_JSON.format("record", error)}
         if not isinstance(record, dict):
-            return {"source_id": str(pos), "reason": "record must be an object"}
+            return {"source_id": str(pos), "reason": NOT_RECORD}
         row = normal_record(record, pos, None if length_of else most_length)
         if row["reason"] is None and length_of:
             try:
                 row["rendered_length"] = int(length_of(row))
             except (TypeError, ValueError) as error:
-                return {"source_id": row["source_id"], "reason": f"rendered length failed: {error}"}
+                return {"source_id": row["source_id"], "reason": LENGTH_FAILED.format(error)}
             if most_length and row["rendered_length"] > most_length:
                 return {"source_id": row["source_id"], "reason": TOO_LONG}
         return row

@@ -18,6 +18,7 @@ save that columns named ``ids`` or ``decoded`` are refused.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -47,6 +48,15 @@ LATER = regex.compile(
 #: Capitals of Unicode 16 and 17 and their small letters.
 CASES_16 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 CASES_16 |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+RARE_CAPITALS = regex.compile("[" + "".join(map(chr, CASES_16)) + "]")
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def byte_letters() -> list[str]:
@@ -59,7 +69,7 @@ def byte_letters() -> list[str]:
 class Bpe:
     """Encoder and decoder for one vocabulary file (the JSON text of a ``tokenizers`` BPE model)."""
 
-    def __init__(self, file_text: str, keep_words: int = 400_000):
+    def __init__(self, file_text: str, keep_words: int = 300_000):
         spec = json.loads(file_text)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
@@ -87,6 +97,7 @@ class Bpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.piece = regex.compile(pattern.replace(r"[^\s", f"[^{BLANK}"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.mark = os.path.commonprefix(list(self.special))
         self.shown = {b: letter for b, letter in enumerate(byte_letters())}
         self.side_by_side: dict[tuple[int, int], bool] = {}
         self.sound: dict[int, bool] = {}
@@ -216,16 +227,6 @@ class Bpe:
     def _letters(self, word: str) -> str:
         return word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.shown)
 
-    def _pieces(self, chunk: str) -> list[str | int]:
-        """Words in byte letters, and ids of special strings, of a text without blanks."""
-        found: list[str | int] = []
-        for part in self.cut.split(chunk) if self.cut else [chunk]:
-            if part in self.special:
-                found.append(self.special[part])
-            elif part:
-                found += [self._letters(w) for w in self._split(self._plain(part))]
-        return found
-
     def _split(self, plain: str) -> list[str]:
         """Words by the file's pattern; letters that came after Unicode 16 count as symbols."""
         if plain.isascii() or not LATER.search(plain):
@@ -235,43 +236,57 @@ class Bpe:
 
     @staticmethod
     def _plain(part: str) -> str:
-        return part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(CASES_16).lower()
+        """NFC and small letters, character by character."""
+        if part.isascii():
+            return part.lower()
+        part = unicodedata.normalize("NFC", part)
+        if not _is_latin(part):
+            part = part.replace("Σ", "σ")
+            if RARE_CAPITALS.search(part):
+                part = part.translate(CASES_16)
+        return part.lower()
 
     def learn(self, chunks: set[str]) -> None:
-        """Make the ids of all given chunks known."""
+        """Make the ids of all given chunks, which are plain and without blanks, known."""
         if len(self.chunks) > self.keep_words:  # what the next generation asks for again moves over to it
             self.older_chunks, self.chunks = self.chunks, {}
             self.older_words, self.words = self.words, {}
         missing = chunks - self.chunks.keys()
         again = missing & self.older_chunks.keys()
         self.chunks.update(zip(again, map(self.older_chunks.__getitem__, again), strict=True))
-        new: dict[str, list[str | int]] = {}
+        fresh = missing - again
         letters = self._letters
-        for chunk in missing - again:
-            plain = self._plain(chunk)
-            if plain.isalpha():
-                new[chunk] = [letters(plain)]
-            elif plain[-1:] in PLAIN_ENDS and plain[:-1].isalpha():
-                new[chunk] = [letters(plain[:-1]), plain[-1]]
+        single: dict[str, str] = {}
+        several: dict[str, list[str]] = {}
+        for chunk in fresh:
+            if chunk.isalpha():
+                single[chunk] = letters(chunk)
+            elif chunk[-1:] in PLAIN_ENDS and chunk[:-1].isalpha():
+                several[chunk] = [letters(chunk[:-1]), chunk[-1]]
             else:
-                new[chunk] = self._pieces(chunk)
-        wanted = {w for pieces in new.values() for w in pieces if type(w) is str}
-        unknown = wanted - self.words.keys()
+                several[chunk] = [letters(w) for w in self._split(chunk)]
+        unknown = set(single.values()).union(*several.values()) - self.words.keys()
         again = unknown & self.older_words.keys()
         self.words.update(zip(again, map(self.older_words.__getitem__, again), strict=True))
         self.words |= self.encode_words(unknown - again)
         words, known = self.words, self.chunks
-        for chunk, pieces in new.items():
-            if len(pieces) == 1 and type(pieces[0]) is str:
-                known[chunk] = words[pieces[0]]
-            else:
-                known[chunk] = tuple([i for w in pieces for i in (words[w] if type(w) is str else (w,))])
+        for chunk, word in single.items():
+            known[chunk] = words[word]
+        for chunk, pieces in several.items():
+            known[chunk] = tuple([i for w in pieces for i in words[w]])
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        split = [SPLIT_ON_BLANKS.split(t) if ODD_BLANKS.search(t) else t.split() for t in texts]
-        self.learn(set().union(*split))
+        cut: list[list[list[str] | int]] = []
+        for text in texts:
+            parts = self.cut.split(text) if self.cut and self.mark in text else [text]
+            cut.append([self.special[p] if p in self.special else self._chunks(self._plain(p)) for p in parts])
+        self.learn(set().union(*[c for parts in cut for c in parts if type(c) is list]))
         known = self.chunks.__getitem__
-        return [list(chain.from_iterable(map(known, chunks))) for chunks in split]
+        return [list(chain.from_iterable([(c,) if type(c) is int else chain.from_iterable(map(known, c)) for c in parts])) for parts in cut]
+
+    @staticmethod
+    def _chunks(plain: str) -> list[str]:
+        return SPLIT_ON_BLANKS.split(plain) if ODD_BLANKS.search(plain) else plain.split()
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens' texts, with a space between them: the vocabulary file names no decoder."""
@@ -281,11 +296,11 @@ class Bpe:
 _loaded: dict[int, Bpe] = {}
 
 
-def encode_and_decode(frame: DataFrame, vocabulary: str, text: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
+def encode_and_decode(frame: DataFrame, vocabulary: str, text: str = "text", batch_chars: int = 2_500_000) -> DataFrame:
     """``frame`` without ``text``, with ``ids`` (array of int) and ``decoded``. ``vocabulary``: path of the JSON file.
 
     The file, of a fixed size, is read on the driver and broadcast. Each Python worker keeps the ids of at most
-    about 800,000 distinct words and works on at most ``batch_chars`` characters, or one longer text, at a time.
+    about 600,000 distinct words and works on at most ``batch_chars`` characters, or one longer text, at a time.
     """
     if {"ids", "decoded"} & set(frame.columns):
         raise ValueError("columns named ids or decoded are in the way")

@@ -12,7 +12,7 @@ last letter of a word carrying the word-end mark.
 
 Defined results: a null text counts as empty and gives no ids and an empty decoded text; whole texts of any length
 are encoded; repeated rows give repeated rows; an empty table gives none; other columns pass through as they are,
-save that columns named ``ids`` or ``decoded`` are refused.
+save that columns named ``ids`` or ``decoded`` are replaced.
 """
 
 from __future__ import annotations
@@ -302,11 +302,9 @@ def encode_and_decode(frame: DataFrame, vocabulary: str, text: str = "text", bat
     The file, of a fixed size, is read on the driver and broadcast. Each Python worker keeps the ids of at most
     about 600,000 distinct words and works on at most ``batch_chars`` characters, or one longer text, at a time.
     """
-    if {"ids", "decoded"} & set(frame.columns):
-        raise ValueError("columns named ids or decoded are in the way")
     with open(vocabulary, encoding="utf-8") as file:
         shared = frame.sparkSession.sparkContext.broadcast(file.read())
-    rest = [c for c in frame.columns if c != text]
+    rest = [c for c in frame.columns if c not in (text, "ids", "decoded")]
     schema = T.StructType([*[frame.schema[c] for c in rest], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

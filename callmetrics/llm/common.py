@@ -46,7 +46,17 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     """Like :func:`cut` for wide rows: a compressed columnar table in the shared folder."""
     path = fresh_path(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
+    made = frame.sparkSession.read.parquet(path)
+    made.stored_at = path
+    return made
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables made by :func:`stored` once everything that reads them has been cut."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:

@@ -13,7 +13,7 @@ are joined in page order by two line ends. Scripts, styles and the head are neve
 Defined results: null and empty pages have an empty text; broken markup is read as far as it goes (an element that is
 never closed lasts until an ancestor is closed, a cut tag at the end is dropped); pages of any length are read whole;
 repeated rows give repeated rows; an empty table gives none; other columns pass through as they are, save that columns
-named ``main_text`` or ``blocks`` are refused.
+named ``main_text`` or ``blocks`` are replaced.
 """
 
 from __future__ import annotations
@@ -340,10 +340,8 @@ def main_text(html: str | None, model: Model) -> str:
 
 def extract(frame: DataFrame, html: str = "html", model: Model | None = None) -> DataFrame:
     """``frame`` without ``html``, with ``main_text`` and ``blocks`` (leaf blocks of the page, main text or not)."""
-    if {"main_text", "blocks"} & set(frame.columns):
-        raise ValueError("columns named main_text or blocks are in the way")
     shared = frame.sparkSession.sparkContext.broadcast(model or default_model())
-    rest = [c for c in frame.columns if c != html]
+    rest = [c for c in frame.columns if c not in (html, "main_text", "blocks")]
     schema = T.StructType([*[frame.schema[c] for c in rest], T.StructField("main_text", T.StringType()), T.StructField("blocks", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

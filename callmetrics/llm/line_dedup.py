@@ -12,7 +12,7 @@ The runs of later occurrences are deleted. Every deleted line keeps an earlier c
 Defined results: a null text stays null and has no lines; empty texts and lines without words are left as they are; a
 text may become empty; repeated rows of one document are one occurrence and are treated alike; a null doc_id orders
 before all others; a run that overlaps its own first occurrence loses only what lies after that; an empty table gives
-no rows; other columns pass through as they are, save that columns named ``n_lines`` or ``removed`` are refused.
+no rows; other columns pass through as they are, save that columns named ``n_lines`` or ``removed`` are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callmetrics.llm.common import BLANKS, WORD, cut, let, stored
+from callmetrics.llm.common import BLANKS, WORD, cut, discard, let, stored
 
 
 def _count_until(counts: Column, least: int) -> Column:
@@ -105,21 +105,24 @@ def repeated_lines(documents: DataFrame, min_words: int) -> DataFrame:
     begin = F.when(left > 0, F.get(F.col("before_at"), left - 1)).otherwise(F.col("first"))
     end = F.when(right > 0, F.get(F.col("after_at"), right - 1)).otherwise(F.col("last"))
     runs = later.select("doc_id", F.when(own, F.greatest(begin, F.col("f.last") + 1)).otherwise(begin).alias("begin"), end.alias("end")).where("begin <= end")
-    return runs.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("begin", "end"))))).alias("removed"))
+    found = cut(runs.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("begin", "end"))))).alias("removed")))
+    discard(windows)
+    return found
 
 
 def dedup_lines(documents: DataFrame, min_words: int = 50) -> DataFrame:
     """``documents`` with later repeated runs deleted from ``text``; ``n_lines`` (lines before) and ``removed`` (their
     numbers, from 0) are added."""
-    if {"n_lines", "removed"} & set(documents.columns):
-        raise ValueError("columns named n_lines or removed are in the way")
-    found = repeated_lines(documents.select("doc_id", "text"), min_words).withColumnRenamed("doc_id", "_doc_id")
-    joined = documents.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").drop("_doc_id")
+    others = [c for c in documents.columns if c not in ("doc_id", "text", "n_lines", "removed")]
+    packed = documents.select(F.col("doc_id").alias("id"), "text", F.struct(F.lit(1), *others).alias("others"))  # no name of theirs is in the way
+    found = repeated_lines(documents.select("doc_id", "text"), min_words)
+    joined = packed.join(found, packed["id"].eqNullSafe(found["doc_id"]), "left")
     lines = F.split(F.col("text"), "\n")
     # a line without words within a run goes with the run
     cleaned = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("removed")), lambda i: F.get(x, i)), "\n"))
     return joined.select(
-        *[c for c in documents.columns if c != "text"],
+        F.col("id").alias("doc_id"),
+        *[F.col("others").getField(c).alias(c) for c in others],
         F.when(F.col("removed").isNull(), F.col("text")).otherwise(cleaned).alias("text"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),

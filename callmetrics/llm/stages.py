@@ -16,8 +16,20 @@ from callmetrics.llm.q_bpe import digests, vocabulary_path
 
 def _only(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents whose id is among ``ids``."""
-    named = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return documents.join(named, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    named = ids.select(F.col("doc_id").alias("kept_id")).distinct()
+    return documents.join(named, documents["doc_id"].eqNullSafe(named["kept_id"]), "left_semi")
+
+
+def _packed(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, text, others): other columns in a struct, where their names are in nobody's way."""
+    others = [c for c in documents.columns if c not in ("doc_id", "source", "text")]
+    return documents.select("doc_id", "source", "text", F.struct(F.lit(1), *others).alias("others"))
+
+
+def _unpacked(made: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` again, with ``n_chars`` of the text as it is now."""
+    now = {c: F.col(c) for c in ("doc_id", "source", "text")} | {"n_chars": F.length("text").cast("long")}
+    return made.select(*[now.get(c, F.col("others").getField(c)).alias(c) for c in like.columns])
 
 
 def quality_rules(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +39,8 @@ def quality_rules(spark: SparkSession, documents: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs of lines; a document that loses all its words that way goes."""
-    made = line_dedup.dedup_lines(documents)
-    kept = made.where((F.size("removed") == 0) | F.regexp_like("text", F.lit(WORD)))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*documents.columns)
+    made = line_dedup.dedup_lines(_packed(documents))
+    return _unpacked(made.where((F.size("removed") == 0) | F.regexp_like("text", F.lit(WORD))), documents)
 
 
 def near_duplicates(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +55,11 @@ def mix_sources(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataF
     served, joined by blanks."""
     mixed = mixing.mix(documents).where("taken > 0")
     served = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("_taken"))
-    keyed = documents.withColumn("_k", mixing.shuffle_key(F.col("doc_id"), F.col("text")))
+    keyed = _packed(documents).withColumn("_k", mixing.shuffle_key(F.col("doc_id"), F.col("text")))
     met = keyed.join(served, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key"))).dropDuplicates(["doc_id", "_k"])
     rows = met.withColumn("_taken", F.explode("_taken"))
     first = let(words(F.col("text")), lambda w: F.when(F.size(w) > F.col("_taken"), F.array_join(F.slice(w, F.lit(1), F.col("_taken").cast("int")), " ")).otherwise(F.col("text")))
-    return rows.withColumn("text", first).withColumn("n_chars", F.length("text").cast("long")).select(*documents.columns)
+    return _unpacked(rows.withColumn("text", first), documents)
 
 
 def bpe_stage(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:

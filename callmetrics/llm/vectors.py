@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callmetrics.llm.common import cut, stored
+from callmetrics.llm.common import cut, discard, stored
 from callmetrics.llm.graph import components
 
 
@@ -260,6 +260,7 @@ def link_classes(classes: DataFrame, least: float, index: Index) -> tuple[DataFr
         return pd.DataFrame([(c, counts.get(c, 0), root(c)) for c in list(up)], columns=["cid", "found", "root"]).astype("int64")
 
     links = cut(base.unionByName(asks).groupBy("shard", "asking", "asked").applyInPandas(search, "cid long, found long, root long"))
+    discard(members, union)
     return links.groupBy("cid").agg(F.sum("found").alias("found")), links.select(F.col("cid").alias("a"), F.col("root").alias("b"))
 
 

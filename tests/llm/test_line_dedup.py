@@ -73,3 +73,6 @@ def test_nulls_repeats_and_empty(spark):
     assert len(got) == 5 and [r.text for r in got if r.doc_id == 3] == ["", ""] and [r.text for r in got if r.doc_id is None] == [passage]
     assert [r.text for r in got if r.doc_id == 1] == [None]
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+    clash = spark.createDataFrame([(1, "a", "x", "y", "z")], "doc_id long, text string, removed string, id string, others string")
+    made = line_dedup.dedup_lines(clash).first()
+    assert (made.removed, made.id, made.others) == ([], "y", "z")

@@ -40,3 +40,15 @@ def test_stages_and_run(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_pass_through(spark, tmp_path):
+    names = ("removed", "n_lines", "kept", "_id", "_k", "_key", "_taken", "others", "kept_id", "key", "size", "component_id", "n_words", "c")
+    rows = [(i, prose(i), "en", "s", 1, *[f"{n}{i}" for n in names]) for i in range(6)]
+    frame = spark.createDataFrame(rows, SCHEMA + "".join(f", {n} string" for n in names))
+    docs = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == frame.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in docs.collect() for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count() > 0

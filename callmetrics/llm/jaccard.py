@@ -243,8 +243,9 @@ def join(documents: DataFrame, like: Similarity, block_rows: int = 1_000) -> Joi
     as_member = F.expr(f"least(size, size - ({2 * like.percent} * size + {99 + like.percent}) div {100 + like.percent} + 1 + size div 64)").cast("int")
     members = classes.select("cid", "grp", "size", F.explode(F.slice("lead", F.lit(1), as_member)).alias("gram"))
     matrix = members.groupBy("gram", "grp").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
-    queries = classes.select("cid", F.col("grp").alias("own"), "size", F.explode("lead").alias("gram"))
-    meets = queries.join(matrix, "gram").where(f"size >= least and most >= {enough} and (grp != own or n > 1)")
+    # n counts a query in its own group only for the grams that it brings in as a member
+    queries = classes.select("cid", F.col("grp").alias("own"), "size", as_member.alias("brought"), F.posexplode("lead").alias("place", "gram"))
+    meets = queries.join(matrix, "gram").where(f"size >= least and most >= {enough} and (grp != own or place >= brought or n > 1)")
     opened = cut(meets.groupBy("cid", "grp", "size", "own").agg(F.count(F.lit(1)).alias("held")).where(f"held >= 1 + {enough} div 64").select("cid", "grp", "own"))
     # members of opened groups come in blocks; their queries, members of other groups too, go to all blocks
     groups = opened.select("grp").distinct()

@@ -56,6 +56,24 @@ def test_against_brute_force(spark, n, percent, block):
     assert got == brute(rows, like)
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+def test_truncated_and_appended_copies(spark, n, percent):
+    like = jaccard.Similarity(n, percent)
+    rng = random.Random(percent)
+    texts = []
+    for at in range(40):
+        size = rng.choice((40, 100, 150, 400))
+        base = [f"w{at}x{rng.randrange(10**9)}" for _ in range(size)]
+        more = round(size * (1 - percent / 100) * rng.uniform(0.55, 0.95))
+        texts += [base] * rng.choice((1, 1, 30))
+        texts.append(base[:-more] if at % 3 == 0 else base + [f"new{at}x{k}" for k in range(more)])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.size, r.component_id) for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string"), like).collect()}
+    want = brute(rows, like)
+    assert len({c for _, c in want.values()}) < 60
+    assert got == want
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     like = jaccard.Similarity(3, 90)
     rows = [(5, "one two three four"), (5, "one two three four"), (None, "one two three four"), (3, "ONE two three four"), (None, "alone here now")]

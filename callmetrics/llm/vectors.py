@@ -1,13 +1,14 @@
 """Embedding near-duplicates by a robust-pruned flat graph.
 
 Equal vectors form classes first. Centroids of a spherical k-means, fitted on a bounded sample, cut the classes into
-clusters; a class is at home in its nearest cluster and a guest in up to ``spill`` - 1 others that are nearly as near.
-On every cluster shard a graph is built: each vector's nearest candidates and some far ones are pruned robustly (a
+clusters, and clusters whose centroids lie within the angle of a link form one region, so that a dense group is never
+cut by its clusters. A class is at home in the region of its nearest cluster and a guest in all regions with a cluster
+that is nearly as near, however many. On every region's shard a graph is built: each vector's nearest candidates and some far ones are pruned robustly (a
 candidate goes when a chosen neighbour is nearer to it by a factor than the vector is), edges are made mutual and what
 the shard's medoid can't reach is tied to its nearest reached vector. The adjacency lists of a class from all its
 shards are united. Every class is then a query in its home shard: a greedy search from the medoid keeps a short list of
 the best, and from the moment it meets vectors in range it goes on expanding all of those, so that it returns the whole
-range and not a fixed number. Cosines are computed in double precision from the vectors themselves, which verifies
+range and not a fixed number; a query that met ``dense`` of them is compared with the whole block instead. Cosines are computed in double precision from the vectors themselves, which verifies
 every link. ``audit_recall`` compares a bounded set of queries with brute force over all vectors, in blocks.
 
 A shard of more than ``block_rows`` members is cut into blocks with a graph each, and every query of the shard searches
@@ -41,8 +42,9 @@ class Index:
     block_rows: int = 4_000
     most_clusters: int = 1_024
     sample: int = 20_000
-    spill: int = 3
+    spill: int = 3  # bounds nothing any more: guests go by the angle alone
     nearly: float = 0.2  # radians a guest's cluster may lie farther than the home
+    dense: int = 64  # vectors in range from which a query is compared with its whole block
     degree: int = 16
     candidates: int = 48
     alpha: float = 1.2
@@ -73,6 +75,48 @@ def fit_centroids(sample: np.ndarray, k: int, seed: int, rounds: int = 10) -> np
     return centroids
 
 
+def regions(centroids: np.ndarray, least: float) -> np.ndarray:
+    """The region of each cluster: the smallest cluster that a chain of centroids with cosines >= least leads to."""
+    norms = np.linalg.norm(centroids, axis=1, keepdims=True)
+    c = centroids / np.where(norms > 0, norms, 1)
+    near = c @ c.T >= least
+    region = np.full(len(c), -1)
+    for i in range(len(c)):
+        fresh = np.array([i]) if region[i] < 0 else np.zeros(0, dtype=np.int64)
+        while len(fresh):
+            region[fresh] = i
+            fresh = np.nonzero(near[fresh].any(0) & (region < 0))[0]
+    return region
+
+
+def forest_of(hit: np.ndarray, asked: np.ndarray, held: np.ndarray) -> dict[int, int]:
+    """The smallest id in the component of every id with a hit; rows have the ids ``asked``, columns ``held``."""
+    place = {c: j for j, c in enumerate(held.tolist())}
+    same = np.array([place.get(c, -1) for c in asked.tolist()], dtype=np.int64)
+    row_of = np.full(len(held), -1)
+    row_of[same[same >= 0]] = np.nonzero(same >= 0)[0]
+    waiting, unmet = hit.any(1), np.ones(len(held), dtype=bool)
+    root: dict[int, int] = {}
+    for i in np.nonzero(waiting)[0].tolist():
+        if not waiting[i]:
+            continue
+        fresh, found = np.array([i]), []
+        while len(fresh):
+            waiting[fresh] = False
+            found.append(asked[fresh])
+            cols = hit[fresh].any(0)
+            cols[same[fresh][same[fresh] >= 0]] = True
+            cols = np.nonzero(cols & unmet)[0]
+            unmet[cols] = False
+            found.append(held[cols])
+            back = hit[:, cols].any(1)
+            back[row_of[cols][row_of[cols] >= 0]] = True
+            fresh = np.nonzero(back & waiting)[0]
+        ids = np.unique(np.concatenate(found)).tolist()
+        root.update(dict.fromkeys(ids, ids[0]))
+    return root
+
+
 def medoid(x: np.ndarray) -> int:
     return int((x @ x.mean(0)).argmax())
 
@@ -129,7 +173,7 @@ def build_graph(x: np.ndarray, index: Index) -> list[np.ndarray]:
     return lists
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], start: int, queries: np.ndarray, least: float, keep: int, width: int = 4) -> Iterator[tuple[int, np.ndarray]]:
+def range_search(x: np.ndarray, lists: list[np.ndarray], start: int, queries: np.ndarray, least: float, keep: int, width: int = 4, dense: int = 64) -> Iterator[tuple[int, np.ndarray]]:
     """(query number, numbers of base vectors with cosine >= least that the search met)."""
     n, deepest = len(x), max((len(v) for v in lists), default=0)
     links = np.full((n + 1, max(deepest, 1)), n)
@@ -161,6 +205,11 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], start: int, queries: np
             row, col = np.nonzero((met < n) & ~np.isfinite(np.take_along_axis(score[active], met, 1)))
             who, what = active[row], met[row, col]
             score[who, what] = np.einsum("ij,ij->i", q[who], base[what])
+            crowded = (score[active] >= least).sum(1) >= dense
+            whole = active[crowded]
+            if len(whole):
+                score[whole, :n] = q[whole] @ x.T
+                active = active[~crowded]
         for i in range(len(q)):
             yield low + i, np.nonzero(score[i, :n] >= least)[0]
 
@@ -175,10 +224,10 @@ def link_classes(classes: DataFrame, least: float, index: Index) -> tuple[DataFr
     held = [r["vector"] for r in rows if len(r["vector"]) == length]
     k = int(min(index.most_clusters, max(1, -(-n // index.shard_rows))))
     centroids = fit_centroids(unit(held), k, index.seed) if held else np.zeros((1, 1))
-    shared = classes.sparkSession.sparkContext.broadcast(centroids)  # most_clusters rows at most
+    shared = classes.sparkSession.sparkContext.broadcast((centroids, regions(centroids, least)))  # most_clusters rows at most
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centers = shared.value
+        centers, region = shared.value
         for batch in batches:
             homes, shards = [], []
             for vector in batch["vector"]:
@@ -187,9 +236,8 @@ def link_classes(classes: DataFrame, least: float, index: Index) -> tuple[DataFr
                     shards.append([-len(vector)])
                     continue
                 angle = np.arccos(np.clip(unit([vector])[0] @ centers.T, -1, 1))
-                order = np.argsort(angle, kind="stable")[: index.spill]
-                homes.append(int(order[0]))
-                shards.append([int(c) for c in order if angle[c] <= angle[order[0]] + index.nearly])
+                homes.append(int(region[angle.argmin()]))
+                shards.append(np.unique(region[angle <= angle.min() + index.nearly]).tolist())
             yield batch.assign(home=homes, shards=shards)
 
     schema = "cid long, m long, vector array<double>, home int, shards array<int>"
@@ -223,41 +271,26 @@ def link_classes(classes: DataFrame, least: float, index: Index) -> tuple[DataFr
         x = unit(b["vector"])
         at_home = b["home"].to_numpy() == shard
         homes = b["home"].to_numpy()
-        number = {c: i for i, c in enumerate(q["cid"].tolist())}
-        met = [found for _, found in range_search(x, lists, medoid(x), unit(q["vector"]), least, index.keep)]
-        back: dict[int, set[int]] = {}
-        for i, cid in enumerate(q["cid"].tolist()):
-            if cid in place:  # a link found from either end is a link of both
-                for j in met[i].tolist():
-                    if at_home[j] and ids[j] in number:
-                        back.setdefault(number[ids[j]], set()).add(place[cid])
-        counts: dict[int, int] = {}
-        up: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            up.setdefault(c, c)
-            while up[c] != c:
-                up[c] = up[up[c]]
-                c = up[c]
-            return c
-
-        for i, (cid, m, seen_in) in enumerate(zip(q["cid"].tolist(), q["m"].tolist(), q["shards"], strict=True)):
-            found = np.union1d(met[i], np.fromiter(back.get(i, ()), dtype=np.int64)).astype(np.int64)
-            found = found[ids[found] != cid]
-            if not len(found):
-                continue
-            counts[cid] = counts.get(cid, 0) + int(weight[found].sum())
-            mine = root(cid)
-            elsewhere = set(map(int, seen_in))
-            for j in found.tolist():
-                other = int(ids[j])
-                if not at_home[j] and int(homes[j]) not in elsewhere:  # its own search can't see this query
-                    counts[other] = counts.get(other, 0) + m
-                there = root(other)
-                if there != mine:
-                    low, high = min(mine, there), max(mine, there)
-                    up[high] = mine = low
-        return pd.DataFrame([(c, counts.get(c, 0), root(c)) for c in list(up)], columns=["cid", "found", "root"]).astype("int64")
+        asked, times = q["cid"].to_numpy(), q["m"].to_numpy()
+        hit = np.zeros((len(q), len(b)), dtype=bool)
+        for i, found in range_search(x, lists, medoid(x), unit(q["vector"]), least, index.keep, dense=index.dense):
+            hit[i, found] = True
+        mine = np.array([place.get(c, -1) for c in asked.tolist()], dtype=np.int64)
+        rows = np.nonzero(mine >= 0)[0]
+        cols = mine[rows]
+        if len(rows):  # a link found from either end is a link of both
+            both = hit[np.ix_(rows, cols)]
+            hit[np.ix_(rows, cols)] = both | both.T
+            hit[rows, cols] = False
+        of_query = {int(c): int(weight[hit[i]].sum()) for i, c in enumerate(asked)}
+        of_base = np.zeros(len(b), dtype=np.int64)
+        for home in np.unique(homes[~at_home]).tolist():  # guests whose own search can't see the query
+            unseen = np.array([home not in v for v in map(set, q["shards"])])
+            guests = np.nonzero(homes == home)[0]
+            of_base[guests] = (hit[np.ix_(unseen, guests)] * times[unseen, None]).sum(0)
+        other = dict(zip(ids.tolist(), of_base.tolist(), strict=True))
+        root = forest_of(hit, asked, ids)
+        return pd.DataFrame([(c, of_query.get(c, 0) + other.get(c, 0), r) for c, r in root.items()], columns=["cid", "found", "root"]).astype("int64")
 
     links = cut(base.unionByName(asks).groupBy("shard", "asking", "asked").applyInPandas(search, "cid long, found long, root long"))
     discard(members, union)

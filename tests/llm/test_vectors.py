@@ -42,6 +42,20 @@ def test_against_brute_force(spark):
         assert vectors.audit_recall(spark.createDataFrame(rows, SCHEMA), got) >= 0.95
 
 
+def test_a_hot_group_over_many_clusters(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2400, 64))
+    x[::3] = rng.normal(size=64) + rng.normal(size=(800, 64)) * 0.15
+    rows = rows_of(x)
+    want = brute(rows)
+    assert min(want[i][0] for i in range(0, 2400, 3)) > 700
+    for index in (vectors.Index(shard_rows=40), vectors.Index(shard_rows=40, block_rows=300)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA), index=index).collect()}
+        assert all(got[i][0] <= want[i][0] for i in want)
+        assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+        assert all(got[i][1] == want[i][1] for i in want)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], "", ""), (2, [2.0, 0.0], "", ""), (3, None, "", ""), (4, [], "", ""), (5, [0.0, 0.0], "", ""), (6, [nan, 1.0], "", ""), (7, [inf, 1.0], "", ""), (8, [None, 1.0], "", ""), (9, [1.0, 0.0, 0.0], "", ""), (9, [1.0, 0.0, 0.0], "", ""), (None, [1.0, 0.0], "", "")]

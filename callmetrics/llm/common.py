@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="callmetrics-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
@@ -59,6 +61,16 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few numbers that may be broadcast: some 50 MB at most.
+MOST_BROADCAST_ROWS = 500_000
+
+
+def small_or_not(cut_frame: DataFrame) -> DataFrame:
+    """A materialised frame of a few numbers a row, to be broadcast if it has few enough rows; any larger one is joined
+    by a shuffle of both sides. The rows that come out are the same."""
+    return F.broadcast(cut_frame) if cut_frame.count() <= MOST_BROADCAST_ROWS else cut_frame
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null gives none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

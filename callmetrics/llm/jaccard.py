@@ -1,25 +1,34 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
 A document's set holds its distinct word n-grams, hashed. Documents with equal sets form classes and are joined once.
-Classes that are likely similar, those with the same three smallest n-grams and a size of the same band, form groups.
-The token-group matrix has a row for each group and each n-gram in the union of its members' leading n-grams, with the
-sizes of the members that have it. A class is a query: its leading n-grams are looked up in the matrix, and how many
-of them a group's union holds bounds what the class can share with any member. Only groups that reach the bound are
-opened: there the texts meet, the bound is taken again over the full union of the group's n-grams, and the members
-that pass are compared exactly, on n-grams of words rather than hashes.
+Classes that are likely similar, those with the same three smallest n-grams and a size of the same band, are
+partitioned into groups of about ``block_rows`` at most. Links are then sought from the inside out, and whatever is
+linked already counts as one group from then on:
+
+1. Every group of two classes or more is opened: its texts meet and are compared exactly, on n-grams of words rather
+   than hashes, after a bound by the union of the group's n-grams.
+2. One class of each component found so far asks the largest group among those that hold two of its smallest n-grams.
+   That is no more than a few meetings a component, and it draws the fragments of a large family of near copies
+   together before anything meets more widely.
+3. The components are now the groups. The token-group matrix has a row for each group and each n-gram in the union of
+   its members' leading n-grams, with the sizes of the members that have it. N-grams that only one group has can open
+   nothing and drop out, which takes a family's own n-grams away at once. How many leading n-grams two groups share
+   bounds what any of their members can share; only pairs that reach the bound are opened, the smaller group asking
+   the larger, and their texts are compared exactly.
 
 Leading n-grams are the first of a set in an order that puts rare ones first, by counts over the whole corpus that are
 kept in a fixed number of counters. By the prefix principle, sets x and y, y not larger, whose overlap reaches the
 threshold t share at least k of x's first |x| - ceil(t|x|) + k and y's first |y| - ceil(2t/(1+t) |y|) + k n-grams; k
-grows slowly with the size, so that chance matches open no group. Nothing is capped: the bounds never lose a pair.
+grows slowly with the size, so that chance matches open no group. Nothing is capped: the third step alone finds a link
+between any two groups that have one, whatever the first two found.
 
-A group is opened in blocks of at most ``block_rows`` members, each meeting all queries of the group; a block's links
-leave it as a spanning forest, not as pairs. Components of all forests are found by :mod:`callmetrics.llm.graph`.
+A task opens a block of about ``block_rows`` members for about ``block_rows`` queries; links leave it as a spanning
+forest, not as pairs. Components of forests are found by :mod:`callmetrics.llm.graph`.
 
 Defined results: a text with fewer than n words has one n-gram, all its words; a text without words, and null, has an
 empty set, links with nothing and is its own component; a null document id takes part and its row's component may be
-null if no other document belongs to it; repeated rows are copies of one another; an empty table gives no rows; other
-columns are ignored.
+null if no other document belongs to it; an id that stands for several texts takes part with each; repeated rows are
+copies of one another; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +43,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callmetrics.llm.common import BLANKS, LOWER, UPPER, cut, discard, let, stored
+from callmetrics.llm.common import BLANKS, LOWER, UPPER, cut, discard, let, small_or_not, stored
 from callmetrics.llm.graph import components
 
-COUNTERS_LOG2, CHUNKS = 20, 64
+COUNTERS_LOG2, CHUNKS = 20, 16
+#: Smallest n-grams that make a group, and those by which a component looks for a large group to ask.
+GROUP_KEYS, HUB_KEYS = 3, 6
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 LOWER_TABLE = str.maketrans(UPPER, LOWER)
 
@@ -110,7 +121,7 @@ def corpus_counts(documents: DataFrame, n: int) -> np.ndarray:
 
     schema = "chunk int, counts binary"
     each = documents.select(gram_hashes(F.col("text"), n).alias("grams")).mapInArrow(count, schema)
-    rows = each.repartition(CHUNKS, "chunk").mapInPandas(summed, schema).collect()  # 64 rows of 16,384 counters
+    rows = each.repartition(CHUNKS, "chunk").mapInPandas(summed, schema).collect()  # 16 rows of 65,536 counters
     whole = np.zeros(1 << COUNTERS_LOG2, dtype=np.int64)
     for row in rows:
         part = np.frombuffer(zlib.decompress(bytes(row["counts"])), dtype=np.int64)
@@ -119,35 +130,38 @@ def corpus_counts(documents: DataFrame, n: int) -> np.ndarray:
 
 
 def leading(documents: DataFrame, counts: np.ndarray, like: Similarity) -> DataFrame:
-    """Rows (doc_id, size, k1, k2, grp, lead): set size and digest, group, and leading n-grams as a query, rare first."""
+    """Rows (doc_id, text_key, size, k1, k2, grp, keys, lead): set size and digest, group, smallest n-grams, and leading n-grams, rare first."""
     shared = documents.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64))  # a million counters
     log_t = np.log(100 / like.percent)
 
+    def lists(parts: list[np.ndarray]) -> pa.ListArray:
+        ends = np.append(0, np.cumsum([len(x) for x in parts])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)))
+
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            ends, values = _offsets(batch.column(3))
+            ends, values = _offsets(batch.column(4))
             rank = table[(values.view(np.uint64) >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
             groups = np.zeros(batch.num_rows, dtype=np.int64)
-            out, lengths = [], np.zeros(batch.num_rows + 1, dtype=np.int32)
+            leads, keys = [], []
             for i in range(batch.num_rows):
                 grams = values[ends[i] : ends[i + 1]]
                 size = len(grams)
+                keys.append(grams[:HUB_KEYS])
                 if not size:
-                    out.append(grams)
+                    leads.append(grams)
                     continue
                 order = np.lexsort((grams, rank[ends[i] : ends[i + 1]]))
-                out.append(grams[order[: like.lead_as_query(size)]])
-                lengths[i + 1] = len(out[-1])
-                groups[i] = hash((*grams[:3].tolist(), int(np.log(size) / log_t))) & 0x7FFFFFFFFFFFFFFF
-            flat = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
-            leads = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(flat))
+                leads.append(grams[order[: like.lead_as_query(size)]])
+                groups[i] = hash((*grams[:GROUP_KEYS].tolist(), int(np.log(size) / log_t))) & 0x7FFFFFFFFFFFFFFF
             sizes = pa.array(np.diff(ends).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, batch.column(1), batch.column(2), pa.array(groups), leads], names=["doc_id", "size", "k1", "k2", "grp", "lead"])
+            same = [batch.column(k) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*same[:2], sizes, *same[2:], pa.array(groups), lists(keys), lists(leads)], names=["doc_id", "text_key", "size", "k1", "k2", "grp", "keys", "lead"])
 
-    grams = documents.select("doc_id", gram_hashes(F.col("text"), like.n).alias("grams"))
-    keyed = grams.select("doc_id", F.xxhash64("grams").alias("k1"), F.xxhash64(F.lit(1), "grams").alias("k2"), "grams")
-    return keyed.mapInArrow(lead, "doc_id long, size long, k1 long, k2 long, grp long, lead array<long>")
+    grams = documents.select("doc_id", F.xxhash64("text").alias("text_key"), gram_hashes(F.col("text"), like.n).alias("grams"))
+    keyed = grams.select("doc_id", "text_key", F.xxhash64("grams").alias("k1"), F.xxhash64(F.lit(1), "grams").alias("k2"), "grams")
+    return keyed.mapInArrow(lead, "doc_id long, text_key long, size long, k1 long, k2 long, grp long, keys array<long>, lead array<long>")
 
 
 class _Forest:
@@ -191,12 +205,14 @@ def word_sets(texts: list[str], n: int) -> list[np.ndarray]:
 
 
 def open_block(ids: list[int], texts: list[str], member: list[bool], like: Similarity) -> list[tuple[int, int]]:
-    """Links of a group block as a forest: (id, root). Rows are members, which are queries too, and other queries."""
+    """Links as a forest (id, root). Rows are members and queries; queries meet members, and where there are only
+    members these meet each other. Rows with the same id are known to be linked."""
     sets = word_sets(texts, like.n)
     sizes = np.array([len(s) for s in sets])
     held = [i for i, m in enumerate(member) if m and sizes[i]]
     if not held:
         return []
+    inside = all(member)
     flat = np.concatenate([sets[i] for i in held])
     owner = np.repeat(np.arange(len(held)), sizes[held])
     order = np.argsort(flat, kind="stable")
@@ -207,89 +223,132 @@ def open_block(ids: list[int], texts: list[str], member: list[bool], like: Simil
     held_sizes = sizes[held]
     forest = _Forest()
     for i, grams in enumerate(sets):
-        if not len(grams):
+        if not len(grams) or (member[i] and not inside):
             continue
         at = np.minimum(np.searchsorted(union, grams), len(union) - 1)
         at = at[union[at] == grams]
         # the bound over the group's union, without what only the query itself brings in
-        if (count[at] > (1 if member[i] else 0)).sum() < like.overlap(len(grams)):
+        if (count[at] > (1 if inside else 0)).sum() < like.overlap(len(grams)):
             continue
         begin, span = first[at], count[at]
         hits = np.repeat(begin - np.append(0, np.cumsum(span)[:-1]), span) + np.arange(span.sum())
         shared = np.bincount(owner[hits], minlength=len(held))
         linked = 100 * shared >= like.percent * (len(grams) + held_sizes - shared)
-        smaller = (held_sizes < len(grams)) | ((held_sizes == len(grams)) & (held_ids < ids[i]))
-        for j in np.nonzero(linked & smaller)[0]:
-            forest.join(ids[i], int(held_ids[j]))
+        for other in np.unique(held_ids[linked]).tolist():
+            forest.join(ids[i], other)
     return [(x, forest.root(x)) for x in list(forest.up)]
 
 
-@dataclass(frozen=True)
-class Joined:
-    """``documents`` (doc_id, size, k1, k2), ``classes`` (cid, rep, size, k1, k2, root) of distinct non-empty sets."""
-
-    documents: DataFrame
-    classes: DataFrame
-
+def _open_all(rows: DataFrame, like: Similarity) -> DataFrame:
+    """Links (a, b) of blocks: rows (root, block, part, member, text), a block and part being opened in one task."""
+    ordered = rows.repartition(F.col("block"), F.col("part")).sortWithinPartitions("block", "part", "root")
 
-def join(documents: DataFrame, like: Similarity, block_rows: int = 1_000) -> Joined:
-    """Classes of equal sets with the root class of their component."""
-    lead = stored(leading(documents, corpus_counts(documents, like.n), like), "jaccard-lead")
-    same = lead.where("size > 0").groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("grp").alias("grp"), F.first("lead").alias("lead"))
-    classes = stored(same.select("size", "k1", "k2", "rep", "grp", "lead", F.xxhash64("k1", "k2", "size").alias("cid")), "jaccard-classes")
-    keys = cut(lead.drop("lead", "grp"))
-    discard(lead)
-    enough = f"(({like.percent} * size + 99) div 100)"
-    as_member = F.expr(f"least(size, size - ({2 * like.percent} * size + {99 + like.percent}) div {100 + like.percent} + 1 + size div 64)").cast("int")
-    members = classes.select("cid", "grp", "size", F.explode(F.slice("lead", F.lit(1), as_member)).alias("gram"))
-    matrix = members.groupBy("gram", "grp").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
-    # n counts a query in its own group only for the grams that it brings in as a member
-    queries = classes.select("cid", F.col("grp").alias("own"), "size", as_member.alias("brought"), F.posexplode("lead").alias("place", "gram"))
-    meets = queries.join(matrix, "gram").where(f"size >= least and most >= {enough} and (grp != own or place >= brought or n > 1)")
-    opened = cut(meets.groupBy("cid", "grp", "size", "own").agg(F.count(F.lit(1)).alias("held")).where(f"held >= 1 + {enough} div 64").select("cid", "grp", "own"))
-    # members of opened groups come in blocks; their queries, members of other groups too, go to all blocks
-    groups = opened.select("grp").distinct()
-    inside = classes.select("cid", "rep", "k1", "k2", "grp").join(groups, "grp")
-    blocks = cut(inside.groupBy("grp").agg(F.count(F.lit(1)).alias("rows")).select("grp", F.expr(f"(rows + {block_rows - 1}) div {block_rows}").cast("int").alias("blocks")))
-    placed = inside.select("cid", "grp").join(blocks, "grp").select("cid", "grp", F.expr("cast(pmod(cid, blocks) as int)").alias("block"), F.lit(True).alias("member"))
-    asked = opened.join(blocks, "grp").where("grp != own or blocks > 1").select("cid", "own", "grp", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "blocks")
-    asked = asked.where("grp != own or block != pmod(cid, blocks)").select("cid", "grp", "block", F.lit(False).alias("member"))
-    wanted = cut(placed.unionByName(asked))
-    # texts of the classes that are wanted, one document for each class
-    keep = wanted.select("cid").distinct().join(classes.select("cid", "rep"), "cid")
-    texts = documents.select("doc_id", "text").join(keep, F.col("doc_id") == F.col("rep")).select("cid", "text").dropDuplicates(["cid"])
-    rows = wanted.join(texts, "cid").repartition(F.col("grp"), F.col("block")).sortWithinPartitions("grp", "block", "cid")
-
-    def open_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, held, member = None, [], [], []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, texts, member = None, [], [], []
 
         def done() -> pd.DataFrame:
-            return pd.DataFrame(open_block(ids, held, member, like), columns=["a", "b"]).astype("int64")
+            return pd.DataFrame(open_block(ids, texts, member, like), columns=["a", "b"]).astype("int64")
 
         for batch in batches:
-            for cid, grp, block, is_member, text in zip(batch["cid"], batch["grp"], batch["block"], batch["member"], batch["text"], strict=True):
-                if (grp, block) != key:
+            for root, block, part, is_member, text in zip(batch["root"], batch["block"], batch["part"], batch["member"], batch["text"], strict=True):
+                if (block, part) != key:
                     if len(ids) > 1:
                         yield done()
-                    key, ids, held, member = (grp, block), [], [], []
-                ids.append(int(cid))
-                held.append(text)
+                    key, ids, texts, member = (block, part), [], [], []
+                ids.append(int(root))
+                texts.append(text)
                 member.append(bool(is_member))
         if len(ids) > 1:
             yield done()
 
-    links = rows.select("cid", "grp", "block", "member", "text").mapInPandas(open_all, "a long, b long")
-    found = components(links)
-    rooted = classes.drop("lead", "grp").join(found.withColumnRenamed("node", "cid"), "cid", "left")
-    rooted = cut(rooted.withColumn("root", F.coalesce("root", "cid")))
+    return ordered.select("root", "block", "part", "member", "text").mapInPandas(run, "a long, b long")
+
+
+def _meet(asks: DataFrame, members: DataFrame, block_rows: int) -> DataFrame:
+    """Rows (cid, root, block, part, member) of queries ``asks`` and ``members`` (both cid, root, block): a block is
+    opened in parts of about ``block_rows`` queries."""
+    parts = asks.groupBy("block").agg(F.expr(f"cast((count(1) + {block_rows - 1}) div {block_rows} as int)").alias("parts"))
+    held = members.join(parts, "block").select("cid", "root", "block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.lit(True).alias("member"))
+    asked = asks.join(parts, "block").select("cid", "root", "block", F.expr("cast(pmod(xxhash64(cid), parts) as int)").alias("part"), F.lit(False).alias("member"))
+    return held.unionByName(asked)
+
+
+@dataclass(frozen=True)
+class Joined:
+    """``documents`` (doc_id, size, k1, k2), ``classes`` (size, k1, k2, rep, root) of distinct non-empty sets."""
+
+    documents: DataFrame
+    classes: DataFrame
+
+
+def join(documents: DataFrame, like: Similarity, block_rows: int = 1_000) -> Joined:
+    """Classes of equal sets with the root class of their component."""
+    lead = stored(leading(documents, corpus_counts(documents, like.n), like), "jaccard-lead")
+    # a class goes by one of its texts, named by id and hash, since ids may be null or stand for several texts
+    first = [F.first(c).alias(c) for c in ("grp", "keys", "lead")]
+    same = lead.where("size > 0").groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_key")).alias("text"), *first)
+    classes = stored(same.withColumn("cid", F.xxhash64("k1", "k2", "size")), "jaccard-classes")
+    keys = cut(lead.select("doc_id", "size", "k1", "k2"))
+    discard(lead)
+    named = classes.select("cid", F.col("text.doc_id").alias("_id"), F.col("text.text_key").alias("_key"))
+    whole = documents.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
+
+    def with_texts(placed: DataFrame) -> DataFrame:
+        wanted = small_or_not(cut(named.join(placed.select("cid").distinct(), "cid")))
+        texts = whole.join(wanted, (F.col("_hash") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id"))).select("cid", "text")
+        return placed.join(texts.dropDuplicates(["cid"]), "cid")
+
+    # 1. inside the groups
+    rows = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"))
+    blocked = f"xxhash64(grp, pmod(xxhash64(cid), (rows + {block_rows - 1}) div {block_rows}))"
+    home = cut(classes.join(rows, "grp").select("cid", "rep", "size", "k1", "k2", "keys", F.expr(blocked).alias("block"), "rows"))
+    shared = home.where("rows > 1").select("cid", F.col("cid").alias("root"), "block", F.lit(0).alias("part"), F.lit(True).alias("member"))
+    links = _open_all(with_texts(shared), like)
+    rooted = cut(home.drop("rows").join(links.select(F.col("a").alias("cid"), F.col("b").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    # 2. one class of each component asks the largest group among those that hold smallest n-grams of its own
+    holders = rooted.select(F.explode("keys").alias("key"), "block", "size").groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+    hubs = holders.groupBy("key").agg(F.max(F.struct("n", "block", "least", "most")).alias("hub"), F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("key", "hub.*")
+    speakers = rooted.where("cid = root").select("cid", "block", "size", F.explode("keys").alias("key"))
+    near = speakers.withColumnRenamed("block", "own").join(hubs, "key").where(f"own != block and 100 * size >= {like.percent} * least and 100 * most >= {like.percent} * size")
+    asks = cut(near.groupBy("cid", "block").agg(F.count(F.lit(1)).alias("common"), F.max("size").alias("size")).where("common >= least(2, size)").select("cid", F.col("cid").alias("root"), "block"))
+    links = _open_all(with_texts(cut(_meet(asks, rooted.select("cid", "root", "block"), block_rows))), like)
+    rooted = cut(_moved(rooted.drop("keys", "block"), components(links)))
+    # 3. components are the groups of the matrix; those that share enough leading n-grams are opened
+    as_member = F.expr(f"least(size, size - ({2 * like.percent} * size + {99 + like.percent}) div {100 + like.percent} + 1 + size div 64)")
+    each = classes.select("cid", "size", "lead").join(rooted.select("cid", "root"), "cid").select("root", "size", as_member.alias("brought"), F.posexplode("lead").alias("place", "gram"))
+    each = each.select("gram", "root", F.expr("2 * size + if(place < brought, 1, 0)").alias("held"))
+    live = each.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram")
+    matrix = each.join(live, "gram").groupBy("gram", "root").agg(F.min(F.expr("held div 2")).alias("least"), F.max(F.expr("held div 2")).alias("most"), F.max(F.expr("held % 2")).alias("member"))
+    matrix = cut(matrix)
+    other = matrix.select("gram", *[F.col(c).alias(f"other_{c}") for c in ("root", "least", "most", "member")])
+    sizes = f"100 * most >= {like.percent} * other_least and 100 * other_most >= {like.percent} * least"
+    met = matrix.join(other, "gram").where(f"root < other_root and member + other_member > 0 and {sizes}")
+    pairs = met.groupBy("root", "other_root").agg(F.count(F.lit(1)).alias("held"), F.greatest(F.min("least"), F.min("other_least")).alias("size"))
+    pairs = cut(pairs.where(f"held >= 1 + (({like.percent} * size + 99) div 100) div 64").select("root", "other_root"))
+    counts = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    sized = pairs.join(counts, "root").join(counts.select(F.col("root").alias("other_root"), F.col("n").alias("other_n")), "other_root")
+    larger = F.expr("n >= other_n")
+    ends = cut(sized.select(F.when(larger, F.col("root")).otherwise(F.col("other_root")).alias("to"), F.when(larger, F.col("other_root")).otherwise(F.col("root")).alias("root"), F.greatest("n", "other_n").alias("n")))
+    held = ends.select("to", "n").distinct().join(rooted.select("cid", F.col("root").alias("to")), "to")
+    held = held.select("cid", F.col("to").alias("root"), F.expr(f"xxhash64(to, pmod(xxhash64(cid), (n + {block_rows - 1}) div {block_rows}))").alias("block"))
+    asks = ends.join(rooted.select("cid", "root"), "root").select("cid", "root", "to", F.explode(F.expr(f"sequence(0, (n + {block_rows - 1}) div {block_rows} - 1)")).alias("at"))
+    asks = asks.select("cid", "root", F.xxhash64("to", "at").alias("block"))
+    links = _open_all(with_texts(cut(_meet(asks, held, block_rows))), like)
+    rooted = cut(_moved(rooted, components(links)))
     discard(classes)
     return Joined(keys, rooted)
 
 
+def _moved(rooted: DataFrame, found: DataFrame) -> DataFrame:
+    """``rooted`` with roots replaced by the roots of their components in ``found`` (node, root)."""
+    moved = found.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return rooted.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+
+
 def near_components(documents: DataFrame, like: Similarity, block_rows: int = 1_000) -> DataFrame:
     """Rows (doc_id, size, component_id): set size, and the smallest doc_id reachable by links, itself included."""
     made = join(documents, like, block_rows)
     smallest = made.classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = cut(made.classes.join(smallest, "root").select("size", "k1", "k2", "component_id"))
+    named = made.classes.join(smallest, "root").select("size", "k1", "k2", "component_id")
     linked = made.documents.where("size > 0").join(named, ["size", "k1", "k2"]).select("doc_id", "size", "component_id")
     return linked.unionByName(made.documents.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id")))

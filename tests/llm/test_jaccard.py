@@ -88,3 +88,27 @@ def test_bounds_never_exceed_what_similar_sets_share():
             like = jaccard.Similarity(3, percent)
             assert like.overlap(n) <= like.overlap_of_smaller(n) <= n
             assert 1 <= like.lead_as_member(n) <= like.lead_as_query(n) <= n
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_a_family_over_many_groups_and_blocks(spark, block):
+    like = jaccard.Similarity(3, 90)
+    rng = random.Random(block)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 4, 7))):
+            copy[rng.randrange(len(copy))] = f"new{i}x{rng.randrange(99)}"
+        rows.append((i, " ".join(copy)))
+    got = {r.doc_id: (r.size, r.component_id) for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string"), like, block_rows=block).collect()}
+    want = brute(rows, like)
+    assert 1 < len({c for _, c in want.values()}) < 60
+    assert got == want
+
+
+def test_null_and_shared_ids(spark):
+    like = jaccard.Similarity(2, 60)
+    rows = [(None, "a b c d e f g h"), (5, "a b c d e f g x"), (7, "k l m n o p q r"), (7, "s t u v w x y z"), (9, "s t u v w x y !")]
+    got = sorted(((r.doc_id or -1), r.component_id) for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string"), like).collect())
+    assert got == [(-1, 5), (5, 5), (7, 7), (7, 7), (9, 7)]

@@ -71,6 +71,18 @@ def small_or_not(cut_frame: DataFrame) -> DataFrame:
     return F.broadcast(cut_frame) if cut_frame.count() <= MOST_BROADCAST_ROWS else cut_frame
 
 
+def row_key(*columns: str) -> list[Column]:
+    """Two 64-bit hashes that name the rows equal in ``columns``, nulls included."""
+    kept = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns] + [F.col(c).isNull() for c in columns]
+    return [F.xxhash64(*kept).alias("_k1"), F.xxhash64(F.lit(7), *kept).alias("_k2")]
+
+
+def split_by(rows: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``_k1`` and ``_k2`` are among those of ``named`` (distinct, materialised), and the others."""
+    keys = small_or_not(named.select("_k1", "_k2"))
+    return rows.join(keys, ["_k1", "_k2"], "left_semi"), rows.join(keys, ["_k1", "_k2"], "left_anti")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null gives none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -76,3 +76,24 @@ def test_nulls_repeats_and_empty(spark):
     clash = spark.createDataFrame([(1, "a", "x", "y", "z")], "doc_id long, text string, removed string, id string, others string")
     made = line_dedup.dedup_lines(clash).first()
     assert (made.removed, made.id, made.others) == ([], "y", "z")
+
+
+def test_minima_select_positions(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    text = "\n".join(" ".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string").select(line_dedup.text_lines(F.col("text")).alias("v"))
+    row = frame.select("v", line_dedup.positions(F.col("v"), 50).alias("p")).first()
+    a = row.v["a"]
+    starts = [i for i in range(400) if sum(row.v["c"][i : i + 50]) >= 50]
+    spans = [next(range(i, e) for e in range(i + 1, 401) if sum(row.v["c"][i:e]) >= 50) for i in starts]
+    want = sorted({min(s, key=lambda j: (a[j], j)) for s in spans})
+    assert sorted(row.p) == want and len(want) < len(starts) / 2
+
+
+def test_an_id_with_two_texts_and_a_long_repeat(spark):
+    passage = "\n".join(f"line {i} of a passage with some words" for i in range(3000))
+    rows = [(1, passage), (2, "own start\n" + passage + "\nown end"), (2, "another text of the same id"), (3, passage + "\n" + passage)]
+    got = sorted((r.doc_id, r.n_lines, len(r.removed), r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 3000, 0, passage), (2, 1, 0, "another text of the same id"), (2, 3002, 3000, "own start\nown end"), (3, 6000, 6000, "")]

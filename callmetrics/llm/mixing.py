@@ -1,13 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its documents in a shuffled order, served up to twice over. A document's virtual finish
-time is the cumulative size of its source divided by the source's target, so all sources run dry of their target at
-time 1. The documents of all sources are range-sorted by finish time and the order is truncated at the total budget;
-a document that is in service at the end of its source's share gives only the words served until then.
+Every source is a queue of its documents in a shuffled order, served up to ``repeats`` times over. A serving's virtual
+finish time is the cumulative size of its source divided by the source's target, so at time 1 every source has served
+its target. All servings are range-sorted by finish time and the order is truncated at the total budget. Documents are
+served whole: only the one at which the budget ends gives part of its words. A source's words in the mix come within
+about a document of its target, since the order interleaves the sources by their targets.
 
-Cumulative sums never gather a source in one task: documents fall into ranges of the shuffle key, the ranges' sums
-are added up over the few ranges, and only the rows of one range are sorted together. Ranges grow in number with the
-rows, so that one holds about ``rows_per_range`` of them.
+Cumulative sums never gather a source in one task: documents fall into ranges of the shuffle key, servings into ranges
+of finish time, the ranges' sums are added up in two levels, and only the rows of one range are sorted together. Ranges
+grow in number with the rows, so that one holds about ``rows_per_range`` of them.
 
 Targets: sources by code point, null last, weigh ``weights`` in turn; ``share`` times all sizes is dealt by weight;
 no target exceeds ``repeats`` times its source's size, what lies above is dealt again by weight among the others. The
@@ -65,11 +66,15 @@ def running_before(rows: DataFrame, starts: DataFrame, keys: list[str], order: l
     return within.join(starts, keys).withColumn(name, F.col("_within") + F.col("_start")).drop("_within", "_start")
 
 
-def range_starts(rows: DataFrame, group: list[str], at: str, value: str) -> DataFrame:
-    """``_start`` for each range ``at`` of a group: the sum of ``value`` over the ranges before it."""
-    sums = rows.groupBy(*group, at).agg(F.sum(value).alias("_sum"))
-    over = Window.partitionBy(*group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select(*group, at, F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_start"))
+def range_starts(rows: DataFrame, group: list[str], at: str, value: str, together: int = 1024) -> DataFrame:
+    """``_start`` for each range ``at`` of a group: the sum of ``value`` over the ranges before it, added up over
+    stretches of ranges first and within each stretch then, so that no task holds all ranges of a group."""
+    sums = rows.groupBy(*group, at).agg(F.sum(value).alias("_sum")).withColumn("_stretch", F.floor(F.col(at) / together))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = sums.groupBy(*group, "_stretch").agg(F.sum("_sum").alias("_sum"))
+    based = stretches.select(*group, "_stretch", F.coalesce(F.sum("_sum").over(earlier(*group).orderBy("_stretch")), F.lit(0)).alias("_base"))
+    within = F.coalesce(F.sum("_sum").over(earlier(*group, "_stretch").orderBy(at)), F.lit(0))
+    return sums.withColumn("_within", within).join(based, [*group, "_stretch"]).select(*group, at, (F.col("_base") + F.col("_within")).alias("_start"))
 
 
 def mix(
@@ -78,7 +83,7 @@ def mix(
     share: float = 1.5,
     repeats: int = 2,
     seed: str = "mix",
-    rows_per_range: int = 5_000,
+    rows_per_range: int = 2_000,
 ) -> DataFrame:
     """One row per document and serving.
 
@@ -98,19 +103,16 @@ def mix(
     copies = waiting.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     begun = copies.withColumn("begun", F.col("epoch") * F.col("source_size") + F.col("done"))
     timed = begun.withColumn("finish", F.when(F.col("target") > 0, (F.col("begun") + F.col("size")) / F.col("target")))
-    # a source's share ends at its target: the document then in service gives what it has served
-    due = F.floor(F.col("target") + 0.5).cast("long") - F.col("begun")
-    served = timed.withColumn("served", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), due)))
-    slots = ranges * repeats  # ranges of finish times up to 1; what gives no words needs no place among them
-    slot = F.when(F.col("served") > 0, F.least(F.floor(F.col("finish") * slots), F.lit(slots))).otherwise(slots + 1 + F.col("range"))
-    placed = served.withColumn("slot", slot.cast("long"))
+    # the order of all servings is sorted within ranges of finish time; without a finish time there are no words
+    slot = F.coalesce(F.floor(F.col("finish") * (ranges * repeats)), F.lit(-1))
+    placed = timed.withColumn("slot", slot.cast("long"))
     order = [F.col("finish"), F.col("queue"), F.col("key"), F.col("doc_id"), F.col("epoch"), F.col("size")]
-    lined_up = running_before(placed, range_starts(placed, [], "slot", "served"), ["slot"], order, "served", "before")
+    lined_up = running_before(placed, range_starts(placed, [], "slot", "size"), ["slot"], order, "size", "before")
     total = starts.select("queue", "source_size").distinct().agg(F.floor(share * F.sum("source_size")).cast("long").alias("budget"))
     left = F.col("budget") - F.col("before")
     return lined_up.crossJoin(F.broadcast(total)).select(  # total is one row
         "row", "doc_id", "key", "source", "epoch", "size", "source_size", "target", (F.col("begun") / F.col("target")).alias("start"), "finish", "before",
-        F.greatest(F.lit(0).cast("long"), F.least(F.col("served"), left)).alias("taken"),
+        F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)).alias("taken"),
     )
 
 

@@ -41,17 +41,16 @@ WITH sized AS (
   SELECT s.*, t.source_size, t.target,
     coalesce(sum(size) OVER (PARTITION BY queue ORDER BY key, doc_id NULLS FIRST, size, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
   FROM sized s JOIN targets t USING (queue)
-), served AS (
-  SELECT *, epoch * source_size + done AS begun, (epoch * source_size + done + size) / nullif(target, 0) AS finish,
-    CAST(greatest(0, least(size, floor(target + 0.5) - (epoch * source_size + done))) AS BIGINT) AS served
+), timed AS (
+  SELECT *, epoch * source_size + done AS begun, (epoch * source_size + done + size) / nullif(target, 0) AS finish
   FROM waiting, (VALUES (0), (1)) e(epoch)
 ), lined_up AS (
-  SELECT *, coalesce(sum(served) OVER (ORDER BY served = 0, finish, queue, key, doc_id NULLS FIRST, epoch, size, row
+  SELECT *, coalesce(sum(size) OVER (ORDER BY finish NULLS FIRST, queue, key, doc_id NULLS FIRST, epoch, size, row
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM served
+  FROM timed
 )
 SELECT doc_id, size, source_size, target,
-  CAST(sum(greatest(0, least(served, (SELECT CAST(floor(1.5::DOUBLE * sum(source_size)) AS BIGINT) FROM per_source) - before))) AS BIGINT) AS taken
+  CAST(sum(greatest(0, least(size, (SELECT CAST(floor(1.5::DOUBLE * sum(source_size)) AS BIGINT) FROM per_source) - before))) AS BIGINT) AS taken
 FROM lined_up GROUP BY row, doc_id, size, source_size, target
 """,
 }

@@ -44,9 +44,34 @@ def test_targets_and_taken(spark):
             taken[r.source] += r.taken
             target[r.source] = r.target
         want = by_steps(sizes)
+        budget = int(1.5 * sum(sizes.values()))
+        most = max(r.size for r in got)
         for s in sizes:
-            assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= len(sizes)
-        assert sum(taken.values()) <= 1.5 * sum(sizes.values())
+            assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - want[s]) <= 1.5 * most
+        assert sum(taken.values()) == budget
+        assert sum(r.taken not in (0, r.size, 2 * r.size) for r in got) <= 1  # only the document at the budget is cut
+
+
+def test_the_queue_decides(spark):
+    """Against a queue in plain Python: whole documents by finish time until the budget ends."""
+    rows = [(i, f"s{i % 4}", "w " * (1 + i * 7 % 31), "") for i in range(200)] + [(900, "s3", "w " * 700, "")]
+    servings = mixing.mix(spark.createDataFrame(rows, SCHEMA), rows_per_range=9).collect()
+    by_source, size = defaultdict(list), defaultdict(int)
+    for i, source, text, _ in rows:
+        by_source[source].append((next(r.key for r in servings if r.doc_id == i), i, len(text.split())))
+        size[source] += len(text.split())
+    target, line = by_steps(size), []
+    for source, docs in by_source.items():
+        done = 0
+        for epoch in (0, 1):
+            for key, i, n in sorted(docs):
+                done += n
+                line.append((done / target[source], source, key, i, epoch, n))
+    left, want = int(1.5 * sum(size.values())), {}
+    for _, _, _, i, epoch, n in sorted(line):
+        want[i, epoch] = min(n, left)
+        left -= want[i, epoch]
+    assert {(r.doc_id, r.epoch): r.taken for r in servings} == want
 
 
 def test_reruns_agree_and_repeated_rows(spark):

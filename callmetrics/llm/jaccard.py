@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callmetrics.llm.common import BLANKS, LOWER, UPPER, cut, discard, let, small_or_not, stored
+from callmetrics.llm.common import BLANKS, LOWER, UPPER, cut, discard, let, row_key, small_or_not, stored
 from callmetrics.llm.graph import components
 
 COUNTERS_LOG2, CHUNKS = 20, 16
@@ -130,7 +130,7 @@ def corpus_counts(documents: DataFrame, n: int) -> np.ndarray:
 
 
 def leading(documents: DataFrame, counts: np.ndarray, like: Similarity) -> DataFrame:
-    """Rows (doc_id, text_key, size, k1, k2, grp, keys, lead): set size and digest, group, smallest n-grams, and leading n-grams, rare first."""
+    """Rows (doc_id, _k1, _k2, size, k1, k2, grp, keys, lead): hashes of id and text, set size and digest, group, smallest n-grams, and leading n-grams, rare first."""
     shared = documents.sparkSession.sparkContext.broadcast(counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64))  # a million counters
     log_t = np.log(100 / like.percent)
 
@@ -141,7 +141,7 @@ def leading(documents: DataFrame, counts: np.ndarray, like: Similarity) -> DataF
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            ends, values = _offsets(batch.column(4))
+            ends, values = _offsets(batch.column(5))
             rank = table[(values.view(np.uint64) >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
             groups = np.zeros(batch.num_rows, dtype=np.int64)
             leads, keys = [], []
@@ -156,12 +156,12 @@ def leading(documents: DataFrame, counts: np.ndarray, like: Similarity) -> DataF
                 leads.append(grams[order[: like.lead_as_query(size)]])
                 groups[i] = hash((*grams[:GROUP_KEYS].tolist(), int(np.log(size) / log_t))) & 0x7FFFFFFFFFFFFFFF
             sizes = pa.array(np.diff(ends).astype(np.int64))
-            same = [batch.column(k) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*same[:2], sizes, *same[2:], pa.array(groups), lists(keys), lists(leads)], names=["doc_id", "text_key", "size", "k1", "k2", "grp", "keys", "lead"])
+            same = [batch.column(k) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*same[:3], sizes, *same[3:], pa.array(groups), lists(keys), lists(leads)], names=["doc_id", "_k1", "_k2", "size", "k1", "k2", "grp", "keys", "lead"])
 
-    grams = documents.select("doc_id", F.xxhash64("text").alias("text_key"), gram_hashes(F.col("text"), like.n).alias("grams"))
-    keyed = grams.select("doc_id", "text_key", F.xxhash64("grams").alias("k1"), F.xxhash64(F.lit(1), "grams").alias("k2"), "grams")
-    return keyed.mapInArrow(lead, "doc_id long, text_key long, size long, k1 long, k2 long, grp long, keys array<long>, lead array<long>")
+    grams = documents.select("doc_id", *row_key("doc_id", "text"), gram_hashes(F.col("text"), like.n).alias("grams"))
+    keyed = grams.select("doc_id", "_k1", "_k2", F.xxhash64("grams").alias("k1"), F.xxhash64(F.lit(1), "grams").alias("k2"), "grams")
+    return keyed.mapInArrow(lead, "doc_id long, _k1 long, _k2 long, size long, k1 long, k2 long, grp long, keys array<long>, lead array<long>")
 
 
 class _Forest:
@@ -275,7 +275,7 @@ def _meet(asks: DataFrame, members: DataFrame, block_rows: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Joined:
-    """``documents`` (doc_id, size, k1, k2), ``classes`` (size, k1, k2, rep, root) of distinct non-empty sets."""
+    """``documents`` (doc_id, _k1, _k2, size, k1, k2), ``classes`` (size, k1, k2, rep, root) of distinct non-empty sets."""
 
     documents: DataFrame
     classes: DataFrame
@@ -286,16 +286,16 @@ def join(documents: DataFrame, like: Similarity, block_rows: int = 1_000) -> Joi
     lead = stored(leading(documents, corpus_counts(documents, like.n), like), "jaccard-lead")
     # a class goes by one of its texts, named by id and hash, since ids may be null or stand for several texts
     first = [F.first(c).alias(c) for c in ("grp", "keys", "lead")]
-    same = lead.where("size > 0").groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_key")).alias("text"), *first)
+    same = lead.where("size > 0").groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("_k1", "_k2")).alias("text"), *first)
     classes = stored(same.withColumn("cid", F.xxhash64("k1", "k2", "size")), "jaccard-classes")
-    keys = cut(lead.select("doc_id", "size", "k1", "k2"))
+    keys = cut(lead.select("doc_id", "_k1", "_k2", "size", "k1", "k2"))
     discard(lead)
-    named = classes.select("cid", F.col("text.doc_id").alias("_id"), F.col("text.text_key").alias("_key"))
-    whole = documents.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
+    named = classes.select("cid", "text._k1", "text._k2")
+    whole = documents.select(*row_key("doc_id", "text"), "text")
 
     def with_texts(placed: DataFrame) -> DataFrame:
         wanted = small_or_not(cut(named.join(placed.select("cid").distinct(), "cid")))
-        texts = whole.join(wanted, (F.col("_hash") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id"))).select("cid", "text")
+        texts = whole.join(wanted, ["_k1", "_k2"]).select("cid", "text")
         return placed.join(texts.dropDuplicates(["cid"]), "cid")
 
     # 1. inside the groups
@@ -345,10 +345,12 @@ def _moved(rooted: DataFrame, found: DataFrame) -> DataFrame:
     return rooted.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
 
 
-def near_components(documents: DataFrame, like: Similarity, block_rows: int = 1_000) -> DataFrame:
-    """Rows (doc_id, size, component_id): set size, and the smallest doc_id reachable by links, itself included."""
+def near_components(documents: DataFrame, like: Similarity, block_rows: int = 1_000, named: bool = False) -> DataFrame:
+    """Rows (doc_id, size, component_id): set size, and the smallest doc_id reachable by links, itself included; with
+    ``named`` also the hashes ``_k1`` and ``_k2`` of id and text."""
     made = join(documents, like, block_rows)
+    others = ["_k1", "_k2"] if named else []
     smallest = made.classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = made.classes.join(smallest, "root").select("size", "k1", "k2", "component_id")
-    linked = made.documents.where("size > 0").join(named, ["size", "k1", "k2"]).select("doc_id", "size", "component_id")
-    return linked.unionByName(made.documents.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id")))
+    of_class = made.classes.join(smallest, "root").select("size", "k1", "k2", "component_id")
+    linked = made.documents.where("size > 0").join(of_class, ["size", "k1", "k2"]).select("doc_id", "size", "component_id", *others)
+    return linked.unionByName(made.documents.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"), *others))

@@ -84,15 +84,17 @@ def mix(
     repeats: int = 2,
     seed: str = "mix",
     rows_per_range: int = 2_000,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document and serving.
 
     Columns: ``row`` (a number for each input row), doc_id, ``key`` (place in the shuffled order), source, ``epoch``, size, source_size, target, ``start`` and
-    ``finish`` (virtual times), ``before`` (words earlier in the mix), ``taken`` (words of this serving in the mix).
+    ``finish`` (virtual times), ``before`` (words earlier in the mix), ``taken`` (words of this serving in the mix), and
+    the columns ``keep``, whose names must be none of these.
     """
     key = shuffle_key(F.col("doc_id"), F.col("text"), seed)
     queue = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # not null, to be joined on
-    sized = cut(documents.select("doc_id", "source", text_size(F.col("text")).alias("size"), key.alias("key"), queue.alias("queue")))
+    sized = cut(documents.select("doc_id", "source", text_size(F.col("text")).alias("size"), key.alias("key"), queue.alias("queue"), *keep))
     ranges = max(1, sized.count() // rows_per_range)
     width = -(-(16**KEY_DIGITS) // ranges)
     dealt = sized.withColumn("row", F.monotonically_increasing_id()).withColumn("range", F.floor(F.col("key") / width).cast("long"))
@@ -111,7 +113,7 @@ def mix(
     total = starts.select("queue", "source_size").distinct().agg(F.floor(share * F.sum("source_size")).cast("long").alias("budget"))
     left = F.col("budget") - F.col("before")
     return lined_up.crossJoin(F.broadcast(total)).select(  # total is one row
-        "row", "doc_id", "key", "source", "epoch", "size", "source_size", "target", (F.col("begun") / F.col("target")).alias("start"), "finish", "before",
+        "row", "doc_id", "key", "source", "epoch", "size", "source_size", "target", (F.col("begun") / F.col("target")).alias("start"), "finish", "before", *keep,
         F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)).alias("taken"),
     )
 

@@ -13,12 +13,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Quantiles out of 1000 by rate.
+_LEVEL = "CASE rate WHEN 'symbols' THEN 900 WHEN 'dup_lines' THEN 995 WHEN 'repeats' THEN 995 ELSE 900 END"
+
+
 def _fences(name: str, source: str, keys: str) -> str:
     head = f"{keys}, " if keys else ""
     return f"""{name} AS (
-  SELECT {head}rate, rows, q3 + 4 * (q3 - q1) AS fence FROM (
-    SELECT {head}rate, any_value(rows) AS rows,
-      min(CASE WHEN 4 * upto >= rows THEN edge END) AS q1, min(CASE WHEN 4 * upto >= 3 * rows THEN edge END) AS q3
+  SELECT {head}rate, rows, high + (high - mid) AS fence FROM (
+    SELECT {head}rate, CAST(any_value(rows) AS BIGINT) AS rows,
+      min(CASE WHEN 1000 * upto >= 500 * rows THEN edge END) AS mid, min(CASE WHEN 1000 * upto >= {_LEVEL} * rows THEN edge END) AS high
     FROM (SELECT {head}rate, bucket,
         CASE WHEN bucket < 64 THEN bucket ELSE ((bucket - 32 * (bucket // 32 - 1) + 1) << (bucket // 32 - 1)) - 1 END AS edge,
         sum(n) OVER (PARTITION BY {head}rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {head}rate) AS rows
@@ -26,6 +30,10 @@ def _fences(name: str, source: str, keys: str) -> str:
     GROUP BY ALL))"""
 
 
+def _inside(count: str, among: str, most: str) -> str:
+    return f"1000.0::DOUBLE * {count} <= {most} * {among} + 1000.0::DOUBLE * (9 + 3 * sqrt(CAST({most} * {among} AS DOUBLE) / 1000.0::DOUBLE))"
+
+
 SQL = {
     "op5_quality_rules": rf"""
 WITH base AS (
@@ -59,16 +67,15 @@ WITH base AS (
 ), sketch AS (
   SELECT lang, source, rate, CAST(32 * e + (value >> e) AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS n FROM long GROUP BY ALL
 ), {_fences("own", "sketch", "lang, source")}, {_fences("by_lang", "sketch", "lang")}, {_fences("by_all", "sketch", "")}, bounds AS (
-  SELECT o.lang, o.source, o.rate, greatest(
-      CASE WHEN o.rows >= 200 THEN o.fence WHEN l.rows >= 200 THEN l.fence ELSE a.fence END,
-      CASE o.rate WHEN 'symbols' THEN 200 WHEN 'dup_lines' THEN 500 WHEN 'repeats' THEN 300 ELSE 7000 END) AS bound
+  SELECT o.lang, o.source, o.rate, (o.rows * o.fence + 200 * ((l.rows * l.fence + 200 * a.fence) // (l.rows + 200))) // (o.rows + 200) AS bound
   FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.rate = l.rate JOIN by_all a ON o.rate = a.rate
 ), limits AS (
   SELECT lang, source, max(bound) FILTER (WHERE rate = 'symbols') AS s, max(bound) FILTER (WHERE rate = 'dup_lines') AS d,
     max(bound) FILTER (WHERE rate = 'repeats') AS r, max(bound) FILTER (WHERE rate = 'word_length') AS c FROM bounds GROUP BY ALL
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(symbols <= s AND dup_lines <= d AND repeats <= r AND word_length <= c, false) AS kept
+  NOT base_failed AND coalesce({_inside("n_symbols", "n_words", "s")} AND {_inside("n_dup_lines", "n_lines", "d")}
+    AND {_inside("n_repeat_words", "n_words", "r")} AND {_inside("word_chars", "n_words", "c")}, false) AS kept
 FROM judged j LEFT JOIN limits t ON j.lang IS NOT DISTINCT FROM t.lang AND j.source IS NOT DISTINCT FROM t.source
 """,
 }

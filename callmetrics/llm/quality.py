@@ -4,14 +4,19 @@ Every document gets counts of words, characters, symbols, repeated lines and rep
 whole-number rates. For each language and source and each rate, a quantile sketch is a log-linear histogram: values
 below 64 have a bucket each, larger ones 32 buckets per power of two, so a quantile is at most one part in 32 above
 the true one. Sketches merge by adding counts: those of the sources of a language make the language's, those of the
-languages the whole corpus's. A rate is out of bounds when it exceeds its fence, third quartile + ``spread`` times
-the interquartile range, and the least bound of that rate, which keeps a tight source from refusing its own tail.
-A source with fewer than ``least_rows`` documents uses the sketch of its language, and a language with fewer that of
-the corpus. Documents that fail the base rules don't enter the sketches. The filter joins documents to the bounds.
+languages the whole corpus's.
+
+No cutoff is fixed; a group's own sketch sets it. The fence of a rate is a high quantile of the group (``LEVELS``) and a
+margin of ``spread`` times the distance of that quantile from the median. Narrow groups shrink towards wider ones: the
+corpus's fence counts as ``weight`` more documents of each language, the language's as ``weight`` more of each source.
+A document is refused where it exceeds the fence by more than chance: its count among n words or lines may exceed the
+expected n * fence by ``errors`` standard errors of a Poisson count and by ``errors`` squared, so that a short text or
+one with a symbol or two is not refused for it. Documents that fail the base rules don't enter the sketches. The filter
+joins documents to the fences of their group.
 
 Defined results: a null text has no words and fails the base rules; null languages and sources are groups of their
-own; repeated rows count as often as they occur; an empty table gives no rows; other columns pass through as they are
-and must not have the names of the added ones.
+own; repeated rows count as often as they occur; an empty table gives no rows; texts of any length are counted whole;
+a column of ``keep`` with the name of an added one is replaced by it; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ from pyspark.sql import functions as F
 from callmetrics.llm.common import BLANKS, cut, let, words
 
 SYMBOLS = "#*$%&|<>"
-#: Rates out of 1000 and the least value that may be refused: symbols per word, repeated lines, repeated words, characters per word.
-LEAST_BOUND = {"symbols": 200, "dup_lines": 500, "repeats": 300, "word_length": 7_000}
+#: The quantile, out of 1000, up to which a rate is ordinary in any group: repetition may be rare and still ordinary,
+#: symbols and long words are ordinary only if common. And what a rate counts, among what.
+LEVELS = {"symbols": 900, "dup_lines": 995, "repeats": 995, "word_length": 900}
+RATES = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -69,13 +76,7 @@ def text_counts(text: Column) -> Column:
 
 def rates() -> dict[str, Column]:
     """Whole rates out of 1000."""
-    per = lambda a, b: F.floor(1000 * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long")
-    return {
-        "symbols": per("n_symbols", "n_words"),
-        "dup_lines": per("n_dup_lines", "n_lines"),
-        "repeats": per("n_repeat_words", "n_words"),
-        "word_length": per("word_chars", "n_words"),
-    }
+    return {name: F.floor(1000 * F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("long") for name, (a, b) in RATES.items()}
 
 
 def bucket(value: Column) -> Column:
@@ -102,37 +103,46 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, keys: list[str], spread: int) -> DataFrame:
-    """Rows (keys, rate, rows, fence): third quartile + spread * interquartile range, read off the sketch."""
+    """Rows (keys, rate, rows, fence): a high quantile + spread * its distance from the median, read off the sketch."""
     group = Window.partitionBy(*keys, "rate")
     run = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("rows", F.sum("n").over(group))
-    quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("rows"), F.col("bucket")))
-    read = run.groupBy(*keys, "rate").agg(F.first("rows").alias("rows"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    q1, q3 = upper_edge(F.col("q1")), upper_edge(F.col("q3"))
-    return read.select(*keys, "rate", "rows", (q3 + spread * (q3 - q1)).alias("fence"))
+    levels = F.create_map(*[x for name, level in LEVELS.items() for x in (F.lit(name), F.lit(level))])
+    quantile = lambda level: F.min(F.when(1000 * F.col("upto") >= level * F.col("rows"), F.col("bucket")))
+    read = run.groupBy(*keys, "rate").agg(F.first("rows").alias("rows"), quantile(F.lit(500)).alias("mid"), quantile(F.element_at(levels, F.col("rate"))).alias("high"))
+    mid, high = upper_edge(F.col("mid")), upper_edge(F.col("high"))
+    return read.select(*keys, "rate", "rows", (high + spread * (high - mid)).alias("fence"))
 
 
-def bounds(sketch: DataFrame, spread: int, least_rows: int) -> DataFrame:
-    """One row per language and source: the bound of each rate, from the narrowest group that has enough rows."""
-    least = F.create_map(*[x for name, value in LEAST_BOUND.items() for x in (F.lit(name), F.lit(value).cast("long"))])
+def bounds(sketch: DataFrame, spread: int, weight: int) -> DataFrame:
+    """One row per language and source: the fence of each rate, narrow groups shrunk towards wider ones."""
     own = fences(sketch, ["lang", "source"], spread)
     lang = fences(merged(sketch, ["lang"]), ["lang"], spread).select(F.col("lang").alias("l"), F.col("rate").alias("r"), F.col("rows").alias("lang_rows"), F.col("fence").alias("lang_fence"))
     every = fences(merged(sketch, []), [], spread).select(F.col("rate").alias("r"), F.col("fence").alias("all_fence"))
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r"))).drop("r", "l").join(every, F.col("rate") == F.col("r")).drop("r")
-    enough = F.when(F.col("rows") >= least_rows, F.col("fence")).when(F.col("lang_rows") >= least_rows, F.col("lang_fence")).otherwise(F.col("all_fence"))
-    chosen = joined.select("lang", "source", "rate", F.greatest(enough, F.element_at(least, F.col("rate"))).alias("bound"))
-    return chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == name, F.col("bound"))).alias(f"most_{name}") for name in LEAST_BOUND])
+    of_lang = joined.withColumn("lang_fence", F.expr(f"(lang_rows * lang_fence + {weight} * all_fence) div (lang_rows + {weight})"))
+    shrunk = of_lang.select("lang", "source", "rate", F.expr(f"(rows * fence + {weight} * lang_fence) div (rows + {weight})").alias("bound"))
+    return shrunk.groupBy("lang", "source").agg(*[F.max(F.when(F.col("rate") == name, F.col("bound"))).alias(f"most_{name}") for name in LEVELS])
 
 
-def judge(documents: DataFrame, spread: int = 4, least_rows: int = 200, min_words: int = 50, max_repeat_percent: int = 50, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, lang, source, the counts, ``base_failed``, the bounds (``most_<rate>``) and ``kept``."""
-    rest = [c for c in keep if c not in ("lang", "source")]
-    made = documents.select(*rest, "lang", "source", text_counts(F.col("text")).alias("c")).select(*rest, "lang", "source", "c.*")
+def judge(documents: DataFrame, spread: int = 1, weight: int = 200, errors: int = 3, min_words: int = 50, max_repeat_percent: int = 50, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, lang, source, the counts, ``base_failed``, the fences (``most_<rate>``) and ``kept``."""
+    added = {"lang", "source", *COUNTS, "base_failed", "kept", *[f"most_{name}" for name in LEVELS]}
+    rest = [c for c in keep if c not in added]
+    made = documents.select(F.struct(F.lit(1), *rest).alias("row"), "lang", "source", text_counts(F.col("text")).alias("c")).select("row", "lang", "source", "c.*")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     counted = cut(made.withColumn("base_failed", failed))
     sketch = cut(sketches(counted.where(~F.col("base_failed")), ["lang", "source"]))
-    limits = cut(bounds(sketch, spread, least_rows)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = cut(bounds(sketch, spread, weight)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     joined = counted.join(limits, same, "left").drop("_lang", "_source")
-    inside = [value <= F.col(f"most_{name}") for name, value in rates().items()]
-    verdict = inside[0] & inside[1] & inside[2] & inside[3]
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(verdict, F.lit(False)))
+
+    def inside(count: str, among: str, most: str) -> Column:
+        expected = F.col(most) * F.col(among)  # in thousandths
+        return 1000.0 * F.col(count) <= expected + 1000.0 * (errors * errors + errors * F.sqrt(expected / 1000.0))
+
+    verdict = F.lit(True)
+    for name, (count, among) in RATES.items():
+        verdict = verdict & inside(count, among, f"most_{name}")
+    shown = [F.col("row").getField(c).alias(c) for c in rest]
+    others = [c for c in joined.columns if c != "row"]
+    return joined.select(*shown, *others, (~F.col("base_failed") & F.coalesce(verdict, F.lit(False))).alias("kept"))

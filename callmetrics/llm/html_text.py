@@ -41,6 +41,8 @@ CLOSES_P = BLOCK_TAGS - {"body", "html", "button", "label", "option", "select",
 #: What an opening tag closes if it is the innermost open block.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NAME_WORD = re.compile(r"[A-Za-z]+")
+#: Elements that say by their tag what they hold.
+LANDMARKS = frozenset("address article aside dialog fieldset footer form header main menu nav".split())
 
 
 @dataclass
@@ -49,6 +51,7 @@ class Block:
     tags: tuple[str, ...]
     names: frozenset[str]
     linked: int
+    near: frozenset[str] = frozenset()  # tag and names of the innermost element that says what it holds
 
 
 class _Reader(HTMLParser):
@@ -64,7 +67,8 @@ class _Reader(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             tags = tuple(tag for tag, _ in self.open if tag in BLOCK_TAGS)
-            self.blocks.append(Block(text, tags, frozenset(n for _, names in self.open for n in names), self.linked))
+            near = next((frozenset((tag, *names)) for tag, names in reversed(self.open) if names or tag in LANDMARKS), frozenset())
+            self.blocks.append(Block(text, tags, frozenset(n for _, names in self.open for n in names), self.linked, near))
         self.parts, self.linked = [], 0
 
     def _pop(self, count: int) -> None:
@@ -129,7 +133,7 @@ def features(block: Block) -> list[str]:
     n = block.text.count(" ") + 1
     share = block.linked / len(block.text)
     found = [f"leaf={block.tags[-1] if block.tags else ''}", f"words={min(n.bit_length(), 7)}", f"links={0 if share < 0.05 else 1 if share < 0.5 else 2}"]
-    found += {f"in={t}" for t in block.tags[:-1]} | {f"name={w}" for w in block.names}
+    found += {f"in={t}" for t in block.tags[:-1]} | {f"name={w}" for w in block.names} | {f"near={w}" for w in block.near}
     last = block.text[-1]
     found.append("ends=" + ("stop" if last in ".!?…\"'" else "word" if last.isalnum() else "other"))
     if block.text[0] in "©℗®":
@@ -166,6 +170,42 @@ class Model:
         return labels[::-1]
 
 
+def likelihood(x: np.ndarray, y: np.ndarray, here: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of padded pages and its gradient. ``x`` has pages, blocks and features, ``y`` the
+    labels, ``here`` what is no padding; ``theta`` holds feature weights, four steps and two first labels."""
+    pages, long, n = x.shape
+    flat = x.reshape(-1, n)
+    gold = np.zeros_like(theta)
+    gold[:n] = flat[(y == 1).ravel() & here.ravel()].sum(0)
+    follow = here[:, 1:]
+    np.add.at(gold, (n + 2 * y[:, :-1] + y[:, 1:])[follow], 1)
+    np.add.at(gold, n + 4 + y[:, 0], 1)
+
+    def logadd(a: np.ndarray) -> np.ndarray:
+        top = a.max(-1)
+        return top + np.log(np.exp(a - top[..., None]).sum(-1))
+
+    score = np.zeros((pages, long, 2))
+    score[:, :, 1] = (flat @ theta[:n]).reshape(pages, long)
+    step, first = theta[n : n + 4].reshape(2, 2), theta[-2:]
+    ahead, behind = np.zeros_like(score), np.zeros_like(score)
+    ahead[:, 0] = score[:, 0] + first
+    for t in range(1, long):
+        new = logadd((ahead[:, t - 1, :, None] + step).swapaxes(1, 2)) + score[:, t]
+        ahead[:, t] = np.where(here[:, t, None], new, ahead[:, t - 1])
+    for t in range(long - 2, -1, -1):
+        new = logadd(step + (score[:, t + 1] + behind[:, t + 1])[:, None, :])
+        behind[:, t] = np.where(here[:, t + 1, None], new, 0)
+    total = logadd(ahead[:, -1])
+    expect = np.zeros_like(theta)
+    each = np.exp(ahead + behind - total[:, None, None]) * here[..., None]
+    expect[:n] = flat.T @ each[:, :, 1].ravel()
+    pair = ahead[:, :-1, :, None] + step + (score + behind)[:, 1:, None, :] - total[:, None, None, None]
+    expect[n : n + 4] = (np.exp(pair) * follow[..., None, None]).sum((0, 1)).ravel()
+    expect[-2:] = each[:, 0].sum(0)
+    return float(total.sum() - gold @ theta) / pages, (expect - gold) / pages
+
+
 def train(pages: Iterable[tuple[list[Block], list[bool]]], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3, least: int = 3) -> Model:
     """Fit the field to labelled pages by gradient steps (Adam) on the exact penalised likelihood."""
     pages = [(b, y) for b, y in pages if b]
@@ -181,40 +221,10 @@ def train(pages: Iterable[tuple[list[Block], list[bool]]], rounds: int = 200, ra
         for t, block in enumerate(blocks):
             x[p, t, [0, *(index[f] for f in features(block) if f in index)]] = 1
         y[p, : len(labels)], here[p, : len(labels)] = labels, True
-    flat = x.reshape(-1, x.shape[2])
     theta = np.zeros(x.shape[2] + 6)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    gold = np.zeros_like(theta)
-    gold[: x.shape[2]] = flat[(y == 1).ravel() & here.ravel()].sum(0)
-    for p in range(len(pages)):
-        n = here[p].sum()
-        np.add.at(gold, x.shape[2] + 2 * y[p, : n - 1] + y[p, 1:n], 1)
-        gold[x.shape[2] + 4 + y[p, 0]] += 1
-
-    def logadd(a: np.ndarray) -> np.ndarray:
-        top = a.max(-1)
-        return top + np.log(np.exp(a - top[..., None]).sum(-1))
-
     for turn in range(1, rounds + 1):
-        score = np.zeros((len(pages), long, 2))
-        score[:, :, 1] = (flat @ theta[: x.shape[2]]).reshape(len(pages), long)
-        step, first = theta[x.shape[2] : x.shape[2] + 4].reshape(2, 2), theta[-2:]
-        ahead, behind = np.zeros_like(score), np.zeros_like(score)
-        ahead[:, 0] = score[:, 0] + first
-        for t in range(1, long):
-            new = logadd((ahead[:, t - 1, :, None] + step).swapaxes(1, 2)) + score[:, t]
-            ahead[:, t] = np.where(here[:, t, None], new, ahead[:, t - 1])
-        for t in range(long - 2, -1, -1):
-            new = logadd(step + (score[:, t + 1] + behind[:, t + 1])[:, None, :])
-            behind[:, t] = np.where(here[:, t + 1, None], new, 0)
-        total = logadd(ahead[:, -1])
-        expect = np.zeros_like(theta)
-        each = np.exp(ahead + behind - total[:, None, None]) * here[..., None]
-        expect[: x.shape[2]] = flat.T @ each[:, :, 1].ravel()
-        pair = ahead[:, :-1, :, None] + step + (score + behind)[:, 1:, None, :] - total[:, None, None, None]
-        expect[x.shape[2] : x.shape[2] + 4] = (np.exp(pair) * here[:, 1:, None, None]).sum((0, 1)).ravel()
-        expect[-2:] = each[:, 0].sum(0)
-        slope = (expect - gold) / len(pages) + decay * theta
+        slope = likelihood(x, y, here, theta)[1] + decay * theta
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         theta -= rate * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.999**turn)) + 1e-8)
     weights = {"bias": float(theta[0])} | {f: float(theta[i]) for f, i in index.items()}
@@ -246,8 +256,8 @@ class _Writer:
             return " ".join(w.upper() + "!!" for w in text.split())
         if style < 0.2:
             return "&copy; " + text
-        if style < 0.26:
-            return text.replace(" ", " cookie ", 1) + self.r.choice((" subscribe", " comment", " rights", " share"))
+        if style < 0.32:
+            return text.replace(" ", self.r.choice((" cookie ", " privacy ", " said ", " replies ", " comments ")), 1) + self.r.choice((" subscribe", " comment", " rights", " share", " posted.", " reply.", " said.", " newsletter."))
         return text + self.r.choice((".", ".", ".", "", "?", ":"))
 
     def links(self, n: int, item: str = "li") -> str:
@@ -281,23 +291,24 @@ class _Writer:
         if kind == "form":
             return f"<form{r.choice(('', ' class=search', ' id=login'))}><label>{w(1, 3)}</label><input name=q>{p(2, 10) if r.random() < 0.4 else ''}<select><option>{w(1, 2)}<option>{w(1, 2)}</select><textarea>{w(0, 5)}</textarea><button>{w(1, 2)}</button></form>"
         one = lambda: f'<{r.choice(("div", "li", "article", "p"))} class="{r.choice(("comment", "reply", "response", "user"))}">{r.choice(("", f"<b>{w(1, 2)}</b> said "))}{w(3, 60).capitalize()}.</div>'
-        return self.box("div", ("comments", "discussion", "responses", "replies", "comment-list", "disqus"), (f"<h2>{r.choice(('Comments', w(1, 3)))}</h2>" if r.random() < 0.7 else "") + "".join(one() for _ in range(r.randint(1, 6))), 1)
+        return self.box(r.choice(("div", "section")), ("comments", "discussion", "responses", "replies", "comment-list", "disqus"), (f"<h2>{r.choice(('Comments', w(1, 3)))}</h2>" if r.random() < 0.7 else "") + "".join(one() for _ in range(r.randint(1, 6))), 1)
 
     def main_block(self) -> str:
         r, m = self.r, self.MARK
         text = m + self.prose()
         return r.choice(
             (f"<p>{text}</p>",) * 8
-            + (f"<p>{text}\n", f"<p><b>{text}<br>", f"<h2>{m}{self.words(1, 8)}</h2>", f"<blockquote>{text}</blockquote>", f"<ul><li>{text}</li><li>{m}{self.prose(1, 20)}</li></ul>",
+            + (f"<h{r.randint(2, 4)}>{m}{r.choice(('Comments', 'Reply', 'Share', 'Privacy', 'Terms', 'Login'))}</h{r.randint(2, 4)}>", f"<p>{m}{self.words(1, 1)}</p>", f"<p>{text}\n", f"<p><b>{text}<br>", f"<h2>{m}{self.words(1, 8)}</h2>", f"<blockquote>{text}</blockquote>", f"<ul><li>{text}</li><li>{m}{self.prose(1, 20)}</li></ul>",
                f"<p>{text} <a href=x>{self.words(1, 3)}</a> {self.words(1, 9)}.</p>", f"<pre>{text}</pre>", f"<table><tr><td>{text}</td><td>{m}{self.words(1, 4)}</td></tr></table>", f"<figure><figcaption>{text}</figcaption></figure>")
         )
 
     def page(self) -> str:
         r = self.r
-        body = [f"<h1>{self.MARK}{self.words(1, 12).capitalize()}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.choice((0, 1, 1, 2, 3, 4, 6, 9, 14))):
-            body.append(self.main_block())
-            if r.random() < 0.08:
+        brief = r.random() < 0.4  # one to three blocks, often of a few words and without a heading
+        body = [f"<h1>{self.MARK}{self.words(1, 12).capitalize()}</h1>"] if r.random() < (0.25 if brief else 0.85) else []
+        for _ in range(r.choice((1, 1, 2, 3)) if brief else r.choice((0, 1, 1, 2, 3, 4, 6, 9, 14))):
+            body.append(f"<p>{self.MARK}{self.prose(1, 8)}</p>" if brief and r.random() < 0.6 else self.main_block())
+            if r.random() < (0.2 if brief else 0.08):
                 body.append(self.noise(r.choice(("ad", "side", "notice", "form", "nav"))))
         if r.random() < 0.15:
             body.append(self.noise("comments"))
@@ -316,7 +327,7 @@ class _Writer:
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body>{''.join(before)}{main}{''.join(after)}" + r.choice(("</body></html>", ""))
 
 
-def labelled(pages: int = 600, seed: int = 11) -> list[tuple[list[Block], list[bool]]]:
+def labelled(pages: int = 900, seed: int = 11) -> list[tuple[list[Block], list[bool]]]:
     """Invented pages as blocks with labels (True: main text)."""
     made = []
     for i in range(pages):

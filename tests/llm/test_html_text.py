@@ -44,3 +44,59 @@ def test_viterbi_finds_the_best_labelling(model):
 
     best = max(product((0, 1), repeat=len(blocks)), key=score)
     assert model.decode(blocks) == [bool(v) for v in best]
+
+
+AROUND = """<!DOCTYPE html><html><head><title>T</title></head><body><header class="site-header"><a href="/">Site name</a></header>
+<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>{}<footer><p>&copy; 2024 Site. All rights reserved.</p></footer></body></html>"""
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<article><p>A short sentence.</p></article>", "A short sentence."),
+        ("<article><p>Word</p></article>", "Word"),
+        ('<article><p>Text before.</p><div class="ad">Buy now</div><p>Text after.</p></article>', "Text before.\n\nText after."),
+        ("<article><h2>Comments</h2><p>He said more.</p><p>And the reply posted.</p></article>", "Comments\n\nHe said more.\n\nAnd the reply posted."),
+        ('<article><p>Text before.</p></article><section class="comments"><h3>Comments</h3><p class="comment">I disagree.</p></section>', "Text before."),
+        ("<main><h1>Title</h1><p>Yes.</p></main><aside><h3>Related</h3><ul><li><a href=x>Other</a></li></ul></aside>", "Title\n\nYes."),
+        ('<div class="content"><p>Only a few words here</p><form><label>Mail</label><button>Subscribe</button></form></div>', "Only a few words here"),
+    ],
+)
+def test_short_and_nested_articles(model, inner, want):
+    assert html_text.main_text(AROUND.format(inner), model) == want
+
+
+def test_gradient_against_enumeration():
+    from itertools import product
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x, lengths = (rng.random((3, 4, 5)) < 0.5).astype(float), (4, 2, 1)
+    here = np.array([[t < n for t in range(4)] for n in lengths])
+    y = rng.integers(0, 2, (3, 4)) * here
+    x *= here[..., None]
+    theta = rng.normal(size=11)
+
+    def counts(p, labels):
+        c = np.zeros(11)
+        for t, v in enumerate(labels):
+            c[:5] += v * x[p, t]
+            c[9 + v if t == 0 else 5 + 2 * labels[t - 1] + v] += 1
+        return c
+
+    loss, slope = 0.0, np.zeros(11)
+    for p, n in enumerate(lengths):
+        every = [counts(p, labels) for labels in product((0, 1), repeat=n)]
+        weight = np.exp([c @ theta for c in every])
+        gold = counts(p, [int(v) for v in y[p, :n]])
+        loss += np.log(weight.sum()) - gold @ theta
+        slope += weight @ np.array(every) / weight.sum() - gold
+    got = html_text.likelihood(x, y, here, theta)
+    assert abs(got[0] - loss / 3) < 1e-9 and np.allclose(got[1], slope / 3)
+
+
+def test_repeated_rows_and_clashing_names(spark, model):
+    frame = spark.createDataFrame([(1, "<article><p>a b.</p></article>", "x", 9)] * 2, "page_id long, html string, main_text string, blocks long")
+    got = html_text.extract(frame, model=model).collect()
+    assert [(r.page_id, r.main_text, r.blocks) for r in got] == [(1, "a b.", 1)] * 2

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -61,6 +62,13 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of what no frame refers to any more. Spark deletes shuffle files, broadcasts and checkpoints when the
+    driver's collector finds their frames unused, which a long chain of steps can't wait for."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a few numbers that may be broadcast: some 50 MB at most.
 MOST_BROADCAST_ROWS = 500_000
 

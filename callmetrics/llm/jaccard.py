@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callmetrics.llm.common import BLANKS, LOWER, UPPER, cut, discard, let, row_key, small_or_not, stored
+from callmetrics.llm.common import BLANKS, LOWER, UPPER, cut, discard, let, row_key, small_or_not, stored, tidy
 from callmetrics.llm.graph import components
 
 COUNTERS_LOG2, CHUNKS = 20, 16
@@ -290,6 +290,8 @@ def join(documents: DataFrame, like: Similarity, block_rows: int = 1_000) -> Joi
     classes = stored(same.withColumn("cid", F.xxhash64("k1", "k2", "size")), "jaccard-classes")
     keys = cut(lead.select("doc_id", "_k1", "_k2", "size", "k1", "k2"))
     discard(lead)
+    del lead, same
+    tidy(documents.sparkSession)
     named = classes.select("cid", "text._k1", "text._k2")
     whole = documents.select(*row_key("doc_id", "text"), "text")
 
@@ -305,6 +307,8 @@ def join(documents: DataFrame, like: Similarity, block_rows: int = 1_000) -> Joi
     shared = home.where("rows > 1").select("cid", F.col("cid").alias("root"), "block", F.lit(0).alias("part"), F.lit(True).alias("member"))
     links = _open_all(with_texts(shared), like)
     rooted = cut(home.drop("rows").join(links.select(F.col("a").alias("cid"), F.col("b").alias("root")), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    del home, rows, shared, links
+    tidy(documents.sparkSession)
     # 2. one class of each component asks the largest group among those that hold smallest n-grams of its own
     holders = rooted.select(F.explode("keys").alias("key"), "block", "size").groupBy("key", "block").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
     hubs = holders.groupBy("key").agg(F.max(F.struct("n", "block", "least", "most")).alias("hub"), F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("key", "hub.*")
@@ -313,6 +317,8 @@ def join(documents: DataFrame, like: Similarity, block_rows: int = 1_000) -> Joi
     asks = cut(near.groupBy("cid", "block").agg(F.count(F.lit(1)).alias("common"), F.max("size").alias("size")).where("common >= least(2, size)").select("cid", F.col("cid").alias("root"), "block"))
     links = _open_all(with_texts(cut(_meet(asks, rooted.select("cid", "root", "block"), block_rows))), like)
     rooted = cut(_moved(rooted.drop("keys", "block"), components(links)))
+    del holders, hubs, speakers, near, asks, links
+    tidy(documents.sparkSession)
     # 3. components are the groups of the matrix; those that share enough leading n-grams are opened
     as_member = F.expr(f"least(size, size - ({2 * like.percent} * size + {99 + like.percent}) div {100 + like.percent} + 1 + size div 64)")
     each = classes.select("cid", "size", "lead").join(rooted.select("cid", "root"), "cid").select("root", "size", as_member.alias("brought"), F.posexplode("lead").alias("place", "gram"))
@@ -320,11 +326,15 @@ def join(documents: DataFrame, like: Similarity, block_rows: int = 1_000) -> Joi
     live = each.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram")
     matrix = each.join(live, "gram").groupBy("gram", "root").agg(F.min(F.expr("held div 2")).alias("least"), F.max(F.expr("held div 2")).alias("most"), F.max(F.expr("held % 2")).alias("member"))
     matrix = cut(matrix)
+    del each, live
+    tidy(documents.sparkSession)
     other = matrix.select("gram", *[F.col(c).alias(f"other_{c}") for c in ("root", "least", "most", "member")])
     sizes = f"100 * most >= {like.percent} * other_least and 100 * other_most >= {like.percent} * least"
     met = matrix.join(other, "gram").where(f"root < other_root and member + other_member > 0 and {sizes}")
     pairs = met.groupBy("root", "other_root").agg(F.count(F.lit(1)).alias("held"), F.greatest(F.min("least"), F.min("other_least")).alias("size"))
     pairs = cut(pairs.where(f"held >= 1 + (({like.percent} * size + 99) div 100) div 64").select("root", "other_root"))
+    del matrix, other, met
+    tidy(documents.sparkSession)
     counts = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     sized = pairs.join(counts, "root").join(counts.select(F.col("root").alias("other_root"), F.col("n").alias("other_n")), "other_root")
     larger = F.expr("n >= other_n")
@@ -334,7 +344,10 @@ def join(documents: DataFrame, like: Similarity, block_rows: int = 1_000) -> Joi
     asks = ends.join(rooted.select("cid", "root"), "root").select("cid", "root", "to", F.explode(F.expr(f"sequence(0, (n + {block_rows - 1}) div {block_rows} - 1)")).alias("at"))
     asks = asks.select("cid", "root", F.xxhash64("to", "at").alias("block"))
     links = _open_all(with_texts(cut(_meet(asks, held, block_rows))), like)
-    rooted = cut(_moved(rooted, components(links)))
+    found = components(links)
+    del held, asks, ends, sized, links
+    tidy(documents.sparkSession)
+    rooted = cut(_moved(rooted, found))
     discard(classes)
     return Joined(keys, rooted)
 

@@ -10,7 +10,7 @@ from callmetrics.llm.common import table
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return warc.read_all(warc.write(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.fetch(warc.write(pages), warc.keys_of(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Base32 of a 40-digit hex string: 5 bits at a time out of its bit string.

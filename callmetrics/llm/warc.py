@@ -4,9 +4,10 @@
 ``revisit_from`` bytes, the one with the smallest page id is a response record and the others are revisit records that
 refer to it; the groups are found by digest before anything is written. The capture index has a line per record under
 the page's reversed-host URL key. Lines are range-sorted over the cluster; each shard of the index is one file of
-compressed blocks of lines, followed by a sparse directory, the first key of every block. ``lookup`` searches the
-shards' key ranges and then a shard's directory by bisection and range-reads only the blocks and records it needs;
-``read_all`` goes through the blocks of all shards and range-reads every record.
+compressed blocks of lines, followed by a sparse directory, the first key of every block. Reading goes by keys:
+``fetch`` sorts the wanted keys, searches the shards' key ranges and then a shard's directory by bisection, and deals
+the blocks found over the cluster, where each is range-read once, searched for its keys, and its records are range-read
+from the archives. ``read_all`` goes through the blocks of all shards instead.
 
 Files are written under names of their own for each attempt of a task and never again, so a task that runs twice
 leaves a file that no index line names. What tasks report is checkpointed before it is used. All files lie in a folder
@@ -26,9 +27,10 @@ import hashlib
 import json
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
@@ -36,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmetrics.llm.common import cut, fresh_path
+from callmetrics.llm.common import cut, fresh_path, small_or_not
 
 NO_URL = "urn:x-none:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -73,6 +75,10 @@ def url_key(url: str) -> str:
     return f"{labels}{f':{port}' if port else ''}){parts.path or '/'}{f'?{parts.query}' if parts.query else ''}"
 
 
+def written_url(url: str | None) -> str:
+    return NO_URL if url is None else quote(url, safe="".join(map(chr, range(0x21, 0x7F))))
+
+
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -156,13 +162,15 @@ class Capture:
 
 def with_originals(pages: DataFrame, revisit_from: int) -> DataFrame:
     """Pages with ``original`` (page id of the response with the same payload) and ``revisit``."""
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), F.sha1(payload).alias("digest"))
-    sized = keyed.where(F.octet_length("html") >= revisit_from)
-    groups = sized.groupBy("digest").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(groups.where(F.col("original").isNotNull()).select("digest", "original"))
-    joined = keyed.join(shared, "digest", "left")
-    return joined.withColumn("revisit", F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))).drop("digest")
+    html = F.coalesce(F.col("html"), F.lit("")).alias("html")
+    keyed = pages.select("page_id", "url", html).withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    sized = keyed.where(F.octet_length("html") >= revisit_from).select("page_id", "digest")
+    shared = sized.groupBy("digest").agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1 and original is not null")
+    # ids and digests alone meet; a page joins by both, so that a payload that many pages share lies in no one place
+    again = sized.join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("original"))).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "original")
+    again = small_or_not(cut(again.distinct()))
+    joined = keyed.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    return joined.select("page_id", "url", "html", "original", F.col("original").isNotNull().alias("revisit"))
 
 
 def write(pages: DataFrame, folder: str | None = None, revisit_from: int = 0, date: str = "2000-01-01T00:00:00Z", block_lines: int = 1_000, most_bytes: int = 1 << 30) -> Capture:
@@ -175,7 +183,7 @@ def write(pages: DataFrame, folder: str | None = None, revisit_from: int = 0, da
             lines = []
             for page_id, url, html, original, revisit in zip(batch["page_id"], batch["url"], batch["html"], batch["original"], batch["revisit"], strict=True):
                 page = None if pd.isna(page_id) else int(page_id)
-                address = NO_URL if url is None else quote(url, safe="".join(map(chr, range(0x21, 0x7F))))
+                address = written_url(url)
                 data, _ = record(page, address, html.encode(), int(original) if revisit else None, bool(revisit), date)
                 packer = zlib.compressobj(4, zlib.DEFLATED, 31)
                 member = packer.compress(data) + packer.flush()
@@ -273,40 +281,75 @@ def read_all(capture: Capture) -> DataFrame:
                 yield _frame(list(_read_lines(folder, _block(path, int(at), int(length)))))
 
     listed = capture.shards.select("path", "at", "length").mapInPandas(blocks, "path string, at long, length long")
-    return listed.repartition(F.col("path"), F.col("at")).mapInPandas(records, RECORD_COLUMNS)
+    return listed.repartition(_partitions(capture), F.col("path"), F.col("at")).mapInPandas(records, RECORD_COLUMNS)
 
 
-def lookup(spark: SparkSession, capture: Capture, urls: DataFrame) -> DataFrame:
-    """Records of the captures of given URLs (column ``url``); columns of :func:`read_all` and ``payload``."""
-    shards = sorted((tuple(r) for r in capture.shards.select("first_key", "last_key", "path", "at", "length").collect()), key=lambda s: s[0])
-    shared = spark.sparkContext.broadcast((capture.folder, shards))  # one row for each sorting task
+def _partitions(capture: Capture) -> int:
+    """Partitions for blocks, given by number: a block is a small row that stands for much reading."""
+    return int(capture.shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keys_of(urls: DataFrame) -> DataFrame:
+    """The distinct index keys (column ``key``) of URLs (column ``url``)."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": [url_key(written_url(url)) for url in batch["url"]]}, dtype="object")
+
+    return urls.select("url").distinct().mapInPandas(keys, "key string").distinct()
+
+
+def blocks_of(key: str, ranges: list[tuple], lasts: list[str], directory) -> Iterator[tuple[str, int, int]]:
+    """Path, place and length of the blocks that may hold a key: a bisection of the shards' ranges, given in order with
+    their last keys, and one of each shard's directory."""
+    s = bisect_left(lasts, key)
+    while s < len(ranges) and ranges[s][0] <= key:
+        _, _, path, at, length = ranges[s]
+        blocks = directory(path, at, length)
+        b = max(bisect_left(blocks, key, key=lambda d: d[0]) - 1, 0)
+        while b < len(blocks) and blocks[b][0] <= key:
+            yield path, blocks[b][1], blocks[b][2]
+            b += 1
+        s += 1
+
+
+def fetch(capture: Capture, keys: DataFrame) -> DataFrame:
+    """Records under the given keys (distinct, column ``key``), each once; columns of :func:`read_all` and ``payload``."""
+    folder = capture.folder
+    shards = sorted((tuple(r) for r in capture.shards.select("first_key", "last_key", "path", "at", "length").collect()), key=lambda x: x[:2])
+    shared = keys.sparkSession.sparkContext.broadcast(shards)  # one row for each task that sorted lines
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        folder, ranges = shared.value
-        lasts = [s[1] for s in ranges]
-        known: dict[str, list[tuple[str, int, int]]] = {}
+        ranges = shared.value
+        lasts = [x[1] for x in ranges]
+        directory = lru_cache(maxsize=4)(_directory)  # keys come in order, and so do shards
         for batch in batches:
-            for url in batch["url"]:
-                key = url_key(NO_URL if url is None else quote(url, safe="".join(map(chr, range(0x21, 0x7F)))))
-                s = bisect_right(lasts, key)
-                s -= s > 0 and lasts[s - 1] == key
-                while s > 0 and lasts[s - 1] >= key:
-                    s -= 1
-                lines: list[tuple] = []
-                while s < len(ranges) and ranges[s][0] <= key:
-                    _, _, path, at, length = ranges[s]
-                    if path not in known:
-                        known[path] = _directory(path, at, length)
-                    firsts = [d[0] for d in known[path]]
-                    b = bisect_right(firsts, key) - 1
-                    while b > 0 and firsts[b] == key:
-                        b -= 1
-                    for first, a, n in known[path][max(b, 0) :]:
-                        if first > key:
-                            break
-                        lines += [x for x in _block(path, a, n) if x[0] == key]
-                    s += 1
-                rows = list(_read_lines(folder, lines))
-                yield _frame(rows).assign(payload=[r[6] for r in rows])
-
-    return urls.select("url").mapInPandas(search, RECORD_COLUMNS + ", payload binary")
+            found = [(*block, key) for key in batch["key"] for block in blocks_of(key, ranges, lasts, directory)]
+            yield pd.DataFrame(found, columns=["path", "at", "length", "key"])
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, wanted = None, set()
+
+        def read() -> pd.DataFrame:
+            rows = list(_read_lines(folder, [line for line in _block(*block) if line[0] in wanted]))
+            return _frame(rows).assign(payload=[r[6] for r in rows])
+
+        for batch in batches:
+            for path, at, length, key in zip(batch["path"], batch["at"], batch["length"], batch["key"], strict=True):
+                if block != (path, at, length):
+                    if block is not None:
+                        yield read()
+                    block, wanted = (path, int(at), int(length)), set()
+                wanted.add(key)
+        if block is not None:
+            yield read()
+
+    ordered = cut(keys.select("key")).repartitionByRange("key").sortWithinPartitions("key")
+    asked = ordered.mapInPandas(search, "path string, at long, length long, key string")
+    dealt = asked.repartition(_partitions(capture), F.col("path"), F.col("at")).sortWithinPartitions("path", "at")
+    return dealt.mapInPandas(records, RECORD_COLUMNS + ", payload binary")
+
+
+def lookup(spark: SparkSession, capture: Capture, urls: DataFrame) -> DataFrame:
+    """Records of the captures of given URLs (column ``url``), each once; columns of :func:`fetch`."""
+    return fetch(capture, keys_of(urls))

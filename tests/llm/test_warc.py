@@ -60,3 +60,17 @@ def test_damage_is_found(spark, tmp_path):
     assert digest == warc.base32_sha1(b"payload") and len(hashlib.sha1(b"").digest()) == 20
     with pytest.raises(ValueError):
         warc.parse_record(gzip.compress(data[:-4]))
+
+
+def test_fetch_bisects_to_the_blocks_of_its_keys(spark, tmp_path):
+    made = [(i, f"https://h{i % 5}.org/{i:04d}", f"p{i}", "") for i in range(300)] + [(1000 + i, "https://h2.org/hot", f"hot{i}", "") for i in range(90)]
+    capture = warc.write(spark.createDataFrame(made, SCHEMA), folder=str(tmp_path / "w"), block_lines=8)
+    ranges = sorted((tuple(r) for r in capture.shards.select("first_key", "last_key", "path", "at", "length").collect()), key=lambda x: x[:2])
+    every = [(path, a, n) for _, _, path, at, length in ranges for _, a, n in warc._directory(path, at, length)]
+    lines = {b: warc._block(*b) for b in every}
+    for key in sorted({x[0] for held in lines.values() for x in held}) + ["", "zzz", "org,h2)/0000"]:
+        found = list(warc.blocks_of(key, ranges, [r[1] for r in ranges], warc._directory))
+        assert {b for b in every if any(x[0] == key for x in lines[b])} <= set(found) and len(found) <= 2 + 90 // 8 + len(ranges)
+    pages = spark.createDataFrame(made, SCHEMA)
+    got = warc.fetch(capture, warc.keys_of(pages)).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got) == sorted((p, h) for p, _, h, _ in made)

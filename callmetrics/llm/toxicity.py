@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; documents whose labels are not looked at are the unlabelled rest, a blend
-of both classes in a known proportion, the class prior. The risk of a linear classifier g with the logistic loss l is
+Confirmed toxic documents are the positives; the unlabelled rest are documents drawn from all that may be learnt from,
+labelled or not, without a look at labels: a blend of both classes in a known proportion, the class prior, which the
+labels of the learning fold tell. The risk of a linear classifier g with the logistic loss l is
 
     prior * mean_P l(g) + max(0, mean_U l(-g) - prior * mean_P l(-g))
 
@@ -12,8 +13,8 @@ which catch inflected forms; taken are those whose document share among positive
 by a factor and by a number of standard errors, a beginning only if it says more than each whole word. Copies in the sample count once. Documents are scored by DataFrame
 functions alone.
 
-Fitting uses a bounded sample of labelled rows: about ``most_positive`` and ``most_unlabelled``, chosen by a hash of
-the id; scoring covers every document and whole texts.
+Fitting uses a bounded sample: about ``most_positive`` labelled and ``most_unlabelled`` unlabelled documents, chosen by
+a hash of the id; scoring covers every document and whole texts.
 
 Defined results: null and empty texts have no words and get the score of the intercept; labels that are null count as
 unlabelled; a document labelled twice is toxic if any label says so; without positives every score is 0; repeated
@@ -60,6 +61,16 @@ def text_features(found: Column, kind: int) -> Column:
     return found if not kind else F.transform(found, lambda w: F.substring(w, 1, kind))
 
 
+def risk(xp: np.ndarray, wp: np.ndarray, xu: np.ndarray, wu: np.ndarray, prior: float, w: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """The risk on positives, prior * mean_P l(g), its slope, the estimated risk on clean text, mean_U l(-g) - prior *
+    mean_P l(-g), and its slope; the whole risk takes no less than 0 for the latter. Rows have weights of sum 1."""
+    gp, gu = np.clip(xp @ w, -30, 30), np.clip(xu @ w, -30, 30)
+    hit_p, hit_u = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
+    of_positive = prior * (wp @ np.log1p(np.exp(-gp)))
+    clean = wu @ np.log1p(np.exp(gu)) - prior * (wp @ np.log1p(np.exp(gp)))
+    return of_positive, -prior * ((wp * (1 - hit_p)) @ xp), clean, (wu * hit_u) @ xu - prior * ((wp * hit_p) @ xp)
+
+
 def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, steps: int = 1_500, rate: float = 0.05, decay: float = 3e-5) -> np.ndarray:
     """Weights, intercept last, of one classifier; rows are 0/1 feature vectors with a trailing 1.
 
@@ -75,11 +86,8 @@ def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int,
     w[-1] = math.log(prior / (1 - prior))
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for turn in range(1, steps + 1):
-        gp, gu = np.clip(xp @ w, -30, 30), np.clip(xu @ w, -30, 30)
-        hit_p, hit_u = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        clean = wu @ np.log1p(np.exp(gu)) - prior * (wp @ np.log1p(np.exp(gp)))
-        slope_clean = (wu * hit_u) @ xu - prior * ((wp * hit_p) @ xp)
-        slope = -slope_clean if clean < 0 else slope_clean - prior * ((wp * (1 - hit_p)) @ xp)
+        _, slope_positive, clean, slope_clean = risk(xp, wp, xu, wu, prior, w)
+        slope = -slope_clean if clean < 0 else slope_clean + slope_positive
         slope = slope + decay * np.append(w[:-1], 0)
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         w = w - rate * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.999**turn)) + 1e-8)
@@ -103,15 +111,14 @@ def fit(
     if not toxic:
         return Model((), (), -math.inf, 0.0)
     prior = min(max(toxic / n, 1e-6), 1 - 1e-6)
-    # ids of the sample are few by its bound and broadcast, so that no text moves but those of the sample;
-    # a row may serve as a positive and, by another hash, with its label out of sight
+    # ids of the positives are few by their bound and broadcast, so that no text moves but those of the sample;
+    # a row may serve as a positive and, by another hash, as an unlabelled one
     chosen = lambda salt, share: F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, share)))
-    rows = known.select(
-        "doc_id",
-        ((F.col("toxic") == 1) & chosen("positive", most_positive / toxic)).alias("p"),
-        chosen("unlabelled", most_unlabelled / n).alias("u"),
-    ).where("p or u")
-    found = documents.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("p", "u", F.array_sort(F.array_distinct(text_words(F.col("text")))).alias("words"))
+    confirmed = known.where((F.col("toxic") == 1) & chosen("positive", most_positive / toxic)).select(F.col("doc_id").alias("id"))
+    texts = documents.select("doc_id", "text")
+    drawn = chosen("unlabelled", most_unlabelled / max(1, texts.count()))
+    marked = texts.join(F.broadcast(confirmed), F.col("doc_id") == F.col("id"), "left").select("text", F.col("id").isNotNull().alias("p"), drawn.alias("u"))
+    found = marked.where("p or u").select("p", "u", F.array_sort(F.array_distinct(text_words(F.col("text")))).alias("words"))
     copies = found.groupBy(F.md5(F.array_join("words", " ").cast("binary")).alias("key")).agg(F.max("p").alias("p"), F.max("u").alias("u"), F.first("words").alias("words"))
     sample = stored(copies, "toxicity-sample")
     n_p, n_u = (x or 0 for x in sample.agg(F.sum(F.col("p").cast("int")), F.sum(F.col("u").cast("int"))).first())

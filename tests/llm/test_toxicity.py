@@ -42,3 +42,29 @@ def test_odd_inputs(spark):
     some = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     model = toxicity.fit(d, some)
     assert all(0 <= r.s <= 1 for r in d.select(toxicity.score(F.col("text"), model).alias("s")).collect())
+
+
+def test_risk_and_its_slopes():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    xp, xu = rng.integers(0, 2, (6, 4)).astype(float), rng.integers(0, 2, (9, 4)).astype(float)
+    wp, wu, w, prior = np.full(6, 1 / 6), np.full(9, 1 / 9), rng.normal(size=4), 0.3
+    loss = lambda g: np.log(1 + np.exp(-g))
+    positive, slope_p, clean, slope_c = toxicity.risk(xp, wp, xu, wu, prior, w)
+    assert abs(positive - prior * np.mean([loss(x @ w) for x in xp])) < 1e-12
+    assert abs(clean - (np.mean([loss(-(x @ w)) for x in xu]) - prior * np.mean([loss(-(x @ w)) for x in xp]))) < 1e-12
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-6
+        up, down = (toxicity.risk(xp, wp, xu, wu, prior, w + s * step) for s in (1, -1))
+        assert abs((up[0] - down[0]) / 2e-6 - slope_p[k]) < 1e-6 and abs((up[2] - down[2]) / 2e-6 - slope_c[k]) < 1e-6
+
+
+def test_unlabelled_documents_are_learnt_from(spark):
+    docs, labels = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    positives = spark.createDataFrame([x for x in labels if x[1]], "doc_id long, toxic int")
+    only = toxicity.fit(d, positives.unionByName(spark.createDataFrame([(10**6 + i, 0) for i in range(400)], "doc_id long, toxic int")))
+    assert only.words  # the clean labels name no document: whatever tells toxic text apart comes from unlabelled ones
+    got = {r.doc_id: r.s for r in d.select("doc_id", toxicity.score(F.col("text"), only).alias("s")).collect()}
+    assert sum((s >= 0.5) == (i % 8 == 0) for i, s in got.items()) / len(got) > 0.95

@@ -12,10 +12,10 @@ from callmetrics.llm.common import cut, table
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = cut(vectors.near_duplicates(rows))
-    return found.withColumn("audit_recall", F.lit(vectors.audit_recall(rows, found)))
+    return found.withColumn("audit_recall", F.lit(vectors.audit_recall(rows, found)).cast("double"))
 
 
-#: Brute force over all pairs; ``audit_recall`` is what a perfect search would have.
+#: Brute force over all pairs; ``audit_recall`` is what a perfect search would have, null where there is no link.
 SQL = {
     "op3_embedding_dedup": """
 WITH RECURSIVE v AS (
@@ -28,6 +28,6 @@ WITH RECURSIVE v AS (
 ), joined AS (
   SELECT e.vec_id, (SELECT count(*) FROM links WHERE x = e.vec_id) AS n_links, least(e.vec_id, coalesce((SELECT min(y) FROM reach WHERE x = e.vec_id), e.vec_id)) AS component_id FROM embeddings e
 )
-SELECT vec_id, n_links, component_id, vec_id = component_id AS kept, 1.0::DOUBLE AS audit_recall FROM joined
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept, CASE WHEN EXISTS (SELECT 1 FROM links) THEN 1.0::DOUBLE END AS audit_recall FROM joined
 """,
 }

@@ -316,14 +316,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, index: Index | None
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def audit_recall(vectors: DataFrame, found: DataFrame, least: float = 0.95, queries: int = 400, seed: int = 3) -> float:
-    """Share of the true links of about ``queries`` vectors, chosen by a hash of their ids, that ``found`` counts."""
+def audit_recall(vectors: DataFrame, found: DataFrame, least: float = 0.95, queries: int = 400, seed: int = 3) -> float | None:
+    """Share of the true links of about ``queries`` vectors, chosen by a hash of their ids, that ``found`` counts; None if
+    these have no link, since nothing was measured then."""
     good = vectors.where(usable(F.col("embedding")))
     n = max(1, good.count())
     picked = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, queries / n)))
     rows = good.where(picked).select("vec_id", "embedding").limit(4 * queries).collect()
     if not rows:
-        return 1.0
+        return None
     length = len(rows[0]["embedding"])
     rows = [r for r in rows if len(r["embedding"]) == length]
     shared = vectors.sparkSession.sparkContext.broadcast(([r["vec_id"] for r in rows], unit([r["embedding"] for r in rows])))
@@ -337,4 +338,4 @@ def audit_recall(vectors: DataFrame, found: DataFrame, least: float = 0.95, quer
 
     true = good.select("embedding").mapInPandas(brute, "vec_id long, true long").groupBy("vec_id").agg((F.sum("true") - 1).alias("true"))
     both = true.join(found.select("vec_id", "n_links"), "vec_id").agg(F.sum("true"), F.sum(F.least("true", "n_links"))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+    return both[1] / both[0] if both[0] else None

@@ -74,3 +74,31 @@ def test_every_vector_is_reached():
             seen.add(i)
             fresh += lists[i].tolist()
     assert len(seen) == len(x)
+
+
+def test_planted_links_just_over_the_bar(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    rows, n = [], 0
+    for _ in range(12):  # several clusters, each with pairs whose cosine is 0.950 to 0.960
+        center = rng.normal(size=32)
+        for _ in range(60):
+            x = center + 0.8 * rng.normal(size=32)
+            x /= np.linalg.norm(x)
+            side = rng.normal(size=32)
+            side -= (side @ x) * x
+            cosine = rng.uniform(0.9501, 0.96)
+            y = cosine * x + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+            rows += [(n, x.tolist()), (n + 1, y.tolist())]
+            n += 2
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vectors.near_duplicates(frame, index=vectors.Index(shard_rows=120))
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.95).sum(1) - 1
+    got = np.array([r.n_links for r in found.orderBy("vec_id").collect()])
+    assert (got <= true).all() and got.sum() >= 0.99 * true.sum() and true.sum() >= n
+    assert vectors.audit_recall(frame, found) >= 0.99
+    alone = spark.createDataFrame([(i, np.eye(32)[i].tolist()) for i in range(9)], frame.schema)
+    assert vectors.audit_recall(alone, vectors.near_duplicates(alone)) is None

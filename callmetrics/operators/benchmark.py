@@ -109,6 +109,34 @@ def integrity(selected: DataFrame, results: DataFrame, case_id: str = "case_id",
     return both.select(case_id, problem.alias("problem")).where("problem is not null")
 
 
+def require_exact_set(selected: DataFrame, results: DataFrame, case_id: str = "case_id", hashed: str = "case_hash") -> DataFrame:
+    """``results`` themselves; an error naming the first cases that are missing, unexpected, repeated or changed."""
+    found = integrity(selected, results, case_id, hashed).orderBy(case_id).limit(5).collect()
+    if found:
+        raise AllocationError("results do not match the selection: " + ", ".join(f"{r[case_id]} {r['problem']}" for r in found))
+    return results
+
+
+def require_sources(files: DataFrame, path: str = "path", categories: tuple[str, ...] = CATEGORIES) -> dict[str, str]:
+    """The one file of each category; an error naming categories with none or several."""
+    found = unique_sources(files, path, categories).collect()
+    wrong = sorted(r["category"] for r in found if r["n"] != 1)
+    if wrong:
+        raise ValueError("category files are ambiguous or missing: " + ", ".join(wrong))
+    return {r["category"]: r["path"] for r in found}
+
+
+def export_rows(responses: DataFrame, pos: str = "pos") -> DataFrame:
+    """(pos, value): result lines in the benchmark's own form. The response is the first of prediction, model_response
+    and result that the row has; optional fields stand only where they have a value; a run id never does."""
+    have = lambda names: [F.col(c) for c in names if c in responses.columns]
+    said = F.coalesce(*have(("prediction", "model_response", "result")), F.lit(""))
+    name = F.coalesce(*[c.cast("string") for c in have(("id",))], F.col(pos).cast("string"))
+    more = [c for c in ("inference_log", "latency", "tokens") if c in responses.columns]
+    fields = sorted([("id", name), ("result", said), *[(c, F.col(c)) for c in more]], key=lambda x: x[0])
+    return responses.select(pos, F.to_json(F.struct(*[v.alias(k) for k, v in fields]), {"ignoreNullFields": "true"}).alias("value"))
+
+
 def unique_sources(files: DataFrame, path: str = "path", categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """(category, n, path): how many JSON files name a category; exactly one is wanted."""
     name = F.regexp_extract(F.col(path), r"([^/]+)\.jsonl?$", 1)

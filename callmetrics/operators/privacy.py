@@ -24,12 +24,36 @@ REDACTED = "[redacted]"
 ROW_COLUMNS = ("row_hash", "prompt_tokens", "candidate_count", "parsed", "task_success", "error_category")
 FORBIDDEN = ("query", "schema", "function", "function_name", "source_id", "arguments", "output", "log", "path", "dataset", "adapter", "checkpoint", "directory", "prompt", "completion")
 MOST_CHARS = 256
+CONFIG_COLUMNS = ("run_label", "seed", "model_revision", "dataset_revision", "split", "max_seq_length", "prompt_contract_version")
+METRIC_COLUMNS = (
+    "count", "tool_accuracy", "json_validity", "schema_validity", "argument_key_f1", "argument_value_f1", "exact_match", "task_success",
+    "extra_argument_rate", "extra_argument_count", "bootstrap_low", "bootstrap_high", "sample_std", "microbatches", "optimizer_updates",
+    "train_loss", "val_loss", "learning_rate", "iterations_per_second", "tokens_per_second", "trained_tokens", "peak_memory", "val_time", "exit_code",
+)
 
 
 class PrivacyError(ValueError):
     """Something that may not be uploaded."""
 
 
+def project_label(path: Column, project: str) -> Column:
+    """An absolute path relative to the project's folder, or a digest in place of a path outside it."""
+    root = project.rstrip("/")
+    outside = F.concat(F.lit("external:"), F.substring(F.sha2(path.cast("binary"), 256), 1, 16))
+    return F.when(path == root, ".").when(path.startswith(f"{root}/"), F.substring(path, len(root) + 2, 1 << 30)).otherwise(outside)
+
+
+def scrub_value(text: Column, project: str) -> Column:
+    """A text on its way into a run's files: an absolute path gets its label, any other text is scrubbed."""
+    return F.when(text.startswith("/"), project_label(text, project)).otherwise(scrub(text, project))
+
+
+def metric_rows(metrics: DataFrame, name: str = "metric", value: str = "value") -> DataFrame:
+    """Metrics that may be uploaded: listed names with a finite number."""
+    number = F.col(value).try_cast("double")
+    return metrics.where(F.col(name).isin(*METRIC_COLUMNS) & number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))).withColumn(value, number)
+
+
 def scrub(text: Column, project: str | None = None) -> Column:
     """A text without paths, credentials and UUIDs; the project's own folder becomes ``<project>``."""
     made = F.replace(text, F.lit(project), F.lit("<project>")) if project else text

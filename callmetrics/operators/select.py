@@ -83,6 +83,35 @@ def last_write(journal: DataFrame, key: str, order: list[str]) -> DataFrame:
     return journal.groupBy(key).agg(F.max_by(F.struct(*[c for c in journal.columns if c != key]), at).alias("_row")).select(key, "_row.*")
 
 
+def with_run_files(journal: DataFrame, manifests: DataFrame, statuses: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Journal entries that made a selection, with what their runs' files say; runs whose files are not there have nulls.
+
+    ``journal`` (run_id, split, recipe, resolved_fingerprint, fingerprint), ``manifests`` (run_id, controlled,
+    artifact_version, git_commit, config_hash), ``statuses`` (run_id, status), ``artifacts`` (run_id, name, sha256, bytes).
+    """
+    of = lambda name: artifacts.where(F.col("name") == name)
+    adapter = of("adapter/adapters.safetensors").select("run_id", F.col("sha256").alias("adapter_sha256"), F.col("bytes").alias("adapter_bytes"))
+    resolved = of("resolved_config.yaml").select("run_id", F.col("sha256").alias("resolved_config_sha256"))
+    fixed = adapter.join(resolved, "run_id")  # both or neither
+    made = journal.join(manifests, "run_id", "left").join(statuses, "run_id", "left").join(fixed, "run_id", "left")
+    kept = [c for c in journal.columns if c not in ("split", "resolved_fingerprint")]
+    return made.select(
+        *kept,
+        F.coalesce(F.col("controlled") & (F.col("artifact_version") == 2), F.lit(False)).alias("controlled"),
+        F.coalesce((F.col("status") == "completed") & (F.coalesce("split", F.lit("validation")) == "validation"), F.lit(False)).alias("validation_only"),
+        F.coalesce("resolved_fingerprint", "fingerprint").alias("resolved_fingerprint"),
+        "git_commit", "adapter_sha256", "adapter_bytes", "resolved_config_sha256",
+        F.when(F.col("adapter_sha256").isNotNull(), F.coalesce("config_hash", F.lit(""))).alias("config_sha256"),
+    )
+
+
+def latest_run(runs: DataFrame, name: str, base: Column) -> DataFrame:
+    """(base, run): of each base name the run with the largest ``-attempt-N`` suffix, the plain name counting as 0."""
+    number = F.regexp_extract(F.col(name), r"-attempt-(\d+)$", 1)
+    attempt = F.when(number != "", number.cast("int")).otherwise(0)
+    return runs.groupBy(base.alias("base")).agg(F.max_by(F.col(name), F.struct(attempt, F.col(name))).alias("run"))
+
+
 def to_resume(plan: DataFrame, journal: DataFrame, key: str, done: Column) -> DataFrame:
     """Planned rows whose key has no finished entry."""
     return plan.join(journal.where(done).select(key).distinct(), key, "left_anti")

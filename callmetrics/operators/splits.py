@@ -182,6 +182,20 @@ def without_shared_keys(rows: DataFrame, locked: DataFrame, row_id: str, keys: C
     return rows.join(hit, row_id, "left_anti")
 
 
+def sharing(test: DataFrame, others: DataFrame, row_id: str, keys: Column) -> DataFrame:
+    """(row_id): test rows that share a key with any other row."""
+    taken = others.select(F.explode(keys).alias("key")).distinct()
+    return test.select(row_id, F.explode(keys).alias("key")).join(taken, "key", "left_semi").select(row_id).distinct()
+
+
+def require_disjoint(test: DataFrame, others: DataFrame, row_id: str, keys: Column) -> DataFrame:
+    """``test`` itself; an error naming its first rows if it shares a key with the others."""
+    found = [r[0] for r in sharing(test, others, row_id, keys).orderBy(row_id).limit(5).collect()]
+    if found:
+        raise AllocationError(f"schema-OOD test overlaps train or validation: {found}")
+    return test
+
+
 def schema_ood_test(rows: DataFrame, locked: DataFrame, row_id: str, keys: Column, target: int, seed: int = 42) -> DataFrame:
     """``target`` rows, whole schema components that no locked row touches, first fit in rank order."""
     candidates = rows.join(locked.select(row_id), row_id, "left_anti")
@@ -235,6 +249,26 @@ def nested_allocation(rows: DataFrame, row_id: str, keys: Column, schema: Column
     return made
 
 
+def context_view(rows: DataFrame, locked: DataFrame, row_id: str, keys: Column, length: str, most: int) -> DataFrame:
+    """(row_id, split, place) of a version for a longer context: ``locked`` (columns of ``rows`` and ``split``) stays as
+    it is, train is every row that fits and lies outside the locked components, in the order of the digests of its id."""
+    fits = rows.where(F.col(length).isNull() | (F.col(length) <= most))
+    free = without_locked_components(fits, locked.drop("split"), row_id, keys)
+    record = F.to_json(F.struct(F.col(row_id).cast("string").alias("source_id")))
+    train = free.select(row_id, F.lit("train").alias("split"), F.sha2(record.cast("binary"), 256).alias("place"))
+    return train.unionByName(locked.select(row_id, "split", F.lit(None).cast("string").alias("place")))
+
+
+def full_allocation(rows: DataFrame, locked: DataFrame, row_id: str, keys: Column, count: Column, target: int, length: str, most: int = 2048, seed: int = 42) -> DataFrame:
+    """(row_id, split): a stratified train split of ``target`` rows from those that fit and lie outside the locked
+    components, and ``locked`` (columns of ``rows`` and ``split``) as it is."""
+    fits = rows.where(F.col(length).isNull() | (F.col(length) <= most))
+    free = cut(without_locked_components(fits, locked.drop("split"), row_id, keys))
+    grouped = free.join(components(free, row_id, keys), row_id).withColumn("stratum", stratum(count))
+    train = grouped.join(stratified(grouped, row_id, {"train": target}, seed), "component")
+    return train.select(row_id, "split").unionByName(locked.select(row_id, "split"))
+
+
 # -- checks ---------------------------------------------------------------------------------------------------------
 
 
@@ -263,6 +297,20 @@ def checks(splits: DataFrame, row_id: str, sizes: dict[str, int]) -> DataFrame:
     return size_rows.unionByName(named("unique_ids", twice)).unionByName(named("component_leakage", leaks))
 
 
+def lock_checks(splits: DataFrame, row_id: str, hashes: DataFrame, nested: dict[str, DataFrame], locked: tuple[str, ...] = ("validation", "test")) -> DataFrame:
+    """(check, ok, detail) of (row_id, split) against what was locked: the list hash of each split is the stored one of
+    ``hashes`` (split, want); the locked splits of every version in ``nested`` are the same, and its train is larger."""
+    made = list_hash(splits, row_id, row_id, ("split",)).join(hashes, "split", "full")
+    checked = made.select(F.concat(F.lit("hash:"), "split").alias("check"), F.col("content_hash").eqNullSafe(F.col("want")).alias("ok"), F.coalesce("content_hash", F.lit("")).alias("detail"))
+    for name, version in sorted(nested.items()):
+        for kind, ours, theirs in (("locks", splits.where(F.col("split").isin(*locked)), version.where(F.col("split").isin(*locked))), ("train", splits.where("split = 'train'"), version.where("split = 'train'"))):
+            a, b = ours.select(row_id, "split", F.lit(1).alias("a")), theirs.select(row_id, "split", F.lit(1).alias("b"))
+            both = a.join(b, [row_id, "split"], "full" if kind == "locks" else "left")
+            strange = both.where("a is null or b is null").agg(F.count(F.lit(1)).alias("n"))
+            checked = checked.unionByName(strange.select(F.lit(f"nested_{kind}:{name}").alias("check"), (F.col("n") == 0).alias("ok"), F.col("n").cast("string").alias("detail")))
+    return checked
+
+
 def same_lists(left: DataFrame, right: DataFrame, value: str, position: str) -> DataFrame:
     """Positions at which two ordered lists differ, either side missing included; none if the lists are equal."""
     a = left.select(F.col(position).alias("at"), F.col(value).alias("left"))

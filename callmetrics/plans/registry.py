@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callmetrics.plans import calls, study
+from callmetrics.plans import calls, checks, study
 
-QUERIES = {**calls.QUERIES, **study.QUERIES}
-SQL = {**calls.SQL, **study.SQL}
+QUERIES = {**calls.QUERIES, **study.QUERIES, **checks.QUERIES}
+SQL = {**calls.SQL, **study.SQL, **checks.SQL}

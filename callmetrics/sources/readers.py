@@ -6,7 +6,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,17 +28,28 @@ allocator_memory_bytes struct<before bigint, peak bigint, after bigint>, study_r
 def _elements(text: pd.Series) -> pd.Series:
     def one(t: str) -> list[str]:
         value = strict_loads(t)
-        if not isinstance(value, list):
+        value = value.get("rows", []) if isinstance(value, dict) else value
+        if not isinstance(value, list) or not all(isinstance(v, dict) for v in value):
             raise ValueError("fixture must contain an array of records")
         return [canonical(v) for v in value]
 
     return text.map(one)
 
 
+def numbered(rows: DataFrame, name: str = "pos") -> DataFrame:
+    """``rows`` with their position from 0, without gaps, in the order of their partitions. Row numbers within a
+    partition need no shuffle; only the partitions' counts, a number for each, are added up."""
+    marked = rows.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
+    counts = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = marked.join(counts.select("_p", before.alias("_before")), "_p")
+    return placed.withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_p", "_before")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, value): non-blank lines with a number that rises in file order within each file."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("pos"))
-    return lines.where(F.length(F.trim("value")) > 0).select("pos", "value")
+    """(pos, value): non-blank lines with their position from 0."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    return numbered(lines.select("value")).select("pos", "value")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -49,11 +60,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(_elements("value")).alias("pos", "value")).select(F.col("pos").cast("long").alias("pos"), "value")
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("split", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("value", T.StringType())])))
+def _split_rows(text: pd.Series) -> pd.Series:
+    def one(t: str) -> list[tuple[str, int, str]]:
+        splits = strict_loads(t).get("splits", {})
+        return [(name, pos, canonical(row)) for name, rows in splits.items() for pos, row in enumerate(rows)]
+
+    return text.map(one)
+
+
 def read_manifest_splits(spark: SparkSession, path: str) -> DataFrame:
-    """(split, pos, value) of a prepared manifest's ``splits``."""
-    whole = spark.read.text(path, wholetext=True).select(F.variant_get(F.parse_json("value"), "$.splits", "map<string,array<variant>>").alias("s"))
-    splits = whole.select(F.explode("s").alias("split", "rows"))
-    return splits.select("split", F.posexplode("rows").alias("pos", "row")).select("split", "pos", F.to_json("row").alias("value"))
+    """(split, pos, value) of a prepared manifest's ``splits``; numbers stay as they are written."""
+    return spark.read.text(path, wholetext=True).select(F.explode(_split_rows("value")).alias("r")).select("r.*")
 
 
 def _run_of(column: str = "_metadata.file_path"):

@@ -19,9 +19,9 @@ class LockError(RuntimeError):
 
 
 def write_json_lines(frame: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """One canonical JSON object per row; range-sorted if an order is given, nulls left out."""
+    """One canonical JSON object per row; range-sorted if an order is given, nulls as null."""
     held = frame.orderBy(*order) if order else frame
-    held.select(canonical_json()(F.to_json(F.struct(*frame.columns))).alias("value")).write.mode("overwrite").text(path)
+    held.select(canonical_json()(F.to_json(F.struct(*frame.columns), {"ignoreNullFields": "false"})).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_csv(frame: DataFrame, path: str, fields: list[str]) -> None:
@@ -58,6 +58,30 @@ def content_hash(document: dict[str, Any], field: str = "content_sha256") -> str
     return hashlib.sha256(canonical({k: v for k, v in document.items() if k != field}).encode()).hexdigest()
 
 
+def write_sidecar(path: str) -> str:
+    """Write the SHA-256 of a file beside it, as ``<path>.sha256``; the digest."""
+    digest = _file_digest(path)
+    with open(f"{path}.sha256", "w", encoding="utf-8") as file:
+        file.write(f"{digest}  {os.path.basename(path)}\n")
+    return digest
+
+
+def check_sidecar(path: str) -> None:
+    """LockError if a file's sidecar is missing or names another digest."""
+    try:
+        with open(f"{path}.sha256", encoding="utf-8") as file:
+            stored = file.read().split()[:1]
+    except FileNotFoundError:
+        stored = []
+    if stored != [_file_digest(path)]:
+        raise LockError(f"{os.path.basename(path)} does not match its sidecar")
+
+
+def _file_digest(path: str) -> str:
+    with open(path, "rb") as file:
+        return hashlib.file_digest(file, "sha256").hexdigest()
+
+
 def write_lock(path: str, document: dict[str, Any]) -> dict[str, Any]:
     """Write a document with its content hash once; writing the same again is allowed."""
     made = {**document, "content_sha256": content_hash(document)}

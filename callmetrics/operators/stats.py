@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callmetrics.operators.storage import cut
+from callmetrics.sources import readers
 
 
 class SeriesError(ValueError):
@@ -119,21 +120,37 @@ def floor_rank(values: Column, share: float) -> Column:
     return F.coalesce(F.get(values, at), F.lit(0.0))
 
 
+def _in_order(rows: DataFrame, by: tuple[str, ...], order: list[Column]) -> DataFrame:
+    """``rows`` with ``_pos``, their place in the order of ``by``, then ``order``. The sort is by ranges, so that a large
+    group, or many equal rows, are spread over tasks; it is cut, so that each row keeps its partition."""
+    return readers.numbered(cut(rows.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*by, *order, "_tie").drop("_tie")), "_pos")
+
+
+def _start(placed: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
+    """(by, _first, _n): where each group begins and how many values it has."""
+    return placed.groupBy(*by).agg(F.min("_pos").alias("_first"), F.count(value).alias("_n"))
+
+
 def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """Floor-rank percentiles by row numbers: groups are sorted by the engine and never held as one array."""
-    order = Window.partitionBy(*by).orderBy(value)
-    whole = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(whole))
-    wanted = [F.max(F.when(F.col("_at") == F.floor(F.lit(s) * (F.col("_n") - 1)), F.col(value))).alias(name) for name, s in shares.items()]
-    return ranked.groupBy(*by).agg(*wanted)
+    """Floor-rank percentiles: one range-partitioned sort, from which the wanted places are picked. Nulls are no values;
+    a group without values has 0 everywhere."""
+    placed = _in_order(rows.select(*by, value), by, [F.col(value).asc_nulls_last()])
+    at = lambda s: F.when(F.col("_n") > 0, F.col("_first") + F.floor(F.lit(s) * (F.col("_n") - 1)))
+    asked = _start(placed, by, value).select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("name"), at(s).alias("_pos")) for k, s in shares.items()])).alias("_asked"))
+    picked = asked.select(*by, "_asked.*").join(placed.select("_pos", F.col(value).alias("_value")), "_pos", "left")
+    none = F.lit(0).cast(rows.schema[value].dataType)
+    return picked.groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("name") == k, F.col("_value"))), none).alias(k) for k in shares])
 
 
 def end_quartiles(rows: DataFrame, value: str, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """(by, first_quartile, last_quartile): means of the first and last max(1, n / 4) values in arrival order."""
-    ordered, whole = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
-    placed = rows.where(F.col(value).isNotNull()).withColumn("_at", F.row_number().over(ordered)).withColumn("_n", F.count(F.lit(1)).over(whole))
+    known = rows.where(F.col(value).isNotNull()).select(*dict.fromkeys((*by, value, *order)))
+    placed = _in_order(known, by, [F.col(c) for c in order])
+    group = F.struct(F.lit(1), *by)
+    starts = _start(placed, by, value).select(group.alias("_group"), "_first", "_n")
+    met = placed.withColumn("_same", group).join(starts, F.col("_same").eqNullSafe(F.col("_group"))).withColumn("_at", F.col("_pos") - F.col("_first") + 1)
     part = F.greatest(F.lit(1), F.floor(F.col("_n") / 4))
-    return placed.groupBy(*by).agg(
+    return met.groupBy(*by).agg(
         F.avg(F.when(F.col("_at") <= part, F.col(value))).alias("first_quartile"),
         F.avg(F.when(F.col("_at") > F.col("_n") - part, F.col(value))).alias("last_quartile"),
     )

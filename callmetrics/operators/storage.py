@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise ``frame`` under ``spark.checkpoint.dir`` and cut its lineage; a temporary folder of this process
-    serves only where that setting is missing, as in tests."""
+    serves only where that setting is missing in a local session, as in tests. A cluster without it is refused."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="callmetrics-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)

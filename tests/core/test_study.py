@@ -45,6 +45,14 @@ def test_order_statistics(spark):
     frame = spark.createDataFrame([(i, float(v)) for i, v in enumerate([5, 1, 4, 2, 3, 9, 8, 7, 6, 0])], "i int, v double")
     got = stats.percentiles(frame, "v", {"p50": 0.5, "p95": 0.95}).first()
     assert (got.p50, got.p95) == (4.0, 8.0)
+    groups = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 1.0), ("a", None), (None, 5.0), ("b", None)] + [("h", float(i % 7)) for i in range(500)], "g string, v double").repartition(9)
+    got = {r.g: (r.low, r.mid, r.high) for r in stats.percentiles(groups, "v", {"low": 0.0, "mid": 0.5, "high": 1.0}, ("g",)).collect()}
+    assert got == {"a": (1.0, 1.0, 3.0), None: (5.0, 5.0, 5.0), "b": (0.0, 0.0, 0.0), "h": (0.0, float(sorted(i % 7 for i in range(500))[249]), 6.0)}
+    assert stats.percentiles(groups.limit(0), "v", {"p": 0.5}).first().p == 0.0
+    assert stats.percentiles(groups.limit(0), "v", {"p": 0.5}, ("g",)).count() == 0
+    ends = {r.g: (r.first_quartile, r.last_quartile) for r in stats.end_quartiles(groups.withColumn("o", F.col("v")), "v", ["o"], ("g",)).collect()}
+    held = sorted(i % 7 for i in range(500))
+    assert ends == {"a": (1.0, 3.0), None: (5.0, 5.0), "h": (sum(held[:125]) / 125, sum(held[-125:]) / 125)}
     q = stats.end_quartiles(frame, "v", ["i"]).first()
     assert (q.first_quartile, q.last_quartile) == (3.0, 3.0)
     three = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 1.0)], "g string, v double")

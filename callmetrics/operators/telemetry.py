@@ -74,3 +74,8 @@ def probe_safety(samples: DataFrame, order: list[str], by: tuple[str, ...], fail
     made = made.withColumn("projected_disk", F.coalesce(F.col("projected_free_disk_gib") < LEAST_DISK_GIB, F.lit(False)))
     against = F.col("available_memory") | F.col("critical_pressure") | F.col("swap_growth") | F.col("aborted_or_killed") | F.col("nonfinite") | F.col("projected_disk")
     return made.withColumn("status", F.when(against, "infeasible").otherwise("safe"))
+
+
+def peak(samples: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The largest value of each group as a number; 0 where no sample has one."""
+    return samples.groupBy(*by).agg(F.coalesce(F.max(F.when(~F.isnan(F.col(value).try_cast("double")), F.col(value).try_cast("double"))), F.lit(0.0)).alias(f"peak_{value}"))

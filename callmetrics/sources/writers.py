@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import shutil
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -104,6 +105,23 @@ def read_lock(path: str) -> dict[str, Any]:
     return made
 
 
+#: Sections of a run's manifest that updates add to instead of replacing them.
+GROWING = ("hashes", "counts", "bytes", "requirements")
+
+
+def merged_manifest(manifest: dict[str, Any], updates: dict[str, Any]) -> dict[str, Any]:
+    """A manifest with updates: the growing sections take new entries beside their old ones, all else is replaced."""
+    adds = lambda name, value: name in GROWING and isinstance(value, dict)
+    return manifest | {name: manifest.get(name, {}) | value if adds(name, value) else value for name, value in updates.items()}
+
+
+def require_space(folder: str, floor_gib: float = 30.0, needed_gib: float = 0.0) -> None:
+    """OSError unless the disk of ``folder`` keeps ``floor_gib`` free after ``needed_gib`` are written."""
+    left = shutil.disk_usage(folder).free / 2**30 - needed_gib
+    if left < floor_gib:
+        raise OSError(f"{left:.2f} GiB would stay free, {floor_gib:.2f} GiB are required")
+
+
 def dataset_descriptor(version: str, seed: int, counts: dict[str, int], hashes: dict[str, str]) -> dict[str, Any]:
     """The portable description of a prepared dataset: no rows, only counts and content hashes."""
     made = {"manifest_version": 2, "version": version, "seed": seed, "token_tiers": {"short": 512, "long": 2048}, "counts": counts, "split_hashes": hashes}

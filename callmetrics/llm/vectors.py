@@ -3,7 +3,8 @@
 Equal vectors form classes first. Centroids of a spherical k-means, fitted on a bounded sample, cut the classes into
 clusters, and clusters whose centroids lie within the angle of a link form one region, so that a dense group is never
 cut by its clusters. A class is at home in the region of its nearest cluster and a guest in all regions with a cluster
-that is nearly as near, however many. On every region's shard a graph is built: each vector's nearest candidates and some far ones are pruned robustly (a
+that is nearly as near, however many. A region that is still large is cut in the same way by centroids of its own,
+level by level. On every region's shard a graph is built: each vector's nearest candidates and some far ones are pruned robustly (a
 candidate goes when a chosen neighbour is nearer to it by a factor than the vector is), edges are made mutual and what
 the shard's medoid can't reach is tied to its nearest reached vector. The adjacency lists of a class from all its
 shards are united. Every class is then a query in its home shard: a greedy search from the medoid keeps a short list of
@@ -40,9 +41,9 @@ class Index:
 
     shard_rows: int = 1_500
     block_rows: int = 4_000
-    most_clusters: int = 1_024
+    most_clusters: int = 1_024  # of one level
+    levels: int = 4
     sample: int = 20_000
-    spill: int = 3  # bounds nothing any more: guests go by the angle alone
     nearly: float = 0.2  # radians a guest's cluster may lie farther than the home
     dense: int = 64  # vectors in range from which a query is compared with its whole block
     degree: int = 16
@@ -214,6 +215,72 @@ def range_search(x: np.ndarray, lists: list[np.ndarray], start: int, queries: np
             yield low + i, np.nonzero(score[i, :n] >= least)[0]
 
 
+def placed_in(x: np.ndarray, centers: np.ndarray, region: np.ndarray, nearly: float) -> tuple[list[int], list[list[int]]]:
+    """Of unit vectors: the region of the nearest center, and all regions with a center that is nearly as near."""
+    angle = np.arccos(np.clip(x @ centers.T, -1, 1))
+    near = angle <= angle.min(1, keepdims=True) + nearly
+    return region[angle.argmin(1)].tolist(), [np.unique(region[row]).tolist() for row in near]
+
+
+def by_levels(members: DataFrame, least: float, index: Index) -> DataFrame:
+    """Stored ``members`` (cid, m, vector, home, shards, shard) with every shard of more than twice ``shard_rows`` cut
+    into clusters of its own, level by level, so that shards stay small however many vectors there are.
+
+    A shard's centroids are fitted in one task on about ``sample`` of its members and carried to all of them, dealt
+    over tasks of about ``sample`` rows. A shard that its own clusters don't part (a dense group is one region) stays
+    whole; so does what is left after ``levels``. Blocks cover such a shard in full.
+    """
+    rows = members.select("cid", "m", "vector", "shard", (F.col("home") == F.col("shard")).alias("own"), F.lit(True).alias("fresh"))
+    kept, cuts = members, 0
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        x = unit(frame["vector"])
+        k = int(min(index.most_clusters, -(-int(frame["rows"].iloc[0]) // index.shard_rows)))
+        centers = fit_centroids(x, k, index.seed)
+        region = regions(centers, least)
+        held = np.bincount(np.concatenate(placed_in(x, centers, region, index.nearly)[1]))
+        parts = 2 * int((held**2).sum()) < len(x) ** 2  # the comparisons that are left
+        made = [(int(frame["shard"].iloc[0]), int(frame["rows"].iloc[0]), centers.tolist(), region.tolist())] if parts else []
+        return pd.DataFrame(made, columns=["shard", "rows", "centers", "region"])
+
+    def deal(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in ("cid", "m", "vector", "shard", "own", "leaf")})
+        centers = np.array([np.asarray(c) for c in right["centers"].iloc[0]])
+        home, near = placed_in(unit(left["vector"]), centers, np.asarray(right["region"].iloc[0]), index.nearly)
+        made = left[["cid", "m", "vector", "shard", "own"]].assign(first=home, leaf=near).explode("leaf")
+        made["own"] = made["own"] & (made["first"] == made["leaf"])
+        return made.drop(columns="first")
+
+    for _ in range(index.levels):
+        large = cut(rows.where("fresh").groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 2 * index.shard_rows))
+        if not large.count():
+            break
+        chance = F.lit(1_000_000) * F.least(F.lit(1.0), F.lit(index.sample) / F.col("rows"))
+        picked = rows.join(large, "shard").where(F.pmod(F.xxhash64(F.lit(index.seed + 1), "cid"), F.lit(1_000_000)) < chance)
+        fitted = stored(picked.select("shard", "rows", "vector").groupBy("shard").applyInPandas(fit, "shard long, rows long, centers array<array<double>>, region array<int>"), "vector-levels")
+        if not fitted.count():
+            discard(fitted)
+            break
+        deals = F.ceil(F.col("rows") / index.sample).cast("int")
+        parted = fitted.select("shard", deals.alias("deals"))
+        left = rows.join(parted, "shard").withColumn("deal", F.pmod("cid", "deals").cast("int")).groupBy("shard", "deal")
+        right = fitted.withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).groupBy("shard", "deal")
+        dealt = left.cogroup(right).applyInPandas(deal, "cid long, m long, vector array<double>, shard long, own boolean, leaf long")
+        below = dealt.select("cid", "m", "vector", F.xxhash64("shard", "leaf").alias("shard"), "own", F.lit(True).alias("fresh"))
+        whole = rows.join(parted, "shard", "left_anti").withColumn("fresh", F.lit(False))
+        after = stored(whole.select(below.columns).unionByName(below), "vector-members")
+        discard(fitted, kept)
+        rows = kept = after
+        cuts += 1
+    if not cuts:
+        return members
+    owners = rows.groupBy("cid").agg(F.max(F.when(F.col("own"), F.col("shard"))).alias("home"), F.collect_set("shard").alias("shards"))
+    made = stored(rows.drop("own", "fresh").join(owners, "cid"), "vector-members")
+    discard(kept)
+    return made
+
+
 def link_classes(classes: DataFrame, least: float, index: Index) -> tuple[DataFrame, DataFrame]:
     """From classes (cid, m, vector): counts (cid, found), vectors linked directly, and forest edges (a, b)."""
     n = classes.count()
@@ -229,20 +296,18 @@ def link_classes(classes: DataFrame, least: float, index: Index) -> tuple[DataFr
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centers, region = shared.value
         for batch in batches:
-            homes, shards = [], []
-            for vector in batch["vector"]:
-                if len(vector) != centers.shape[1]:
-                    homes.append(-len(vector))
-                    shards.append([-len(vector)])
-                    continue
-                angle = np.arccos(np.clip(unit([vector])[0] @ centers.T, -1, 1))
-                homes.append(int(region[angle.argmin()]))
-                shards.append(np.unique(region[angle <= angle.min() + index.nearly]).tolist())
+            fits = batch["vector"].map(len) == centers.shape[1]
+            homes = [-len(v) for v in batch["vector"]]
+            shards = [[h] for h in homes]
+            at = np.nonzero(fits)[0].tolist()
+            if at:
+                for i, home, near in zip(at, *placed_in(unit(batch["vector"][fits]), centers, region, index.nearly), strict=True):
+                    homes[i], shards[i] = home, near
             yield batch.assign(home=homes, shards=shards)
 
-    schema = "cid long, m long, vector array<double>, home int, shards array<int>"
+    schema = "cid long, m long, vector array<double>, home long, shards array<long>"
     placed = classes.select("cid", "m", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(assign, schema)
-    members = stored(placed.withColumn("shard", F.explode("shards")), "vector-members")
+    members = by_levels(stored(placed.withColumn("shard", F.explode("shards")), "vector-members"), least, index)
     sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
     blocks = cut(sizes.select("shard", F.ceil(F.col("rows") / index.block_rows).cast("int").alias("blocks")))
     based = members.join(blocks, "shard").withColumn("block", F.pmod("cid", "blocks").cast("int"))

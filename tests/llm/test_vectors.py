@@ -32,7 +32,7 @@ def test_against_brute_force(spark):
     x = np.concatenate([base[rng.integers(0, 60, 500)] + rng.normal(size=(500, 16)) * 0.12, rng.normal(size=(300, 16)), np.repeat(base[:1], 40, 0)])
     rows = rows_of(x)
     want = brute(rows)
-    for index in (vectors.Index(shard_rows=120, block_rows=10_000, nearly=0.6, spill=6), vectors.Index(shard_rows=300, block_rows=70, nearly=0.6, spill=6)):
+    for index in (vectors.Index(shard_rows=120, block_rows=10_000, nearly=0.6), vectors.Index(shard_rows=300, block_rows=70, nearly=0.6)):
         got = vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), index=index)
         found = {r.vec_id: (r.n_links, r.component_id) for r in got.collect()}
         links = sum(n for n, _ in want.values())
@@ -56,6 +56,34 @@ def test_a_hot_group_over_many_clusters(spark):
         assert all(got[i][1] == want[i][1] for i in want)
 
 
+def test_clusters_by_levels(spark, monkeypatch):
+    """Three clusters a level: large shards part again and again, a hot group stays whole, links are still all found."""
+    rng = np.random.default_rng(7)
+    centers = np.repeat(rng.normal(size=(6, 24)), 4, 0) + 0.6 * rng.normal(size=(24, 24))
+    x = np.repeat(centers, 60, 0) + 0.25 * rng.normal(size=(1440, 24))
+    x = np.concatenate([x, centers[5] + 0.1 * rng.normal(size=(500, 24))])
+    rows = rows_of(x)
+    want = brute(rows)
+    sizes, plain = [], vectors.by_levels
+
+    def watched(members, least, index):
+        before = members.groupBy("shard").count().collect()
+        made = plain(members, least, index)
+        after = made.groupBy("shard").count().collect()
+        homes = made.where("home = shard").count()
+        sizes.append((len(before), len(after), max(r["count"] for r in after), homes))
+        return made
+
+    monkeypatch.setattr(vectors, "by_levels", watched)
+    index = vectors.Index(shard_rows=60, most_clusters=3, sample=700)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA), index=index).collect()}
+    before, after, largest, homes = sizes[0]
+    assert before <= 3 and after > 9 and homes == len(rows) and 500 <= largest < 1000
+    assert len(got) == len(rows) and all(got[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], "", ""), (2, [2.0, 0.0], "", ""), (3, None, "", ""), (4, [], "", ""), (5, [0.0, 0.0], "", ""), (6, [nan, 1.0], "", ""), (7, [inf, 1.0], "", ""), (8, [None, 1.0], "", ""), (9, [1.0, 0.0, 0.0], "", ""), (9, [1.0, 0.0, 0.0], "", ""), (None, [1.0, 0.0], "", "")]

@@ -1,8 +1,7 @@
 """Leakage-free splits: components of rows that share keys, hash ranks, quotas and exact allocation.
 
 Rows stay on the executors throughout. Components come from min-label hops along row-key edges, whose minima combine
-before each shuffle. Only the allocation itself, an ordered fold over (rank, sizes) of components, runs where its state is:
-small tuples stream to the driver in rank order, a partition at a time.
+before each shuffle. Allocation is an ordered fold over (rank, sizes) of components, which ``allocate`` deals over tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callmetrics.operators import allocate
 from callmetrics.operators.storage import cut
 
 STRATA = ("1", "2-4", ">=5")
@@ -89,23 +89,15 @@ def audit_queue(rows: DataFrame, row_id: str, n: int, seed: int = 42) -> DataFra
 # -- exact allocation -----------------------------------------------------------------------------------------------
 
 
-def first_fit(ranked: DataFrame, target: int, group: str = "component") -> DataFrame:
+def first_fit(ranked: DataFrame, target: int, group: str = "component", parts: int | None = None) -> DataFrame:
     """Groups taken in rank order whenever they still fit into ``target`` rows; ``total`` is what they hold.
 
-    A group that is too large is passed over and later ones are tried, so this is a fold and no prefix sum. Range-sorted
-    (group, size) pairs stream through the driver a partition at a time and the stream ends with the target; only the
-    taken groups, ``target`` at most, are kept.
+    A group that is too large is passed over and later ones are tried, so this is a fold and no prefix sum; ranges of
+    groups are folded by tasks and composed.
     """
-    spark, kind = ranked.sparkSession, ranked.schema[group].dataType.simpleString()
-    taken, total = [], 0
-    if target > 0:
-        for row in ranked.where(F.col("size") <= target).orderBy("rank_key", group).select(group, "size").toLocalIterator():
-            if total + row["size"] <= target:
-                taken.append(row[group])
-                total += row["size"]
-            if total == target:
-                break
-    return spark.createDataFrame([(total, g) for g in taken], f"total long, {group} {kind}")
+    if target <= 0:
+        return ranked.select(F.lit(0).cast("long").alias("total"), group).limit(0)
+    return allocate.first_fit(ranked, target, group, parts)
 
 
 def require_exact(taken: DataFrame, target: int, what: str) -> DataFrame:
@@ -126,40 +118,34 @@ def quotas(counts: DataFrame, target: int) -> DataFrame:
     return placed.select("stratum", "n", (F.col("base") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).alias("quota"))
 
 
-def stratified(members: DataFrame, row_id: str, targets: dict[str, int], seed: int = 42) -> DataFrame:
+def stratified(members: DataFrame, row_id: str, targets: dict[str, int], seed: int = 42, parts: int | None = None) -> DataFrame:
     """(component, split): groups in rank order go to the fitting split with the least room left, all quotas are met.
 
-    ``members`` has row_id, component and stratum. The driver folds one tuple per component, its three counts.
+    ``members`` has row_id, component and stratum. Ranges of groups are folded by tasks, each from the rooms it meets.
     """
-    spark = members.sparkSession
     counts = members.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    room = {name: {r["stratum"]: r["quota"] for r in quotas(counts, target).collect()} for name, target in targets.items()}
-    sizes = members.groupBy("component").agg(*[F.sum(F.when(F.col("stratum") == s, 1).otherwise(0)).alias(f"s{i}") for i, s in enumerate(STRATA)])
-    ranked = group_ranks(members, row_id, seed=seed).select("component", "rank_key").join(sizes, "component").orderBy("rank_key")
-    chosen = []
-    for row in ranked.toLocalIterator():
-        need = {s: row[f"s{i}"] for i, s in enumerate(STRATA) if row[f"s{i}"]}
-        fitting = [name for name, left in room.items() if all(n <= left.get(s, 0) for s, n in need.items())]
-        if not fitting:
-            continue
-        name = min(fitting, key=lambda x: (sum(room[x].values()), x))
-        chosen.append((row["component"], name))
-        for s, n in need.items():
-            room[name][s] -= n
-    if any(n for left in room.values() for n in left.values()):
+    rooms = {}
+    for name, target in targets.items():
+        dealt = {r["stratum"]: r["quota"] for r in quotas(counts, target).collect()}
+        rooms[name] = [dealt.get(s, 0) for s in STRATA]
+    columns = [f"s{i}" for i in range(len(STRATA))]
+    sizes = members.groupBy("component").agg(*[F.sum(F.when(F.col("stratum") == s, 1).otherwise(0)).alias(c) for s, c in zip(STRATA, columns)])
+    ranked = group_ranks(members, row_id, seed=seed).select("component", "rank_key").join(sizes, "component")
+    chosen, left = allocate.by_quota(ranked, "component", columns, rooms, parts)
+    if any(n for room in left.values() for n in room):
         raise AllocationError("cannot allocate strict stratified splits without duplicate leakage")
-    return spark.createDataFrame(chosen, f"component {members.schema['component'].dataType.simpleString()}, split string")
+    return chosen
 
 
 def sequential(ranked: DataFrame, targets: dict[str, int], group: str = "component") -> DataFrame:
     """(group, split): splits are filled one after another, each trying all groups that are still free in rank order."""
-    spark, kind = ranked.sparkSession, ranked.schema[group].dataType.simpleString()
-    done, free = [], ranked
+    done, free = None, ranked
     for name, target in targets.items():
-        taken = [r[group] for r in require_exact(first_fit(free, target, group), target, f"strict {name} split").collect()]
-        done += [(g, name) for g in taken]
-        free = free.join(spark.createDataFrame([(g,) for g in taken], f"{group} {kind}"), group, "left_anti")
-    return spark.createDataFrame(done, f"{group} {kind}, split string")
+        taken = cut(require_exact(first_fit(free, target, group), target, f"strict {name} split"))
+        named = taken.withColumn("split", F.lit(name))
+        done = named if done is None else done.unionByName(named)
+        free = free.join(taken, group, "left_anti")
+    return done
 
 
 # -- exclusion ------------------------------------------------------------------------------------------------------

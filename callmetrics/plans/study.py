@@ -51,6 +51,11 @@ def greedy_first_fit(spark, sf_dir):
     return splits.first_fit(ranked, 150).select("component")
 
 
+def sequential_splits(spark, sf_dir):
+    ranked = splits.group_ranks(_members(spark, sf_dir), "doc_id")
+    return splits.sequential(ranked, {"test": 60, "validation": 40}).select("component", "split")
+
+
 def strata_counts(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     return score.zero_filled(turns.select(splits.stratum(F.col("n")).alias("stratum")), "stratum", splits.STRATA).select("stratum", "n")
@@ -318,7 +323,7 @@ def sanitized_rows(spark, sf_dir):
 
 
 def stratified_split(spark, sf_dir):
-    """Validation and test over components and strata; the fold has no SQL, tests hold it against plain Python."""
+    """Validation and test over components and strata."""
     members = _members(spark, sf_dir).withColumn("stratum", splits.stratum(F.col("doc_id") % 7))
     done = splits.stratified(members.select("doc_id", "component", "stratum"), "doc_id", {"validation": 40, "test": 60})
     return members.join(done, "component").select("doc_id", "component", "split")
@@ -341,6 +346,23 @@ _RANKED = "ranked AS (SELECT component, count(*) AS size, sha256('42:' || string
 _FOLD = """queue AS (SELECT component, size, row_number() OVER (ORDER BY rank_key, component) AS at FROM ranked),
 fold AS (SELECT 0::BIGINT AS at, 0::BIGINT AS total, NULL::BIGINT AS component, false AS taken
   UNION ALL SELECT q.at, CASE WHEN f.total + q.size <= {target} THEN f.total + q.size ELSE f.total END, q.component, f.total + q.size <= {target} FROM fold f JOIN queue q ON q.at = f.at + 1)"""
+_QUOTAS = """quotas AS (SELECT split, stratum, base + CASE WHEN place <= target - sum(base) OVER (PARTITION BY split) THEN 1 ELSE 0 END AS quota FROM (
+  SELECT *, floor(exact) AS base, row_number() OVER (PARTITION BY split ORDER BY exact - floor(exact) DESC, stratum) AS place FROM (
+  SELECT split, target, stratum, target * n / sum(n) OVER (PARTITION BY split) AS exact FROM counts, (VALUES ('validation', 40), ('test', 60)) t(split, target))))"""
+_STRATIFIED = f"""{_DOC_COMP}, {_RANKED},
+members AS (SELECT doc_id, component, CASE WHEN doc_id % 7 <= 1 THEN '1' WHEN doc_id % 7 <= 4 THEN '2-4' ELSE '>=5' END AS stratum FROM comp),
+counts AS (SELECT stratum, count(*) AS n FROM members GROUP BY 1), {_QUOTAS},
+need AS (SELECT component, count(*) FILTER (WHERE stratum = '1') AS a, count(*) FILTER (WHERE stratum = '2-4') AS b, count(*) FILTER (WHERE stratum = '>=5') AS c FROM members GROUP BY 1),
+queue AS (SELECT component, a, b, c, row_number() OVER (ORDER BY rank_key, component) AS pos FROM ranked JOIN need USING (component)),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS pos, {', '.join(f"(SELECT CAST(coalesce(max(quota), 0) AS BIGINT) FROM quotas WHERE split = '{name}' AND stratum = '{s}') AS {name[0]}{x}" for name in ("test", "validation") for s, x in (("1", "a"), ("2-4", "b"), (">=5", "c")))},
+    CAST(NULL AS BIGINT) AS component, CAST(NULL AS VARCHAR) AS split
+  UNION ALL
+  SELECT pos, ta - (split = 'test')::INT * a, tb - (split = 'test')::INT * b, tc - (split = 'test')::INT * c,
+    va - (split = 'validation')::INT * a, vb - (split = 'validation')::INT * b, vc - (split = 'validation')::INT * c, component, nullif(split, '')
+  FROM (SELECT q.*, ta, tb, tc, va, vb, vc, CASE
+    WHEN a <= ta AND b <= tb AND c <= tc AND (ta + tb + tc <= va + vb + vc OR NOT (a <= va AND b <= vb AND c <= vc)) THEN 'test'
+    WHEN a <= va AND b <= vb AND c <= vc THEN 'validation' ELSE '' END AS split FROM fold f JOIN queue q ON q.pos = f.pos + 1))"""
 _INDEX = "('0x' || substr(md5('42:' || d || ':' || s), 1, 8))::BIGINT % (SELECT count(*) FROM series)"
 
 
@@ -374,7 +396,7 @@ def _three(flag: str) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        dup_components, ood_components, hash_rank, group_rank, topk_per_category, greedy_first_fit, strata_counts, largest_remainder_quotas, locked_anti_join, schema_anti_join, ood_split,
+        dup_components, ood_components, hash_rank, group_rank, topk_per_category, greedy_first_fit, sequential_splits, strata_counts, largest_remainder_quotas, locked_anti_join, schema_anti_join, ood_split,
         component_leakage, content_hash, list_differences, bootstrap_quality_ci, micro_f1_bootstrap, paired_delta, paired_f1_delta, percentiles_floor_rank, throughput_quartiles, throughput_rates,
         seed_summary, training_exposure, first_peak_last, streak_events, probe_safety, system_summary, best_by_group, skyline_parts, skyline_missing, winner_and_rivals, sweep_cross, last_write_wins,
         resume_antijoin, attempt_numbers, paired_runs, drift_check, zero_filled_errors, heatmap_pivot, completeness_check, metric_audit, row_count_audit, repaired_examples, precision_names,
@@ -396,6 +418,12 @@ def _sql() -> dict[str, str]:
         "group_rank": f"WITH RECURSIVE {_DOC_COMP}, {_RANKED} SELECT component, size, rank_key FROM ranked",
         "topk_per_category": "SELECT event_type, event_id, rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY sha256('42:' || event_id::VARCHAR), event_id) AS rank FROM events) WHERE rank <= 20",
         "greedy_first_fit": f"WITH RECURSIVE {_DOC_COMP}, {_RANKED}, {_FOLD.format(target=150)} SELECT component FROM fold WHERE taken",
+        "sequential_splits": f"WITH RECURSIVE {_DOC_COMP}, {_RANKED}, {_FOLD.format(target=60)}, spare AS (SELECT * FROM ranked WHERE component NOT IN (SELECT component FROM fold WHERE taken)), {_FOLD.format(target=40).replace('FROM ranked', 'FROM spare').replace('queue', 'queue2').replace('fold ', 'fold2 ')} SELECT component, 'test' AS split FROM fold WHERE taken UNION ALL SELECT component, 'validation' FROM fold2 WHERE taken",
+        "stratified_split": f"WITH RECURSIVE {_STRATIFIED} SELECT doc_id, component, split FROM fold JOIN members USING (component) WHERE split IS NOT NULL",
+        "split_checks": f"""WITH RECURSIVE {_STRATIFIED}, made AS (SELECT doc_id, component, split FROM fold JOIN members USING (component) WHERE split IS NOT NULL)
+SELECT 'size:' || w.split AS "check", count(m.doc_id) = w.want AS ok, count(m.doc_id) || '/' || w.want AS detail FROM (VALUES ('validation', 40), ('test', 60)) w(split, want) LEFT JOIN made m ON m.split = w.split GROUP BY w.split, w.want
+UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT doc_id), (count(*) - count(DISTINCT doc_id))::VARCHAR FROM made
+UNION ALL SELECT 'component_leakage', count(*) = 0, count(*)::VARCHAR FROM (SELECT component FROM made GROUP BY 1 HAVING count(DISTINCT split) > 1)""",
         "strata_counts": "WITH t AS (SELECT count(*) AS n FROM conversations GROUP BY conv_id), s AS (SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 4 THEN '2-4' ELSE '>=5' END AS stratum FROM t) SELECT v.stratum, count(s.stratum) AS n FROM (VALUES ('1'), ('2-4'), ('>=5')) v(stratum) LEFT JOIN s USING (stratum) GROUP BY v.stratum",
         "largest_remainder_quotas": """WITH t AS (SELECT count(*) AS n FROM conversations GROUP BY conv_id), c AS (SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 4 THEN '2-4' ELSE '>=5' END AS stratum, count(*) AS n FROM t GROUP BY 1),
 e AS (SELECT *, 37 * n / sum(n) OVER () AS exact FROM c), b AS (SELECT *, floor(exact) AS base, row_number() OVER (ORDER BY exact - floor(exact) DESC, stratum) AS place FROM e)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callmetrics.functions.jsontext import canonical
+from callmetrics.operators.skyline import front
 
 LOWEST = float("-inf")
 
@@ -37,8 +38,7 @@ def skyline(rows: DataFrame, row_id: str, high: list[str], low: list[str], missi
 
     A missing ``low`` value is the worst. ``apart``: rows with a missing ``high`` value neither dominate nor are
     dominated, so they stay. ``zero``: missing ``high`` values count as 0. Equal points are one point, and of points
-    that agree in all values but the last only the best goes into the inequality join, an aggregate that combines
-    before the shuffle.
+    that agree in all values but the last only the best is compared further.
     """
     fill = 0.0 if missing == "zero" else None
     values = [numeric(F.col(c), fill) for c in high] + [numeric(-F.col(c).try_cast("double"), LOWEST) for c in low]
@@ -49,13 +49,7 @@ def skyline(rows: DataFrame, row_id: str, high: list[str], low: list[str], missi
         whole = whole & F.col(n).isNotNull()
     known = points.where(whole)
     distinct = known.groupBy(*names[:-1]).agg(F.max(names[-1]).alias(names[-1]))
-    other = distinct.select(*[F.col(n).alias(f"o_{n}") for n in names])
-    as_good, better = F.lit(True), F.lit(False)
-    for n in names:
-        as_good = as_good & (F.col(f"o_{n}") >= F.col(n))
-        better = better | (F.col(f"o_{n}") > F.col(n))
-    free = distinct.join(other, as_good & better, "left_anti")
-    kept = known.join(free, names, "left_semi").select(row_id).unionByName(points.where(~whole).select(row_id))
+    kept = known.join(front(distinct, names), names, "left_semi").select(row_id).unionByName(points.where(~whole).select(row_id))
     return rows.join(kept, row_id, "left_semi")
 
 

@@ -1,7 +1,8 @@
 """Bootstrap intervals, paired deltas, order statistics and seed summaries.
 
-Two ways to resample. ``hash`` draws slot j of draw i as a row by a digest of (seed, i, j), in SQL, the same in any
-engine; resampling is a join on row number and the statistic an aggregate per draw. ``parity`` replays the Mersenne
+Three ways to resample. ``poisson`` weighs every row in every draw by a digest of its id, in one pass whose sums merge;
+it is the one for large series. ``hash`` draws slot j of draw i as a row by a digest of (seed, i, j), in SQL, the same in
+any engine; resampling is a join on row number and the statistic an aggregate per draw. ``parity`` replays the Mersenne
 Twister sequence inside one Arrow group, for series that fit a task.
 """
 
@@ -14,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callmetrics.operators import resample
+from callmetrics.operators.ranks import end_quartiles, percentiles  # noqa: F401
 from callmetrics.operators.storage import cut
-from callmetrics.sources import readers
 
 
 class SeriesError(ValueError):
@@ -82,6 +84,38 @@ def paired(base: DataFrame, tuned: DataFrame, row_id: str, columns: tuple[str, .
     return joined.drop("_base", "_tuned")
 
 
+def _poisson_interval(rows: DataFrame, row_id: str, columns: tuple[str, ...], statistic: Column, samples: int, confidence: float, seed: int) -> DataFrame:
+    if samples <= 0:
+        raise SeriesError("samples must be positive")
+    if rows.isEmpty():
+        raise SeriesError("there is nothing to resample")
+    made = resample.poisson_sums(rows, row_id, columns, samples, seed)
+    return interval(made.select(statistic.alias("statistic")).where("statistic is not null"), "statistic", confidence)
+
+
+def mean_interval(rows: DataFrame, row_id: str, value: str, samples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(low, high) of the mean by Poisson weights."""
+    return _poisson_interval(rows, row_id, (value,), resample.mean_of(value), samples, confidence, seed)
+
+
+def f1_interval(rows: DataFrame, row_id: str, counts: tuple[str, str, str], samples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(low, high) of micro F1 from (matches, predicted, gold) counts by Poisson weights."""
+    return _poisson_interval(rows, row_id, counts, resample.f1_of(*counts), samples, confidence, seed)
+
+
+def paired_mean_interval(base: DataFrame, tuned: DataFrame, row_id: str, value: str, samples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(low, high) of the mean difference, tuned less base, of the same rows on both sides."""
+    both = paired(base, tuned, row_id, (value,)).withColumn("_delta", F.col(f"tuned_{value}").cast("double") - F.col(f"base_{value}").cast("double"))
+    return mean_interval(both, row_id, "_delta", samples, confidence, seed)
+
+
+def paired_f1_interval(base: DataFrame, tuned: DataFrame, row_id: str, counts: tuple[str, str, str], samples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(low, high) of the difference in micro F1, tuned less base, both resampled alike."""
+    both = paired(base, tuned, row_id, counts)
+    sides = [tuple(f"{side}_{c}" for c in counts) for side in ("tuned", "base")]
+    return _poisson_interval(both, row_id, sides[0] + sides[1], resample.f1_of(*sides[0]) - resample.f1_of(*sides[1]), samples, confidence, seed)
+
+
 def _twister(statistic: Callable[[list, list[int]], float], samples: int, confidence: float, seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("pos")["value"].tolist()
@@ -120,42 +154,6 @@ def floor_rank(values: Column, share: float) -> Column:
     return F.coalesce(F.get(values, at), F.lit(0.0))
 
 
-def _in_order(rows: DataFrame, by: tuple[str, ...], order: list[Column]) -> DataFrame:
-    """``rows`` with ``_pos``, their place in the order of ``by``, then ``order``. The sort is by ranges, so that a large
-    group, or many equal rows, are spread over tasks; it is cut, so that each row keeps its partition."""
-    return readers.numbered(cut(rows.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*by, *order, "_tie").drop("_tie")), "_pos")
-
-
-def _start(placed: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
-    """(by, _first, _n): where each group begins and how many values it has."""
-    return placed.groupBy(*by).agg(F.min("_pos").alias("_first"), F.count(value).alias("_n"))
-
-
-def percentiles(rows: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """Floor-rank percentiles: one range-partitioned sort, from which the wanted places are picked. Nulls are no values;
-    a group without values has 0 everywhere."""
-    placed = _in_order(rows.select(*by, value), by, [F.col(value).asc_nulls_last()])
-    at = lambda s: F.when(F.col("_n") > 0, F.col("_first") + F.floor(F.lit(s) * (F.col("_n") - 1)))
-    asked = _start(placed, by, value).select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("name"), at(s).alias("_pos")) for k, s in shares.items()])).alias("_asked"))
-    picked = asked.select(*by, "_asked.*").join(placed.select("_pos", F.col(value).alias("_value")), "_pos", "left")
-    none = F.lit(0).cast(rows.schema[value].dataType)
-    return picked.groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("name") == k, F.col("_value"))), none).alias(k) for k in shares])
-
-
-def end_quartiles(rows: DataFrame, value: str, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, first_quartile, last_quartile): means of the first and last max(1, n / 4) values in arrival order."""
-    known = rows.where(F.col(value).isNotNull()).select(*dict.fromkeys((*by, value, *order)))
-    placed = _in_order(known, by, [F.col(c) for c in order])
-    group = F.struct(F.lit(1), *by)
-    starts = _start(placed, by, value).select(group.alias("_group"), "_first", "_n")
-    met = placed.withColumn("_same", group).join(starts, F.col("_same").eqNullSafe(F.col("_group"))).withColumn("_at", F.col("_pos") - F.col("_first") + 1)
-    part = F.greatest(F.lit(1), F.floor(F.col("_n") / 4))
-    return met.groupBy(*by).agg(
-        F.avg(F.when(F.col("_at") <= part, F.col(value))).alias("first_quartile"),
-        F.avg(F.when(F.col("_at") > F.col("_n") - part, F.col(value))).alias("last_quartile"),
-    )
-
-
 def rates(rows: DataFrame, amount: str, seconds: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(ratio_of_sums, mean_of_ratios) of amounts per second; rows without a positive time don't count in the mean."""
     each = F.when(F.col(seconds) > 0, F.col(amount) / F.col(seconds))

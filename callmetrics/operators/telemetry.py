@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callmetrics.operators.storage import cut
+
 # Sampled fields, the order of pressure states and the limits of a probe.
 FIELDS = ("rss_gib", "mlx_allocator_active_bytes", "mlx_allocator_peak_bytes", "swap_used_gib")
 PRESSURE = ("unknown", "normal", "warning", "critical")
@@ -43,14 +45,41 @@ def summarize(samples: DataFrame, order: list[str], by: tuple[str, ...] = ()) ->
     return made.join(rest, list(by)) if by else made.crossJoin(rest)
 
 
+def run_summaries(rows: DataFrame, flag: Column, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, part, length, prefix, best, suffix): for each range of a group its rows and the flagged runs at its beginning,
+    at its longest and at its end.
+
+    Rows are range-sorted by group and order, so that a large group lies in many ranges; no window spans more than one.
+    """
+    marked = rows.select(*by, *[c for c in order if c not in by], F.coalesce(flag, F.lit(False)).alias("_f"))
+    placed = cut(marked.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()))
+    all_rows, of_flag = Window.partitionBy("part", *by).orderBy(*order), Window.partitionBy("part", *by, "_f").orderBy(*order)
+    at = placed.withColumn("_at", F.row_number().over(all_rows)).withColumn("_island", F.col("_at") - F.row_number().over(of_flag))
+    runs = at.groupBy("part", *by, "_f", "_island").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_at"))
+    flagged = F.when(F.col("_f"), F.col("n")).otherwise(0)
+    return runs.groupBy(*by, "part").agg(
+        F.sum("n").alias("length"), F.min_by(flagged, "_at").alias("prefix"), F.max(flagged).alias("best"), F.max_by(flagged, "_at").alias("suffix")
+    )
+
+
+def joined_run(before: Column, after: Column) -> Column:
+    """(length, prefix, best, suffix) of two stretches of rows, one after the other."""
+    whole = lambda x: x["prefix"] == x["length"]
+    return F.struct(
+        (before["length"] + after["length"]).alias("length"),
+        F.when(whole(before), before["length"] + after["prefix"]).otherwise(before["prefix"]).alias("prefix"),
+        F.greatest(before["best"], after["best"], before["suffix"] + after["prefix"]).alias("best"),
+        F.when(whole(after), after["length"] + before["suffix"]).otherwise(after["suffix"]).alias("suffix"),
+    )
+
+
 def streaks(rows: DataFrame, flag: Column, order: list[str], by: tuple[str, ...] = (), length: int = STREAK) -> DataFrame:
-    """(by, longest, has_streak): longest run of consecutive flagged rows, by numbering rows within and across flags."""
-    all_rows, of_flag = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by, "_f").orderBy(*order)
-    marked = rows.withColumn("_f", F.coalesce(flag, F.lit(False)))
-    islands = marked.withColumn("_island", F.row_number().over(all_rows) - F.row_number().over(of_flag))
-    runs = islands.groupBy(*by, "_f", "_island").agg(F.count(F.lit(1)).alias("n"))
-    longest = F.coalesce(F.max(F.when(F.col("_f"), F.col("n"))), F.lit(0))
-    return runs.groupBy(*by).agg(longest.alias("longest")).withColumn("has_streak", F.col("longest") >= length)
+    """(by, longest, has_streak): longest run of consecutive flagged rows, from the summaries of each group's ranges."""
+    made = run_summaries(rows, flag, order, by)
+    held = made.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("part", "length", "prefix", "best", "suffix"))).alias("held"))  # one for each range
+    nothing = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("length", "prefix", "best", "suffix")])
+    longest = F.aggregate("held", nothing, joined_run, lambda x: x["best"])
+    return held.select(*by, longest.alias("longest")).withColumn("has_streak", F.col("longest") >= length)
 
 
 def probe_safety(samples: DataFrame, order: list[str], by: tuple[str, ...], failed: Column | None = None, projected_disk: Column | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callmetrics.operators import privacy, runs, score, select, splits, stats, telemetry
+from callmetrics.operators import privacy, resample, runs, score, select, splits, stats, telemetry
 from callmetrics.plans.calls import scored
 from callmetrics.session import table
 
@@ -139,6 +139,30 @@ def paired_f1_delta(spark, sf_dir):
     return made.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
+def poisson_mean_ci(spark, sf_dir):
+    return _rounded(stats.mean_interval(table(spark, sf_dir, "labels"), "doc_id", "quality", _DRAWS))
+
+
+def poisson_f1_ci(spark, sf_dir):
+    return _rounded(stats.f1_interval(_triples(spark, sf_dir), "pos", ("value_matches", "n_predicted", "n_gold"), _DRAWS))
+
+
+def poisson_paired_mean(spark, sf_dir):
+    rows = table(spark, sf_dir, "part")
+    sides = (rows.select("p_partkey", F.col(c).alias("v")) for c in ("p_size", "p_retailprice"))
+    return _rounded(stats.paired_mean_interval(*sides, "p_partkey", "v", _DRAWS))
+
+
+def poisson_paired_f1(spark, sf_dir):
+    rows = _triples(spark, sf_dir)
+    base = rows.withColumn("value_matches", F.when(F.col("pos") % 5 == 0, 0).otherwise(F.col("value_matches")))
+    return _rounded(stats.paired_f1_interval(base, rows, "pos", ("value_matches", "n_predicted", "n_gold"), _DRAWS))
+
+
+def _rounded(made):
+    return made.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
 def percentiles_floor_rank(spark, sf_dir):
     return stats.percentiles(table(spark, sf_dir, "events"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ("event_type",))
 
@@ -373,6 +397,22 @@ SELECT round(v[1 + CAST(floor((1.0::DOUBLE - 0.95::DOUBLE) / 2 * len(v)) AS BIGI
   round(v[1 + least(len(v) - 1, CAST(floor((1.0::DOUBLE - (1.0::DOUBLE - 0.95::DOUBLE) / 2) * len(v)) AS BIGINT))], 9) AS high FROM held"""
 
 
+def _poisson(series: str, statistic: str) -> str:
+    """The same weights in SQL: ``series`` has ``id`` and values, ``statistic`` reads their weighted sums."""
+    factors = [f"{x}::UBIGINT" for x in (resample.DRAW_STEP, resample.FIRST_FACTOR, resample.SECOND_FACTOR)]
+    step = lambda name, of, body: f"{name} AS (SELECT * REPLACE ({body} AS x) FROM {of})"
+    mixed = lambda a, of: [step(f"{a}1", of, "xor(x, x >> 16)"), step(f"{a}2", f"{a}1", f"x * {factors[1]} % 4294967296"), step(f"{a}3", f"{a}2", "xor(x, x >> 13)"), step(f"{a}4", f"{a}3", f"x * {factors[2]} % 4294967296"), step(f"{a}5", f"{a}4", "xor(x, x >> 16)")]
+    times = " + ".join(f"(x >= {b})::INT" for b in resample.poisson_bounds())
+    steps = [
+        f"hashed AS (SELECT s.*, d, ('0x' || substr(md5('42:' || id), 1, 8))::UBIGINT AS h1, ('0x' || substr(md5('42:' || id), 9, 8))::UBIGINT AS h2 FROM series s, range({_DRAWS}) a(d))",
+        f"began AS (SELECT *, xor(h1, d::UBIGINT * {factors[0]} % 4294967296) AS x FROM hashed)", *mixed("m", "began"), step("again", "m5", "xor(x, h2)"), *mixed("n", "again"),
+        f"weighed AS (SELECT *, {times} AS w FROM n5)", f"draws AS (SELECT d, {statistic} AS m FROM weighed GROUP BY d)", "held AS (SELECT list(m ORDER BY m) AS v FROM draws WHERE m IS NOT NULL)",
+    ]
+    return f"""WITH {series}, {", ".join(steps)}
+SELECT round(v[1 + CAST(floor((1.0::DOUBLE - 0.95::DOUBLE) / 2 * len(v)) AS BIGINT)], 9) AS low,
+  round(v[1 + least(len(v) - 1, CAST(floor((1.0::DOUBLE - (1.0::DOUBLE - 0.95::DOUBLE) / 2) * len(v)) AS BIGINT))], 9) AS high FROM held"""
+
+
 def _f1(m: str, p: str = "n_predicted", g: str = "n_gold") -> str:
     return f"CASE WHEN sum({p}) = 0 AND sum({g}) = 0 THEN 1.0 WHEN sum({m}) = 0 THEN 0.0 ELSE 2 * (sum({m}) / sum({p})) * (sum({m}) / sum({g})) / (sum({m}) / sum({p}) + sum({m}) / sum({g})) END"
 
@@ -397,7 +437,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dup_components, ood_components, hash_rank, group_rank, topk_per_category, greedy_first_fit, sequential_splits, strata_counts, largest_remainder_quotas, locked_anti_join, schema_anti_join, ood_split,
-        component_leakage, content_hash, list_differences, bootstrap_quality_ci, micro_f1_bootstrap, paired_delta, paired_f1_delta, percentiles_floor_rank, throughput_quartiles, throughput_rates,
+        component_leakage, content_hash, list_differences, bootstrap_quality_ci, micro_f1_bootstrap, paired_delta, paired_f1_delta, poisson_mean_ci, poisson_f1_ci, poisson_paired_mean, poisson_paired_f1, percentiles_floor_rank, throughput_quartiles, throughput_rates,
         seed_summary, training_exposure, first_peak_last, streak_events, probe_safety, system_summary, best_by_group, skyline_parts, skyline_missing, winner_and_rivals, sweep_cross, last_write_wins,
         resume_antijoin, attempt_numbers, paired_runs, drift_check, zero_filled_errors, heatmap_pivot, completeness_check, metric_audit, row_count_audit, repaired_examples, precision_names,
         grouping_sets_flow, sanitize_text, row_hash, sanitized_rows, stratified_split, split_checks,
@@ -441,6 +481,10 @@ ranked AS (SELECT min(s_suppkey) AS component, count(*) AS size, sha256('42:' ||
         "micro_f1_bootstrap": _boot(_triple_series(), _f1("value_matches")),
         "paired_delta": _boot("series AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, quality - toxic AS v FROM labels)", "avg(v)"),
         "paired_f1_delta": _boot(_triple_series(), f"({_f1('value_matches')}) - ({_f1('CASE WHEN pos % 5 = 0 THEN 0 ELSE value_matches END')})"),
+        "poisson_mean_ci": _poisson("series AS (SELECT doc_id::VARCHAR AS id, quality AS v FROM labels)", "sum(w * v) / nullif(sum(w), 0)"),
+        "poisson_f1_ci": _poisson(f"{_PARSED}, series AS (SELECT pos::VARCHAR AS id, value_matches, n_predicted, n_gold FROM s)", _f1("w * value_matches", "w * n_predicted", "w * n_gold")),
+        "poisson_paired_mean": _poisson("series AS (SELECT p_partkey::VARCHAR AS id, p_retailprice - p_size AS v FROM part)", "sum(w * v) / nullif(sum(w), 0)"),
+        "poisson_paired_f1": _poisson(f"{_PARSED}, series AS (SELECT pos::VARCHAR AS id, pos, value_matches, n_predicted, n_gold FROM s)", f"({_f1('w * value_matches', 'w * n_predicted', 'w * n_gold')}) - ({_f1('w * CASE WHEN pos % 5 = 0 THEN 0 ELSE value_matches END', 'w * n_predicted', 'w * n_gold')})"),
         "percentiles_floor_rank": "WITH h AS (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, v[1 + CAST(floor(0.5::DOUBLE * (len(v) - 1)) AS BIGINT)] AS p50, v[1 + CAST(floor(0.95::DOUBLE * (len(v) - 1)) AS BIGINT)] AS p95, v[1 + CAST(floor(0.99::DOUBLE * (len(v) - 1)) AS BIGINT)] AS p99 FROM h",
         "throughput_quartiles": "WITH n AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS c FROM events) SELECT event_type, round(avg(value) FILTER (WHERE i <= greatest(1, c // 4)), 6) AS first_quartile, round(avg(value) FILTER (WHERE i > c - greatest(1, c // 4)), 6) AS last_quartile FROM n GROUP BY 1",
         "throughput_rates": "SELECT l_returnflag, round(sum(l_extendedprice) / sum(l_quantity), 6) AS ratio_of_sums, round(avg(CASE WHEN l_quantity > 0 THEN l_extendedprice / l_quantity END), 6) AS mean_of_ratios FROM lineitem GROUP BY 1",

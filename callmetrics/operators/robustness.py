@@ -57,15 +57,25 @@ NO_CALLS = (
 )
 
 
-def cases(spark: SparkSession) -> DataFrame:
-    """(pos, case_id, query, tools, expected_name, distractors): 80 calls, template by level, then 20 without a call."""
-    level = spark.createDataFrame([(i, n, canonical([{"name": f"fixture.distractor.{k}" if k >= 0 else TARGET, "parameters": {"type": "object", "properties": {}}} for k in range(-1, n)])) for i, n in enumerate(LEVELS)], "at int, distractors int, tools string")
-    template = spark.createDataFrame(list(enumerate(CALLS)), "t int, query string")
-    calls = template.crossJoin(F.broadcast(level)).select(
-        (F.col("t") * len(LEVELS) + F.col("at")).alias("pos"), F.format_string("call-%02d-%d", "t", "distractors").alias("case_id"), "query", "tools", F.lit(TARGET).alias("expected_name"), "distractors"
+def cases_of(templates: DataFrame, silent: DataFrame, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(pos, case_id, query, tools, expected_name, distractors): every template (t, query), numbered from 0, at every level
+    of distracting tools, template by template, and then the questions (i, query) that call for no tool."""
+    spark = templates.sparkSession
+    offered = [canonical([{"name": f"fixture.distractor.{k}" if k >= 0 else TARGET, "parameters": {"type": "object", "properties": {}}} for k in range(-1, n)]) for n in levels]
+    level = spark.createDataFrame([(i, n, tools) for i, (n, tools) in enumerate(zip(levels, offered))], "at int, distractors int, tools string")
+    calls = templates.crossJoin(F.broadcast(level)).select(  # a row for each level
+        (F.col("t") * len(levels) + F.col("at")).cast("long").alias("pos"), F.format_string("call-%02d-%d", "t", "distractors").alias("case_id"), "query", "tools", F.lit(TARGET).alias("expected_name"), "distractors"
+    )
+    after = templates.agg(F.count(F.lit(1)).alias("_n"))
+    quiet = silent.crossJoin(F.broadcast(after)).select(
+        (F.col("_n") * len(levels) + F.col("i")).cast("long").alias("pos"), F.format_string("no-call-%d", "i").alias("case_id"), "query", F.lit("[]").alias("tools"), F.lit(None).cast("string").alias("expected_name"), F.lit(None).cast("int").alias("distractors")
     )
-    silent = spark.createDataFrame([(len(CALLS) * len(LEVELS) + i, f"no-call-{i}", q) for i, q in enumerate(NO_CALLS)], "pos int, case_id string, query string")
-    return calls.unionByName(silent.select("*", F.lit("[]").alias("tools"), F.lit(None).cast("string").alias("expected_name"), F.lit(None).cast("int").alias("distractors")))
+    return calls.unionByName(quiet)
+
+
+def cases(spark: SparkSession) -> DataFrame:
+    """The fixed suite: 80 calls, template by level, then 20 questions without a call."""
+    return cases_of(spark.createDataFrame(list(enumerate(CALLS)), "t long, query string"), spark.createDataFrame(list(enumerate(NO_CALLS)), "i long, query string"))
 
 
 def makes_no_call(text: Column) -> Column:

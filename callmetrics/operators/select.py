@@ -106,6 +106,15 @@ def latest_run(runs: DataFrame, name: str, base: Column) -> DataFrame:
     return runs.groupBy(base.alias("base")).agg(F.max_by(F.col(name), F.struct(attempt, F.col(name))).alias("run"))
 
 
+def latest_completed(runs: DataFrame, by: tuple[str, ...], after: str = "", order: str = "started_at") -> DataFrame:
+    """Of each ``by`` (kind and workflow, say) the completed run that started last, at ``after`` or later; ties in ``order``
+    go to the larger run name. ``runs`` has run, status, started_at and what ``by`` and ``order`` name; a missing time
+    counts as the earliest."""
+    time = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    there = runs.where((F.col("status") == "completed") & (time("started_at") >= after))
+    return there.groupBy(*by).agg(F.max_by("run", F.struct(time(order), "run")).alias("run"))
+
+
 def to_resume(plan: DataFrame, journal: DataFrame, key: str, done: Column) -> DataFrame:
     """Planned rows whose key has no finished entry."""
     return plan.join(journal.where(done).select(key).distinct(), key, "left_anti")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmetrics.operators import normalize, parse, render, robustness, score
+from callmetrics.operators import normalize, parse, render, robustness, score, stats
 from callmetrics.session import table, views
 
 _CALL = "'<tool_call>' || chr(10) || '{{\"name\": \"' || {name} || '\", \"arguments\": ' || {arguments} || '}}' || chr(10) || '</tool_call>'"
@@ -221,9 +221,16 @@ RECORD_FORMS = (
 RECORDS = f"SELECT event_id AS pos, CASE event_id % {len(RECORD_FORMS)} {' '.join(f'WHEN {i} THEN {text}' for i, (text, _) in enumerate(RECORD_FORMS))} END AS value FROM events"
 
 
+def _suite(spark, sf_dir):
+    """The suite's product over given texts: users' turns as templates, system turns as questions without a call."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "role", F.col("text").alias("query"))
+    of = lambda role: stats.numbered(turns.where(F.col("role") == role), "key")
+    return robustness.cases_of(of("user").select(F.col("row").alias("t"), "query"), of("system").select(F.col("row").alias("i"), "query"))
+
+
 def robustness_breakdown(spark, sf_dir):
-    """The suite with predictions that fail by a rule on the case's number."""
-    suite = robustness.cases(spark)
+    """The suite over users' turns, with predictions that fail by a rule on the case's number."""
+    suite = _suite(spark, sf_dir)
     good = F.lit('<tool_call>{"name": "fixture.target", "arguments": {}}</tool_call>')
     wrong = F.lit('<tool_call>{"name": "fixture.distractor.0", "arguments": {}}</tool_call>')
     text = F.when(F.col("expected_name").isNull(), F.when(F.col("pos") % 4 == 0, good).otherwise("none")).otherwise(F.when(F.col("pos") % 3 == 0, wrong).otherwise(good))
@@ -232,9 +239,12 @@ def robustness_breakdown(spark, sf_dir):
 
 
 def case_list_hash(spark, sf_dir):
+    """Digests of the suite's ordered lists of cases, by level."""
     from callmetrics.operators.splits import list_hash
 
-    return list_hash(robustness.cases(spark), "case_id", "pos")
+    level = F.coalesce(F.col("distractors").cast("string"), F.lit("none"))
+    hashed = _suite(spark, sf_dir).select(level.alias("level"), "pos", F.concat_ws(":", "case_id", F.md5(F.col("query").cast("binary"))).alias("case"))
+    return list_hash(hashed, "case", "pos", ("level",))
 
 
 def json_props(spark, sf_dir):
@@ -246,7 +256,10 @@ def json_props(spark, sf_dir):
 
 
 _REASONS = " ".join("WHEN {} THEN '{}'".format(i, reason.replace("'", "''")) for i, (_, reason) in enumerate(RECORD_FORMS))
-_LEVELS = "(VALUES (0), (1), (2), (3))"
+_SUITE = """turns AS (SELECT role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) - 1 AS t FROM conversations),
+levels AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 3), (3, 7)) v(a, d)),
+suite AS (SELECT t * 4 + a AS pos, 'call-' || CASE WHEN t < 10 THEN '0' ELSE '' END || t || '-' || d AS id, d::VARCHAR AS level, text FROM turns, levels WHERE role = 'user'
+  UNION ALL SELECT 4 * (SELECT count(*) FROM turns WHERE role = 'user') + t, 'no-call-' || t, 'none', text FROM turns WHERE role = 'system')"""
 QUERIES = {f.__name__: f for f in (parse_taxonomy, parse_rows, leaf_value_match, evaluation_metrics, task_errors, row_flags, micro_f1_by_type, prompt_hashes, api_prefixes, rejection_flow, conflict_drop, context_view, normalized_records, robustness_breakdown, case_list_hash, json_props)}
 SQL = {
     "parse_taxonomy": _zero_filled('"primary"', parse.PRIMARY, "category"),
@@ -272,9 +285,9 @@ SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k WHERE key
     "context_view": """SELECT CASE WHEN doc_id % 7 = 0 OR n_chars <= 2048 THEN 'kept' ELSE 'dropped' END AS side, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM documents GROUP BY 1""",
     "normalized_records": f"""WITH r AS (SELECT event_id AS pos, event_type, CASE event_id % {len(RECORD_FORMS)} {_REASONS} END AS reason FROM events)
 SELECT pos, reason, CASE WHEN reason = '' THEN event_type || '.run' ELSE '' END AS function_name, CASE WHEN reason = '' THEN 1 ELSE 0 END AS tool_count, CASE WHEN reason = '' THEN event_type ELSE '' END AS prefixes FROM r""",
-    "robustness_breakdown": """WITH c AS (SELECT i AS pos, [0, 1, 3, 7][1 + i % 4] AS d, i % 3 <> 0 AS s FROM range(80) t(i)), n AS (SELECT i % 4 <> 0 AS s FROM range(80, 100) t(i))
-SELECT 'call' AS part, count(*) AS n, round(avg(s::INT), 9) AS success FROM c UNION ALL SELECT 'call:' || d, count(*), round(avg(s::INT), 9) FROM c GROUP BY d UNION ALL SELECT 'no_call', count(*), round(avg(s::INT), 9) FROM n""",
-    "case_list_hash": """SELECT sha256(string_agg(id, chr(10) ORDER BY pos)) AS content_hash, count(*) AS n FROM (
-  SELECT i AS pos, 'call-' || lpad((i // 4)::VARCHAR, 2, '0') || '-' || [0, 1, 3, 7][1 + i % 4]::VARCHAR AS id FROM range(80) t(i) UNION ALL SELECT i, 'no-call-' || (i - 80)::VARCHAR FROM range(80, 100) t(i))""",
+    "robustness_breakdown": f"""WITH {_SUITE}, j AS (SELECT *, CASE WHEN level = 'none' THEN pos % 4 <> 0 ELSE pos % 3 <> 0 END AS s FROM suite)
+SELECT 'call' AS part, count(*) AS n, round(avg(s::INT), 9) AS success FROM j WHERE level <> 'none'
+UNION ALL SELECT 'call:' || level, count(*), round(avg(s::INT), 9) FROM j WHERE level <> 'none' GROUP BY level UNION ALL SELECT 'no_call', count(*), round(avg(s::INT), 9) FROM j WHERE level = 'none'""",
+    "case_list_hash": f"WITH {_SUITE} SELECT level, sha256(string_agg(id || ':' || md5(text), chr(10) ORDER BY pos)) AS content_hash, count(*) AS n FROM suite GROUP BY level",
     "json_props": """SELECT event_id, '{"k":' || (props->>'$.k') || '}' AS props, (props->>'$.k')::BIGINT AS k FROM events""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from callmetrics.operators import benchmark, privacy, score, select, splits
+from callmetrics.operators import benchmark, privacy, score, select, splits, stats
 from callmetrics.session import table
 
 
@@ -20,12 +20,10 @@ def ood_overlap(spark, sf_dir):
 
 
 def positional_join(spark, sf_dir):
-    """Orders beside customers' balances by position."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
-    place = lambda frame, key: frame.select(F.expr(f"row_number() over (order by {key}) - 1").alias("pos"), key)
-    left = place(orders, "o_orderkey")
-    right = place(orders.select(F.col("o_orderkey").alias("other")), "other")
-    return score.by_position(left, right)
+    """Orders beside each other by their position in two orders that agree."""
+    orders = table(spark, sf_dir, "orders")
+    place = lambda name: stats.numbered(orders.select(F.col("o_orderkey").alias(name)), name).withColumnRenamed("row", "pos")
+    return score.by_position(place("o_orderkey"), place("other"))
 
 
 def split_locks(spark, sf_dir):
@@ -57,6 +55,14 @@ def latest_runs(spark, sf_dir):
     return select.latest_run(events.select(name.alias("name")), "name", F.regexp_replace("name", r"-attempt-\d+$", ""))
 
 
+def latest_completed(spark, sf_dir):
+    """Orders as runs by priority and status of their customer's segment: the last completed one of a year on."""
+    orders = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed")
+    runs = orders.select(F.concat(F.lit("run"), F.col("o_orderkey").cast("string")).alias("run"), F.col("o_orderpriority").alias("kind"), (F.col("o_custkey") % 3).alias("workflow"), status.alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("started_at"))
+    return select.latest_completed(runs, ("kind", "workflow"), "1995-01-01")
+
+
 def exact_set_problems(spark, sf_dir):
     """Parts as selected cases; results lack some, repeat some, change some and add some."""
     parts = table(spark, sf_dir, "part")
@@ -84,10 +90,10 @@ def allowed_metrics(spark, sf_dir):
     return privacy.metric_rows(events.select("event_id", name.alias("metric"), value.alias("value")))
 
 
-QUERIES = {f.__name__: f for f in (ood_overlap, positional_join, split_locks, journal_runs, latest_runs, exact_set_problems, export_lines, project_labels, allowed_metrics)}
+QUERIES = {f.__name__: f for f in (ood_overlap, positional_join, split_locks, journal_runs, latest_runs, latest_completed, exact_set_problems, export_lines, project_labels, allowed_metrics)}
 SQL = {
     "ood_overlap": "WITH k AS (SELECT c_custkey, substr(md5('p' || c_custkey::VARCHAR), 1, 3) AS key FROM customer UNION ALL SELECT c_custkey, substr(md5('f' || c_custkey::VARCHAR), 1, 3) FROM customer) SELECT DISTINCT c_custkey FROM k WHERE c_custkey % 7 = 0 AND key IN (SELECT key FROM k WHERE c_custkey % 7 <> 0)",
-    "positional_join": "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS pos, o_orderkey, o_orderkey AS other FROM orders WHERE o_orderkey % 10 = 0",
+    "positional_join": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderkey, o_orderkey AS other FROM orders",
     "split_locks": """WITH s AS (SELECT s_suppkey, CASE s_suppkey % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM supplier),
 h AS (SELECT split, sha256(string_agg(s_suppkey::VARCHAR, chr(10) ORDER BY s_suppkey)) AS hash FROM s GROUP BY 1)
 SELECT 'hash:' || split AS "check", split <> 'test' AS ok, hash AS detail FROM h
@@ -102,6 +108,7 @@ SELECT 'run' || o_orderkey AS run_id, o_orderpriority AS fingerprint, o_orderkey
   CASE WHEN sha IS NOT NULL THEN CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN 'c' ELSE '' END END AS config_sha256
 FROM orders LEFT JOIN fixed ON l_orderkey = o_orderkey""",
     "latest_runs": "WITH n AS (SELECT 'u' || user_id AS base, CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 13 END AS attempt, CASE WHEN event_id % 4 = 0 THEN 'u' || user_id ELSE 'u' || user_id || '-attempt-' || (event_id % 13) END AS name FROM events) SELECT base, arg_max(name, (attempt, name)) AS run FROM n GROUP BY 1",
+    "latest_completed": "SELECT o_orderpriority AS kind, o_custkey % 3 AS workflow, arg_max('run' || o_orderkey, (strftime(o_orderdate, '%Y-%m-%d'), 'run' || o_orderkey)) AS run FROM orders WHERE o_orderstatus = 'F' AND strftime(o_orderdate, '%Y-%m-%d') >= '1995-01-01' GROUP BY 1, 2",
     "exact_set_problems": """WITH c AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 11 <> 0), g AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 7 <> 0)
 SELECT coalesce(c.id, g.id) AS case_id, CASE WHEN g.id IS NULL THEN 'missing' WHEN c.id IS NULL THEN 'unexpected' WHEN g.id % 13 = 0 THEN 'repeated' ELSE 'changed' END AS problem
 FROM c FULL JOIN g ON c.id = g.id WHERE g.id IS NULL OR c.id IS NULL OR g.id % 13 = 0 OR g.id % 5 = 0""",

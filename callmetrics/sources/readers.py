@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import pathlib
+import re
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,10 +102,17 @@ def read_run_listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.get(parts, depth).alias("run"), F.get(parts, depth + 1).alias("name"), F.col("length").alias("bytes"))
 
 
+def placed_by_run(lines: DataFrame, *columns: str) -> DataFrame:
+    """(run, pos, columns) of lines just read from the runs' files, ``pos`` from 0 within each run without gaps. A file's
+    splits are read in the order of their offsets, so row numbers of the reader rise along a file."""
+    marked = lines.select(_run_of().alias("run"), F.monotonically_increasing_id().alias("_m"), *columns)
+    return marked.select("run", (F.row_number().over(Window.partitionBy("run").orderBy("_m")) - 1).cast("long").alias("pos"), *columns)
+
+
 def read_predictions(spark: SparkSession, root: str) -> DataFrame:
     """(run, pos, record, prediction, source_id) of runs all of whose rows have an object record and a text prediction;
     a record without a query gets a placeholder. Other runs have no rows here."""
-    lines = spark.read.text(f"{root}/*/predictions.jsonl").select(_run_of().alias("run"), F.monotonically_increasing_id().alias("pos"), "value").where(F.trim("value") != "")
+    lines = placed_by_run(spark.read.text(f"{root}/*/predictions.jsonl").where(F.trim("value") != ""), "value")
     parsed = lines.withColumn("v", F.try_parse_json("value"))
     record, prediction = F.try_variant_get("v", "$.record", "map<string,variant>"), F.try_variant_get("v", "$.prediction", "variant")
     usable = F.col("v").isNotNull() & record.isNotNull() & (F.schema_of_variant(prediction) == "STRING")
@@ -120,7 +128,8 @@ def read_samples(spark: SparkSession, root: str) -> DataFrame:
     """(run, pos, columns as text) of ``system_metrics.csv``; numbers that don't parse are null once cast."""
     frame = spark.read.option("header", "true").csv(f"{root}/*/system_metrics.csv")
     numbers = [c for c in frame.columns if c not in ("pressure_state",)]
-    return frame.select(_run_of().alias("run"), F.monotonically_increasing_id().alias("pos"), *[F.col(c).try_cast("double").alias(c) if c in numbers else F.col(c) for c in frame.columns])
+    placed = placed_by_run(frame, *frame.columns)
+    return placed.select("run", "pos", *[F.col(c).try_cast("double").alias(c) if c in numbers else F.col(c) for c in frame.columns])
 
 
 def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -164,17 +173,39 @@ def experiment_sections(plan: dict) -> dict:
     return made
 
 
+#: Names of tokenizer files, and the function and question of the prompt that pins a tokenizer.
+TOKENIZER_FILES = ("tokenizer.json", "tokenizer_config.json", "special_tokens_map.json", "vocab.json", "merges.txt", "added_tokens.json", "spiece.model", "sentencepiece.bpe.model")
+GOLDEN_TOOLS = '[{"name":"fixture.echo","parameters":{"properties":{},"type":"object"}}]'
+GOLDEN_QUERY = "Say hello."
+
+
+def golden_prompt(spark: SparkSession) -> str:
+    """The prompt whose tokens pin a tokenizer, as the engine renders it without a template."""
+    from callmetrics.operators.render import prompt
+
+    return spark.range(1).select(prompt(F.lit(GOLDEN_TOOLS), F.lit(GOLDEN_QUERY))).first()[0]
+
+
 def tokenizer_hashes(folder: str, template: str, tokens: list[int]) -> dict[str, str]:
-    """Digests that pin a tokenizer: of its files below ``folder`` (their paths and contents in order), of its chat
-    template, and of the tokens of a fixed prompt."""
-    names = {"tokenizer.json", "tokenizer_config.json", "special_tokens_map.json", "vocab.json", "merges.txt", "added_tokens.json", "spiece.model", "sentencepiece.bpe.model"}
-    root = pathlib.Path(folder)
-    held = sorted(p for p in root.rglob("*") if p.is_file() and (p.name in names or "tokenizer" in p.name))
-    if not held:
+    """Digests that pin a tokenizer: of its files below ``folder`` (paths below it and contents, in the order of the
+    paths), of its chat template, and of the tokens that it gives for :func:`golden_prompt`. Files are read and hashed
+    on the executors, on any file system; without any there is a FileNotFoundError."""
+    spark = SparkSession.active()
+    name = F.element_at(F.split("path", "/"), -1)
+    below = F.regexp_replace("path", "^.*?" + re.escape(folder.rstrip("/").split(":")[-1]) + "/", "").cast("binary")
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError("there are no tokenizer files to hash") from error
+        raise
+    held = files.where(name.isin(*TOKENIZER_FILES) | name.contains("tokenizer")).select(F.struct(below.alias("at"), "content").alias("file"))
+    joined = F.aggregate(F.array_sort(F.collect_list("file")), F.lit(b""), lambda a, f: F.concat(a, f["at"], f["content"]))
+    found = held.agg(F.count("file").alias("n"), F.sha2(joined, 256).alias("files")).first()
+    if not found["n"]:
         raise FileNotFoundError("there are no tokenizer files to hash")
-    whole = hashlib.sha256(b"".join(part for p in held for part in (str(p.relative_to(root)).encode(), p.read_bytes())))
     text = lambda value: hashlib.sha256(value.encode()).hexdigest()
-    return {"tokenizer_files": whole.hexdigest(), "chat_template": text(template), "golden_tokens": text(json.dumps(tokens))}
+    return {"tokenizer_files": found["files"], "chat_template": text(template), "golden_tokens": text(json.dumps(tokens))}
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

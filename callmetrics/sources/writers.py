@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import shutil
 from typing import Any
 
@@ -84,25 +85,17 @@ def _file_digest(path: str) -> str:
 
 
 def write_lock(path: str, document: dict[str, Any]) -> dict[str, Any]:
-    """Write a document with its content hash once; writing the same again is allowed."""
-    made = {**document, "content_sha256": content_hash(document)}
-    text = canonical(made) + "\n"
-    try:
-        with open(path, "x", encoding="utf-8") as file:
-            file.write(text)
-    except FileExistsError:
-        with open(path, encoding="utf-8") as file:
-            if file.read() != text:
-                raise LockError(f"{os.path.basename(path)} is locked with other content") from None
-    return made
+    """Write a document with its content hash once, on any file system; writing the same again is allowed."""
+    from callmetrics.sources import locks
+
+    return locks.write_lock(path, document)
 
 
 def read_lock(path: str) -> dict[str, Any]:
-    with open(path, encoding="utf-8") as file:
-        made = json.load(file)
-    if made.get("content_sha256") != content_hash(made):
-        raise LockError(f"{os.path.basename(path)} was changed after it was locked")
-    return made
+    """A locked document, its content hash checked."""
+    from callmetrics.sources import locks
+
+    return locks.read_lock(path)
 
 
 #: Sections of a run's manifest that updates add to instead of replacing them.
@@ -110,9 +103,13 @@ GROWING = ("hashes", "counts", "bytes", "requirements")
 
 
 def merged_manifest(manifest: dict[str, Any], updates: dict[str, Any]) -> dict[str, Any]:
-    """A manifest with updates: the growing sections take new entries beside their old ones, all else is replaced."""
+    """A manifest with updates, private values of the updates redacted: the growing sections take new entries beside their
+    old ones, all else is replaced."""
+    from callmetrics.operators.privacy import redact
+
     adds = lambda name, value: name in GROWING and isinstance(value, dict)
-    return manifest | {name: manifest.get(name, {}) | value if adds(name, value) else value for name, value in updates.items()}
+    clean = redact(updates)
+    return manifest | {name: manifest.get(name, {}) | value if adds(name, value) else value for name, value in clean.items()}
 
 
 def require_space(folder: str, floor_gib: float = 30.0, needed_gib: float = 0.0) -> None:
@@ -142,3 +139,73 @@ def check_descriptor(value: dict[str, Any]) -> None:
         raise ValueError("hashes must have 64 hex digits")
     if value["content_sha256"] != content_hash(value):
         raise ValueError("content hash does not match")
+
+
+# Versions, tiers and fields of a dataset's manifest.
+MANIFEST_VERSION, FILTER_VERSION, SPLIT_VERSION = 2, 2, 2
+TIERS = {"short": 512, "long": 2048}
+ELIGIBILITY = ("eligible_512", "eligible_2048")
+SOURCE_FIELDS = ("dataset", "revision", "kind", "sha256")
+MANIFEST_FIELDS = ("version", "seed", "filter_version", "split_version", "prompt_contract_version", "token_tiers", "eligibility_counts", "sources", "split_locks", "content_sha256")
+
+
+def _whole(value: Any, least: int = 0) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool) and value >= least
+
+
+def _named(value: Any, names: tuple[str, ...]) -> bool:
+    return isinstance(value, dict) and set(value) == set(names)
+
+
+#: (field, whether its value will do, what is said if not).
+MANIFEST_RULES = (
+    ("prompt_contract_version", lambda v: _whole(v, 1), "prompt_contract_version must be positive"),
+    ("token_tiers", lambda v: v == TIERS, "dataset manifest token tiers do not match the locked contract"),
+    ("eligibility_counts", lambda v: _named(v, ELIGIBILITY) and all(map(_whole, v.values())), "dataset manifest eligibility counts are invalid"),
+    ("sources", lambda v: isinstance(v, list) and all(isinstance(s, dict) and set(s) <= set(SOURCE_FIELDS) for s in v), "source descriptors may contain only dataset, revision, kind, and sha256"),
+    ("sources", lambda v: not any(str(x).startswith("/") for s in v for x in s.values()), "source descriptors must not contain absolute paths"),
+    ("split_locks", lambda v: isinstance(v, dict) and len(v) > 0 and all(isinstance(s, dict) for s in v.values()), "dataset manifest split locks are invalid"),
+    ("split_locks", lambda v: all(_whole(s.get("count")) for s in v.values()), "dataset manifest split lock count is invalid"),
+    ("split_locks", lambda v: all(re.fullmatch("[0-9a-f]{64}", str(s.get("id_hash"))) for s in v.values()), "dataset manifest split lock hash is invalid"),
+)
+
+
+def manifest_problems(manifest: dict[str, Any]) -> list[str]:
+    """What is wrong with a dataset's manifest, in the order of the rules; nothing if it will do."""
+    if manifest.get("dataset_manifest_version") != MANIFEST_VERSION:
+        return ["unsupported dataset manifest version"]
+    missing = sorted(set(MANIFEST_FIELDS) - manifest.keys())
+    if missing:
+        return ["dataset manifest is missing required fields: " + ", ".join(missing)]
+    found = []
+    for field, holds, message in MANIFEST_RULES:
+        if not any(f == field for f, _ in found) and not holds(manifest[field]):
+            found.append((field, message))
+    stale = [] if found or manifest["content_sha256"] == content_hash(manifest) else ["dataset manifest content hash does not match"]
+    return [message for _, message in found] + stale
+
+
+def dataset_manifest(splits: DataFrame, row_id: str, version: str, eligibility: dict[str, int], sources: list[dict[str, str]], prompt_contract: int, seed: int = 42) -> dict[str, Any]:
+    """The manifest of a prepared dataset, without records or machine paths: split sizes and id-list hashes come from
+    ``splits`` (row_id, split), hashed where the rows are."""
+    from callmetrics.operators.splits import list_hash
+
+    held = list_hash(splits, row_id, row_id, ("split",)).collect()  # a row for each split
+    made = {
+        "dataset_manifest_version": MANIFEST_VERSION, "version": version, "seed": seed, "filter_version": FILTER_VERSION, "split_version": SPLIT_VERSION,
+        "prompt_contract_version": prompt_contract, "token_tiers": TIERS, "eligibility_counts": dict(eligibility),
+        "sources": sorted(({k: str(v) for k, v in s.items()} for s in sources), key=canonical),
+        "split_locks": {r["split"]: {"count": r["n"], "id_hash": r["content_hash"]} for r in held},
+    }
+    made["content_sha256"] = content_hash(made)
+    problems = manifest_problems(made)
+    if problems:
+        raise ValueError(problems[0])
+    return made
+
+
+def check_dataset_manifest(manifest: dict[str, Any]) -> None:
+    """ValueError with the first problem of a manifest."""
+    problems = manifest_problems(manifest)
+    if problems:
+        raise ValueError(problems[0])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,27 +22,41 @@ def per_second(samples: DataFrame, time: str, value: str, by: str, late: str = "
     )
 
 
+def run_summary(flags: np.ndarray) -> tuple[int, int, int, int]:
+    """(length, prefix, best, suffix) of the flagged runs in a stretch of samples."""
+    breaks = np.flatnonzero(~flags)
+    if not len(breaks):
+        return (len(flags),) * 4
+    gaps = np.diff(np.concatenate([[-1], breaks, [len(flags)]])) - 1
+    return len(flags), int(gaps[0]), int(gaps.max()), int(gaps[-1])
+
+
+def joined_runs(a: tuple, b: tuple) -> tuple[int, int, int, int]:
+    """The summary of two stretches, one after the other."""
+    prefix = a[0] + b[1] if a[1] == a[0] else a[1]
+    suffix = b[0] + a[3] if b[3] == b[0] else b[3]
+    return a[0] + b[0], prefix, max(a[2], b[2], a[3] + b[1]), suffix
+
+
 def running_streaks(samples: DataFrame, flag: Column, by: str, order: str, length: int = STREAK) -> DataFrame:
-    """(by, longest, has_streak) after each batch: a keyed counter of consecutive flagged samples.
+    """(by, longest, has_streak) after each batch: the state of a key is the summary of the runs among its samples so far.
 
-    The counter carries over batches; within a batch rows are taken in ``order``, and batches are taken to follow one
+    Summaries are joined over batches; within a batch rows are taken in ``order``, and batches are taken to follow one
     another in it.
     """
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, longest = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values("o")
-        for f in rows["f"]:
-            now = now + 1 if f else 0
-            longest = max(longest, now)
-        state.update((now, longest))
-        yield pd.DataFrame({by: [key[0]], "longest": [longest], "has_streak": [longest >= length]})
+        flags = pd.concat(list(frames)).sort_values("o")["f"].to_numpy(dtype=bool)
+        held = joined_runs(state.get, run_summary(flags)) if state.exists else run_summary(flags)
+        state.update(held)
+        yield pd.DataFrame({by: [key[0]], "longest": [held[2]], "has_streak": [held[2] >= length]})
 
     marked = samples.select(by, F.col(order).alias("o"), F.coalesce(flag, F.lit(False)).alias("f"))
     kind = samples.schema[by].dataType.simpleString()
-    return marked.groupBy(by).applyInPandasWithState(count, f"{by} {kind}, longest long, has_streak boolean", "now long, longest long", "update", GroupStateTimeout.NoTimeout)
+    return marked.groupBy(by).applyInPandasWithState(count, f"{by} {kind}, longest long, has_streak boolean", "length long, prefix long, best long, suffix long", "update", GroupStateTimeout.NoTimeout)
 
 
 def resumable(journal: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
-    """Journal entries of a stream, each key once within the watermark."""
+    """Journal entries of a stream, the first of each key within the watermark: a key that was seen is not taken up again.
+    What a key's entries come to in the end is for ``journal.last_writes``, by which the last one wins."""
     return journal.withWatermark(time, late).dropDuplicatesWithinWatermark([key])

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmetrics.operators import normalize, parse, render, robustness, score, stats
+from callmetrics.operators import normalize, parse, render, robustness, score, stats, templates
 from callmetrics.session import table, views
 
 _CALL = "'<tool_call>' || chr(10) || '{{\"name\": \"' || {name} || '\", \"arguments\": ' || {arguments} || '}}' || chr(10) || '</tool_call>'"
@@ -221,6 +221,39 @@ RECORD_FORMS = (
 RECORDS = f"SELECT event_id AS pos, CASE event_id % {len(RECORD_FORMS)} {' '.join(f'WHEN {i} THEN {text}' for i, (text, _) in enumerate(RECORD_FORMS))} END AS value FROM events"
 
 
+#: A template with tools, roles, a mark of the assistant's turn and a generation prompt.
+TEMPLATE = """{%- if tools -%}
+<|im_start|>system
+# Tools
+<tools>
+{%- for tool in tools %}
+{{ tool | tojson }}
+{%- endfor %}
+</tools><|im_end|>
+{% endif -%}
+{% for message in messages -%}
+<|im_start|>{{ message.role }}
+{% if message.role == 'assistant' %}<think>
+
+</think>
+{% endif %}{{ message.content | trim }}<|im_end|>
+{% endfor -%}
+{% if add_generation_prompt %}<|im_start|>assistant
+{% endif %}"""
+
+
+def template_prompts(spark, sf_dir):
+    """Prompts and completions of events by a chat template, and of their tools alone."""
+    rows = table(spark, sf_dir, "events")
+    tools = F.array(F.concat(F.lit('{"name":"'), "event_type", F.lit('"}')), F.lit('{"name":"other"}'))
+    query = F.concat(F.lit(" user "), F.col("user_id").cast("string"))
+    call = render.completion(F.col("event_type"), F.concat(F.lit('{"user":'), F.col("user_id").cast("string"), F.lit("}")))
+    pair = templates.rendered_pair(TEMPLATE, tools, query, call)
+    made = rows.select("event_id", pair.alias("p"), templates.tools_prompt(TEMPLATE, tools, query, F.col("event_type")).alias("alone"))
+    hashed = lambda c: render.digest(F.col(c))
+    return made.select("event_id", hashed("p.prompt").alias("prompt_hash"), hashed("p.completion").alias("completion_hash"), hashed("alone").alias("tools_hash"), F.coalesce("p.problem", F.lit("")).alias("problem"))
+
+
 def _suite(spark, sf_dir):
     """The suite's product over given texts: users' turns as templates, system turns as questions without a call."""
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), "role", F.col("text").alias("query"))
@@ -260,7 +293,7 @@ _SUITE = """turns AS (SELECT role, text, row_number() OVER (PARTITION BY role OR
 levels AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 3), (3, 7)) v(a, d)),
 suite AS (SELECT t * 4 + a AS pos, 'call-' || CASE WHEN t < 10 THEN '0' ELSE '' END || t || '-' || d AS id, d::VARCHAR AS level, text FROM turns, levels WHERE role = 'user'
   UNION ALL SELECT 4 * (SELECT count(*) FROM turns WHERE role = 'user') + t, 'no-call-' || t, 'none', text FROM turns WHERE role = 'system')"""
-QUERIES = {f.__name__: f for f in (parse_taxonomy, parse_rows, leaf_value_match, evaluation_metrics, task_errors, row_flags, micro_f1_by_type, prompt_hashes, api_prefixes, rejection_flow, conflict_drop, context_view, normalized_records, robustness_breakdown, case_list_hash, json_props)}
+QUERIES = {f.__name__: f for f in (parse_taxonomy, parse_rows, leaf_value_match, evaluation_metrics, task_errors, row_flags, micro_f1_by_type, prompt_hashes, api_prefixes, template_prompts, rejection_flow, conflict_drop, context_view, normalized_records, robustness_breakdown, case_list_hash, json_props)}
 SQL = {
     "parse_taxonomy": _zero_filled('"primary"', parse.PRIMARY, "category"),
     "parse_rows": f'WITH {_PARSED} SELECT pos, category, "primary", name, json_valid, tool_valid, schema_valid FROM s',
@@ -276,6 +309,9 @@ SELECT path, CAST(n_gold AS BIGINT) AS n_gold, CAST(n_predicted AS BIGINT) AS n_
     "micro_f1_by_type": f"WITH {_PARSED} SELECT gold_name, round({_F1.format(m='key_matches')}, 9) AS key_f1, round({_F1.format(m='value_matches')}, 9) AS value_f1 FROM s GROUP BY gold_name",
     "prompt_hashes": """SELECT event_id, sha256('<tools>' || chr(10) || '[{"name":"' || event_type || '"}]' || chr(10) || '</tools>' || chr(10) || '<|user|>' || chr(10) || 'user ' || user_id::VARCHAR || chr(10) || '<|assistant|>' || chr(10)) AS prompt_hash,
   sha256('<tool_call>' || chr(10) || '{"arguments":{"user":' || user_id::VARCHAR || '},"name":"' || event_type || '"}' || chr(10) || '</tool_call>') AS completion_hash FROM events""",
+    "template_prompts": """WITH p AS (SELECT event_id, event_type, user_id, '<|im_start|>system' || chr(10) || '# Tools' || chr(10) || '<tools>' || chr(10) || '{"name":"' || event_type || '"}' || chr(10) || '{"name":"other"}' || chr(10) || '</tools><|im_end|>' || chr(10)
+  || '<|im_start|>user' || chr(10) || 'user ' || user_id || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) AS prompt FROM events)
+SELECT event_id, sha256(prompt) AS prompt_hash, sha256('<tool_call>' || chr(10) || '{"arguments":{"user":' || user_id || '},"name":"' || event_type || '"}' || chr(10) || '</tool_call><|im_end|>' || chr(10)) AS completion_hash, sha256(prompt) AS tools_hash, '' AS problem FROM p""",
     "api_prefixes": r"""SELECT lower(string_split(trim(regexp_replace(' -..' || replace(p_type, ' ', '_') || '..' || p_brand, '[^a-zA-Z0-9]+', '.', 'g'), '.'), '.')[1]) AS prefix, count(*) AS n FROM part GROUP BY 1""",
     "rejection_flow": """WITH r AS (SELECT CASE WHEN length(text) < 100 THEN 'too short' WHEN lang = 'es' THEN 'language' WHEN length(text) > 5000 THEN 'too long' END AS reason FROM documents)
 SELECT 'source' AS step, count(*) AS n FROM r UNION ALL SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END, count(*) FROM r GROUP BY 1

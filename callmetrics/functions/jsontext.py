@@ -52,6 +52,26 @@ def canonical(value: Any, spaced: bool = False, ascii_only: bool = False) -> str
     return json.dumps(value, sort_keys=True, separators=separators, ensure_ascii=ascii_only, allow_nan=False)
 
 
+def check_values(value: Any, field: str) -> None:
+    """ValueError for anything that JSON text can't hold as it is: keys that are no text, containers other than lists and
+    mappings, numbers that aren't finite."""
+    left = [value]
+    while left:
+        each = left.pop()
+        if isinstance(each, dict):
+            if not all(isinstance(key, str) for key in each):
+                raise ValueError(f"{field} contains a non-string object key")
+            left += each.values()
+        elif isinstance(each, list):
+            left += each
+        elif isinstance(each, (tuple, set, frozenset)):
+            raise ValueError(f"{field} contains an unsupported {type(each).__name__}")
+        elif each is not None and not isinstance(each, (bool, str, int, float)):
+            raise ValueError(f"{field} contains unsupported JSON value type: {type(each).__name__}")
+        elif isinstance(each, float) and not math.isfinite(each):
+            raise ValueError(f"{field} contains non-finite number")
+
+
 def has_non_finite(value: Any) -> bool:
     if isinstance(value, dict):
         return any(map(has_non_finite, value.values()))

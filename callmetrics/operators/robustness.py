@@ -86,6 +86,19 @@ def no_call_accuracy(predictions: DataFrame, text: str) -> DataFrame:
     return predictions.agg(F.avg(makes_no_call(F.coalesce(F.col(text), F.lit(""))).cast("double")).alias("no_call_accuracy"))
 
 
+def silent_cases(spark: SparkSession, n: int = 4) -> DataFrame:
+    """The first questions without a call alone: (pos, case_id, query)."""
+    return spark.createDataFrame([(i, f"no-call-{i}", q) for i, q in enumerate(NO_CALLS[:n])], "pos long, case_id string, query string")
+
+
+def suite_no_call_accuracy(suite: DataFrame, predictions: DataFrame, text: str) -> DataFrame:
+    """As :func:`no_call_accuracy`, for as many predictions as the suite has cases; 0 without any."""
+    sides = [frame.agg(F.count(F.lit(1))).first()[0] for frame in (suite, predictions)]
+    if sides[0] != sides[1]:
+        raise ValueError("no-call predictions must match the deterministic suite size")
+    return no_call_accuracy(predictions, text).fillna(0.0)
+
+
 def judge_cases(suite: DataFrame, predictions: DataFrame) -> DataFrame:
     """Suite rows with their prediction (none is empty), the parse and ``success``."""
     given = suite.join(predictions.select("case_id", "prediction"), "case_id", "left").withColumn("prediction", F.coalesce("prediction", F.lit("")))

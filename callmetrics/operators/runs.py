@@ -175,3 +175,28 @@ def repaired_examples(base: DataFrame, tuned: DataFrame, on: str, success: str =
     """The first k rows by id that failed before tuning and succeed after."""
     failed = base.where(~F.col(success)).select(on)
     return tuned.where(F.col(success)).join(failed, on, "left_semi").orderBy(on).limit(k)
+
+
+def first_seed_group(rows: DataFrame, seeds: int = 3) -> DataFrame:
+    """The summary of the report: of the recipes with enough seed runs the one whose first run comes first, or no row."""
+    return winner_seeds(rows, seeds).orderBy("first_run").limit(1)
+
+
+#: Of each table of the report the rows that are in it, by role or axis, and its columns.
+REPORT_TABLES = {
+    "headline-precision-table": ("study_role", ("headline",), ("run", "model", "precision", "task_success", "argument_value_f1", "schema_validity")),
+    "data-scaling": ("axis", ("dataset_size",), ("run", "dataset_version", "train_examples", "task_success", "argument_value_f1")),
+    "adapter-capacity": ("axis", ("adapter_rank", "adapter_layers", "adapter_targets"), ("run", "rank", "layers", "task_success")),
+    "model-size-quality-throughput-frontier": ("axis", ("model_size",), ("run", "model", "generation_throughput_tokens_per_second", "task_success")),
+}
+
+
+def report_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """The tables behind the report's figures, each in the order of the runs."""
+    return {name: rows.where(F.col(column).isin(*values)).select(*columns).orderBy("run") for name, (column, values, columns) in REPORT_TABLES.items()}
+
+
+def exposure(examples: DataFrame, prompt: Column, target: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(prompt_tokens, target_tokens): tokens that training sees as context and as targets; unknown ones count as none."""
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return examples.groupBy(*by).agg(total(prompt, "prompt_tokens"), total(target, "target_tokens"))

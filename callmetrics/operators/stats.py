@@ -84,6 +84,22 @@ def paired(base: DataFrame, tuned: DataFrame, row_id: str, columns: tuple[str, .
     return joined.drop("_base", "_tuned")
 
 
+#: Metrics that have intervals, and how each is resampled.
+MEANS = ("tool_accuracy", "json_validity", "schema_validity", "exact_match", "task_success")
+RATIOS = ("argument_key_f1", "argument_value_f1")
+
+
+def metric_interval(scored: DataFrame, row_id: str, metric: str, samples: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """(low, high) of a named metric of scored rows; SeriesError for a name that is none of ``MEANS`` and ``RATIOS``."""
+    if metric in RATIOS:
+        matches = "key_matches" if metric == "argument_key_f1" else "value_matches"
+        return f1_interval(scored, row_id, (matches, "n_predicted", "n_gold"), samples, confidence, seed)
+    if metric not in MEANS:
+        raise SeriesError(f"no such metric: {metric}")
+    flag = {"json_validity": "json_valid", "schema_validity": "schema_valid", "exact_match": "exact"}.get(metric, metric)
+    return mean_interval(scored.withColumn("_flag", F.col(flag).cast("double")), row_id, "_flag", samples, confidence, seed)
+
+
 def _poisson_interval(rows: DataFrame, row_id: str, columns: tuple[str, ...], statistic: Column, samples: int, confidence: float, seed: int) -> DataFrame:
     if samples <= 0:
         raise SeriesError("samples must be positive")

@@ -79,6 +79,28 @@ def evaluation_metrics(spark, sf_dir):
     return made.select(F.col("count").alias("n"), "extra_argument_count", *[F.round(c, 9).alias(c) for c in rates])
 
 
+_NESTED_SCHEMA = '{"type": "object", "properties": {"user": {"type": "integer"}, "place": {"type": "object", "properties": {"city": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}}}, "level": {"type": "string", "enum": ["low", "high"]}, "ratio": {"type": "number"}}, "required": ["user", "level"]}'
+_NESTED_GOLD = """'{"user": ' || CAST(user_id AS STRING) || ', "place": {"city": " Ulm ", "tags": ["a", "b"]}, "level": "high", "ratio": 2}'"""
+#: Arguments of predictions: nested, with blanks around a text, a number as int or float, an enum's case, a longer list.
+_NESTED_FORMS = (
+    _NESTED_GOLD,
+    """'{"user": ' || CAST(user_id AS STRING) || ', "place": {"city": "Ulm", "tags": ["a", "b"]}, "level": "high", "ratio": 2.0}'""",
+    """'{"user": ' || CAST(user_id AS STRING) || '.0, "place": {"city": "Ulm", "tags": ["b", "a"]}, "level": " high", "ratio": 2}'""",
+    """'{"user": ' || CAST(user_id + 1 AS STRING) || ', "place": {"city": "Ulm", "tags": ["a", "b", "c"], "more": {"x": null}}, "level": "low"}'""",
+    """'{"place": {"city": 5}, "level": "none", "ratio": "2"}'""",
+)
+_NESTED_CALL = " ".join(f"WHEN {i} THEN {form}" for i, form in enumerate(_NESTED_FORMS))
+NESTED = f"""SELECT event_id AS pos, user_id, 'go' AS gold_name, {_NESTED_GOLD} AS gold_arguments, '[{{"name": "go", "parameters": {_NESTED_SCHEMA}}}]' AS tools,
+  '<tool_call>{{"name": "go", "arguments": ' || CASE event_id % {len(_NESTED_FORMS)} {_NESTED_CALL} END || '}}</tool_call>' AS prediction FROM events"""
+
+
+def nested_arguments(spark, sf_dir):
+    """Scores of calls with nested arguments, lists, an enum and a number that is written as int or float."""
+    views(spark, sf_dir, "events")
+    made = score.compare(parse.parse(spark.sql(NESTED)))
+    return made.select("pos", "schema_valid", "key_matches", "value_matches", "n_predicted", "n_gold", "exact", "task_success", "extra", F.coalesce("task_error", F.lit("")).alias("task_error"))
+
+
 def task_errors(spark, sf_dir):
     return score.task_error_counts(scored(spark, sf_dir)).select(F.col("term").alias("task_error"), "n")
 
@@ -293,7 +315,7 @@ _SUITE = """turns AS (SELECT role, text, row_number() OVER (PARTITION BY role OR
 levels AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 3), (3, 7)) v(a, d)),
 suite AS (SELECT t * 4 + a AS pos, 'call-' || CASE WHEN t < 10 THEN '0' ELSE '' END || t || '-' || d AS id, d::VARCHAR AS level, text FROM turns, levels WHERE role = 'user'
   UNION ALL SELECT 4 * (SELECT count(*) FROM turns WHERE role = 'user') + t, 'no-call-' || t, 'none', text FROM turns WHERE role = 'system')"""
-QUERIES = {f.__name__: f for f in (parse_taxonomy, parse_rows, leaf_value_match, evaluation_metrics, task_errors, row_flags, micro_f1_by_type, prompt_hashes, api_prefixes, template_prompts, rejection_flow, conflict_drop, context_view, normalized_records, robustness_breakdown, case_list_hash, json_props)}
+QUERIES = {f.__name__: f for f in (parse_taxonomy, parse_rows, leaf_value_match, evaluation_metrics, nested_arguments, task_errors, row_flags, micro_f1_by_type, prompt_hashes, api_prefixes, template_prompts, rejection_flow, conflict_drop, context_view, normalized_records, robustness_breakdown, case_list_hash, json_props)}
 SQL = {
     "parse_taxonomy": _zero_filled('"primary"', parse.PRIMARY, "category"),
     "parse_rows": f'WITH {_PARSED} SELECT pos, category, "primary", name, json_valid, tool_valid, schema_valid FROM s',
@@ -304,6 +326,16 @@ SELECT path, CAST(n_gold AS BIGINT) AS n_gold, CAST(n_predicted AS BIGINT) AS n_
     "evaluation_metrics": f"""WITH {_PARSED} SELECT count(*) AS n, count_if(extra) AS extra_argument_count, round(avg(tool_accuracy::INT), 9) AS tool_accuracy, round(avg(json_valid::INT), 9) AS json_validity,
   round(avg(schema_valid::INT), 9) AS schema_validity, round({_F1.format(m='key_matches')}, 9) AS argument_key_f1, round({_F1.format(m='value_matches')}, 9) AS argument_value_f1,
   round(avg(exact::INT), 9) AS exact_match, round(avg(task_success::INT), 9) AS task_success, round(avg(extra::INT), 9) AS extra_argument_rate FROM s""",
+    "nested_arguments": f"""WITH n AS ({NESTED.replace("AS STRING", "AS VARCHAR")}), a AS (SELECT pos, user_id, (regexp_extract(prediction, '"arguments": (.*)\\}}</tool_call>', 1))::JSON AS p FROM n),
+l AS (SELECT *, json_type(p->'$.user') AS tu, json_type(p->'$.place.city') AS tc, json_type(p->'$.place.tags') AS tt, json_type(p->'$.level') AS tl, json_type(p->'$.ratio') AS tr FROM a),
+v AS (SELECT *, tu IS NOT NULL AS ku, tc IS NOT NULL AS kc, coalesce(json_array_length(p->'$.place.tags'), 0) AS nt, tl IS NOT NULL AS kl, tr IS NOT NULL AS kr,
+  coalesce(tu IN ('UBIGINT', 'BIGINT') AND (p->>'$.user')::BIGINT = user_id, false) AS vu, coalesce(tc = 'VARCHAR' AND trim(p->>'$.place.city') = 'Ulm', false) AS vc,
+  coalesce((p->>'$.place.tags[0]') = 'a', false) AS va, coalesce((p->>'$.place.tags[1]') = 'b', false) AS vb, coalesce((p->>'$.level') = 'high', false) AS vl,
+  coalesce(tr IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND (p->>'$.ratio')::DOUBLE = 2, false) AS vr, json_type(p->'$.place.more') IS NOT NULL AS more FROM l),
+c AS (SELECT *, ku::INT + kc::INT + least(nt, 2) + kl::INT + kr::INT AS key_matches, vu::INT + vc::INT + va::INT + vb::INT + vl::INT + vr::INT AS value_matches, ku::INT + kc::INT + nt + kl::INT + kr::INT + more::INT AS n_predicted,
+  ku AND tu IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND tc = 'VARCHAR' AND (tl IS NULL OR (p->>'$.level') IN ('low', 'high')) AND coalesce(tr, 'DOUBLE') <> 'VARCHAR' AS schema_valid FROM v)
+SELECT pos, schema_valid, key_matches, value_matches, n_predicted, 6 AS n_gold, schema_valid AND value_matches = 6 AND n_predicted = 6 AS exact, schema_valid AND vu AND vl AS task_success, more OR nt > 2 AS extra,
+  CASE WHEN NOT ku THEN 'missing_required_argument' WHEN tc <> 'VARCHAR' OR tr = 'VARCHAR' THEN 'wrong_type' WHEN NOT schema_valid OR value_matches < key_matches THEN 'wrong_enum_or_value' ELSE '' END AS task_error FROM c""",
     "task_errors": _zero_filled("task_error", score.TASK_ERRORS, "task_error"),
     "row_flags": f"WITH {_PARSED} SELECT pos, key_matches, value_matches, n_predicted, n_gold, tool_accuracy, exact, task_success, coalesce(extra, false) AS extra, task_error FROM s",
     "micro_f1_by_type": f"WITH {_PARSED} SELECT gold_name, round({_F1.format(m='key_matches')}, 9) AS key_f1, round({_F1.format(m='value_matches')}, 9) AS value_f1 FROM s GROUP BY gold_name",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callmetrics.plans import calls, checks, study, sweeps
+from callmetrics.plans import calls, checks, stores, study, sweeps
 
-QUERIES = {**calls.QUERIES, **study.QUERIES, **checks.QUERIES, **sweeps.QUERIES}
-SQL = {**calls.SQL, **study.SQL, **checks.SQL, **sweeps.SQL}
+QUERIES = {**calls.QUERIES, **study.QUERIES, **checks.QUERIES, **sweeps.QUERIES, **stores.QUERIES}
+SQL = {**calls.SQL, **study.SQL, **checks.SQL, **sweeps.SQL, **stores.SQL}

@@ -186,7 +186,7 @@ def seed_summary(spark, sf_dir):
 def training_exposure(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     size = F.size(F.split(F.coalesce("text", F.lit("")), " "))
-    return rows.agg(F.sum(F.when(F.col("role") != "assistant", size)).alias("prompt_tokens"), F.sum(F.when(F.col("role") == "assistant", size)).alias("target_tokens"))
+    return runs.exposure(rows, F.when(F.col("role") != "assistant", size), F.when(F.col("role") == "assistant", size))
 
 
 # -- telemetry ------------------------------------------------------------------------------------------------------

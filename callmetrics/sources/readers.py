@@ -77,6 +77,32 @@ def read_manifest_splits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(_split_rows("value")).alias("r")).select("r.*")
 
 
+def read_prepared(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """(split, pos, value) of a prepared version: the splits in ``<root>/<version>/manifest.json``, or where that is not
+    there, in its sibling ``<root>/<version>.manifest.json``; splits that the manifest doesn't hold itself are read from
+    the JSON-lines files beside its rows, ``<root>/<version>/<split>.jsonl``."""
+    for path in (f"{root}/{version}/manifest.json", f"{root}/{version}.manifest.json"):
+        try:
+            inline = read_manifest_splits(spark, path)
+            break
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    else:
+        raise FileNotFoundError(f"version {version} has no manifest")
+    try:
+        lines = spark.read.option("pathGlobFilter", "*.jsonl").text(f"{root}/{version}").where(F.trim("value") != "")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return inline
+    split = F.regexp_extract("_metadata.file_name", r"^(.*)\.jsonl$", 1)
+    marked = lines.select(split.alias("split"), F.monotonically_increasing_id().alias("_m"), "value")
+    placed = marked.select("split", (F.row_number().over(Window.partitionBy("split").orderBy("_m")) - 1).alias("pos"), "value")
+    beside = placed.join(inline.select("split").distinct(), "split", "left_anti")
+    return inline.unionByName(beside)
+
+
 def _run_of(column: str = "_metadata.file_path"):
     return F.element_at(F.split(F.col(column), "/"), -2)
 

@@ -52,6 +52,7 @@ class Block:
     names: frozenset[str]
     linked: int
     near: frozenset[str] = frozenset()  # tag and names of the innermost element that says what it holds
+    marks: tuple[str, ...] = ()  # the elements that say so by their tag, outermost first
 
 
 class _Reader(HTMLParser):
@@ -68,7 +69,8 @@ class _Reader(HTMLParser):
         if text:
             tags = tuple(tag for tag, _ in self.open if tag in BLOCK_TAGS)
             near = next((frozenset((tag, *names)) for tag, names in reversed(self.open) if names or tag in LANDMARKS), frozenset())
-            self.blocks.append(Block(text, tags, frozenset(n for _, names in self.open for n in names), self.linked, near))
+            marks = tuple(tag for tag in tags if tag in LANDMARKS)
+            self.blocks.append(Block(text, tags, frozenset(n for _, names in self.open for n in names), self.linked, near, marks))
         self.parts, self.linked = [], 0
 
     def _pop(self, count: int) -> None:
@@ -134,6 +136,10 @@ def features(block: Block) -> list[str]:
     share = block.linked / len(block.text)
     found = [f"leaf={block.tags[-1] if block.tags else ''}", f"words={min(n.bit_length(), 7)}", f"links={0 if share < 0.05 else 1 if share < 0.5 else 2}"]
     found += {f"in={t}" for t in block.tags[:-1]} | {f"name={w}" for w in block.names} | {f"near={w}" for w in block.near}
+    # what an element is for depends on what it is in: a header in an article is not the site's
+    found += [f"within={'>'.join(block.marks[-2:])}", f"within={block.marks[-1] if block.marks else ''}:{found[2]}"]
+    if not block.near:
+        found += [f"bare:{found[0]}", f"bare:{found[1]}", f"bare:{found[2]}"]
     last = block.text[-1]
     found.append("ends=" + ("stop" if last in ".!?…\"'" else "word" if last.isalnum() else "other"))
     if block.text[0] in "©℗®":
@@ -206,6 +212,22 @@ def likelihood(x: np.ndarray, y: np.ndarray, here: np.ndarray, theta: np.ndarray
     return float(total.sum() - gold @ theta) / pages, (expect - gold) / pages
 
 
+#: Pages of like length that are padded to the longest of them.
+PADDED_TOGETHER = 100
+
+
+def _padded(pages: list[tuple[list[Block], list[bool]]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and what is no padding, of pages as :func:`likelihood` takes them; feature 0 is the bias."""
+    long = max(len(b) for b, _ in pages)
+    x = np.zeros((len(pages), long, len(index) + 1))
+    y, here = np.zeros((len(pages), long), dtype=int), np.zeros((len(pages), long), dtype=bool)
+    for p, (blocks, labels) in enumerate(pages):
+        for t, block in enumerate(blocks):
+            x[p, t, [0, *(index[f] for f in features(block) if f in index)]] = 1
+        y[p, : len(labels)], here[p, : len(labels)] = labels, True
+    return x, y, here
+
+
 def train(pages: Iterable[tuple[list[Block], list[bool]]], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3, least: int = 3) -> Model:
     """Fit the field to labelled pages by gradient steps (Adam) on the exact penalised likelihood."""
     pages = [(b, y) for b, y in pages if b]
@@ -214,21 +236,15 @@ def train(pages: Iterable[tuple[list[Block], list[bool]]], rounds: int = 200, ra
         for f in (f for b in blocks for f in features(b)):
             names[f] = names.get(f, 0) + 1
     index = {f: i + 1 for i, f in enumerate(sorted(f for f, n in names.items() if n >= least))}
-    long = max(len(b) for b, _ in pages)
-    x = np.zeros((len(pages), long, len(index) + 1))
-    y, here = np.zeros((len(pages), long), dtype=int), np.zeros((len(pages), long), dtype=bool)
-    for p, (blocks, labels) in enumerate(pages):
-        for t, block in enumerate(blocks):
-            x[p, t, [0, *(index[f] for f in features(block) if f in index)]] = 1
-        y[p, : len(labels)], here[p, : len(labels)] = labels, True
-    theta = np.zeros(x.shape[2] + 6)
+    groups = [_padded(pages[at : at + PADDED_TOGETHER], index) for pages in [sorted(pages, key=lambda p: len(p[0]))] for at in range(0, len(pages), PADDED_TOGETHER)]
+    theta = np.zeros(len(index) + 7)
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for turn in range(1, rounds + 1):
-        slope = likelihood(x, y, here, theta)[1] + decay * theta
+        slope = sum(likelihood(*group, theta)[1] * len(group[0]) for group in groups) / len(pages) + decay * theta
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         theta -= rate * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.999**turn)) + 1e-8)
     weights = {"bias": float(theta[0])} | {f: float(theta[i]) for f, i in index.items()}
-    step = theta[x.shape[2] : x.shape[2] + 4]
+    step = theta[len(index) + 1 : len(index) + 5]
     return Model(weights, ((float(step[0]), float(step[1])), (float(step[2]), float(step[3]))), (float(theta[-2]), float(theta[-1])))
 
 
@@ -306,17 +322,29 @@ class _Writer:
         r = self.r
         brief = r.random() < 0.4  # one to three blocks, often of a few words and without a heading
         body = [f"<h1>{self.MARK}{self.words(1, 12).capitalize()}</h1>"] if r.random() < (0.25 if brief else 0.85) else []
+        kind = r.random()
+        bare = kind < 0.1  # an article that nothing marks but what it says
+        if bare:
+            brief, body = False, [f"<h1>{self.MARK}{self.words(1, 12).capitalize()}</h1>"]
+        elif kind < 0.55 and body and r.random() < 0.25:  # its own header, perhaps with a line below the title
+            body = [f"<header>{body[0]}{f'<p>{self.MARK}{self.prose(1, 12)}</p>' if r.random() < 0.4 else ''}</header>"]
         for _ in range(r.choice((1, 1, 2, 3)) if brief else r.choice((0, 1, 1, 2, 3, 4, 6, 9, 14))):
             body.append(f"<p>{self.MARK}{self.prose(1, 8)}</p>" if brief and r.random() < 0.6 else self.main_block())
+            if r.random() < 0.06 and not bare:  # a list of links that belongs to the text
+                body.append("<ul>" + "".join(f'<li><a href="/{i}">{self.MARK}{self.words(1, 6).capitalize()}</a></li>' for i in range(r.randint(1, 6))) + "</ul>")
             if r.random() < (0.2 if brief else 0.08):
                 body.append(self.noise(r.choice(("ad", "side", "notice", "form", "nav"))))
         if r.random() < 0.15:
             body.append(self.noise("comments"))
-        inner, kind = "".join(body), r.random()
+        if bare:
+            body.insert(1, f"<p>{self.MARK}{self.prose(15, 90)}</p>")
+        inner = "".join(body)
         names = ("content", "post", "entry", "story", "body", "text", "article", "main")
-        if kind < 0.6:
+        if bare:
+            main = f"<div>{inner}</div>" if r.random() < 0.7 else f"<div><div>{inner}</div></div>" if r.random() < 0.6 else inner
+        elif kind < 0.64:
             main = f"<article>{inner}</article>" if r.random() < 0.7 else f'<main><article class="{r.choice(names)}">{inner}</article></main>'
-        elif kind < 0.75:
+        elif kind < 0.78:
             main = f"<main>{inner}</main>"
         else:
             main = f'<div {r.choice(("class", "id"))}="{r.choice(names)}{r.choice(("", "-content", "-body"))}">{inner}</div>'

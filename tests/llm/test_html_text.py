@@ -66,6 +66,24 @@ def test_short_and_nested_articles(model, inner, want):
     assert html_text.main_text(AROUND.format(inner), model) == want
 
 
+LONG = "Here is a paragraph that says a good deal about the matter at hand, and goes on for a while before it ends."
+UNMARKED = [
+    (f"<div><h1>A plain title</h1><p>{LONG}</p></div>", f"A plain title\n\n{LONG}"),
+    (f"<div><h1>A plain title</h1><p>{LONG}</p><p>{LONG}</p></div>", f"A plain title\n\n{LONG}\n\n{LONG}"),
+    (f"<article><p>{LONG}</p><ul><li><a href=/1>First reference link</a></li><li><a href=/2>Second reference</a></li></ul><p>{LONG}</p></article>", f"{LONG}\n\nFirst reference link\n\nSecond reference\n\n{LONG}"),
+    (f"<main><h2>See also</h2><ul><li><a href=/1>Another page</a></li></ul><p>{LONG}</p></main>", f"See also\n\nAnother page\n\n{LONG}"),
+    (f"<article><header><h1>Big title</h1></header><p>{LONG}</p></article>", f"Big title\n\n{LONG}"),
+    (f"<article><header><h1>Big title</h1><p>And a line below it.</p></header><p>Short.</p></article>", "Big title\n\nAnd a line below it.\n\nShort."),
+    (f'<article><p>{LONG}</p><nav><ul><li><a href=/1>Next</a></li></ul></nav><aside><h3>More</h3><ul><li><a href=/2>Other</a></li></ul></aside></article>', LONG),
+]
+
+
+@pytest.mark.parametrize(("inner", "want"), UNMARKED)
+@pytest.mark.parametrize("frame", [AROUND, "<html><body>{}</body></html>"])
+def test_unmarked_articles_titles_in_headers_and_link_lists(model, frame, inner, want):
+    assert html_text.main_text(frame.format(inner), model) == want
+
+
 def test_gradient_against_enumeration():
     from itertools import product
 

@@ -24,6 +24,14 @@ def completion(name: Column, arguments: Column) -> Column:
     return F.concat(F.lit(CALL_START + '\n{"arguments":'), arguments, F.lit(',"name":'), quoted, F.lit("}\n" + CALL_END))
 
 
+def spaced_call(name: Column, arguments: Column) -> Column:
+    """The call as JSON text with blanks behind commas and colons, keys in order, characters as they are."""
+    from callmetrics.functions.jsontext import canonical_json
+
+    quoted = F.regexp_extract(F.to_json(F.struct(name.alias("n"))), r"(?s)^\{\"n\":(.*)\}$", 1)
+    return canonical_json(spaced=True)(F.concat(F.lit('{"arguments":'), arguments, F.lit(',"name":'), quoted, F.lit("}")))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

@@ -27,7 +27,7 @@ SELECTION_SOURCE = "validation_only_controlled_runs"
 RECIPE_FIELDS = ("resolved_fingerprint", "recipe", "hashes", "validation_metrics", "git_commit", "immutable")
 
 
-def _local(path: str) -> str | None:
+def local_path(path: str) -> str | None:
     return path.removeprefix("file://").removeprefix("file:") if "://" not in path or path.startswith("file:") else None
 
 
@@ -60,6 +60,13 @@ class _Files:
         finally:
             self.system.delete(own, False)
 
+    def put(self, data: bytes) -> None:
+        out = self.system.create(self.path, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+
     def read(self) -> bytes | None:
         if not self.system.exists(self.path):
             return None
@@ -71,7 +78,7 @@ class _Files:
 
 
 def _put_once(path: str, data: bytes, spark: SparkSession | None) -> bool:
-    local = _local(path)
+    local = local_path(path)
     if local is None:
         return _Files(spark or SparkSession.active(), path).put_once(data)
     own = os.path.join(os.path.dirname(local), f".{os.path.basename(local)}.{uuid.uuid4().hex}")
@@ -88,8 +95,26 @@ def _put_once(path: str, data: bytes, spark: SparkSession | None) -> bool:
         os.unlink(own)
 
 
+def put(path: str, data: bytes, spark: SparkSession | None = None) -> None:
+    """Write bytes on any file system, in place of what is there."""
+    local = local_path(path)
+    if local is None:
+        _Files(spark or SparkSession.active(), path).put(data)
+    else:
+        with open(local, "wb") as file:
+            file.write(data)
+        sums = os.path.join(os.path.dirname(local), f".{os.path.basename(local)}.crc")
+        if os.path.exists(sums):  # of what Hadoop's local file system wrote there before
+            os.unlink(sums)
+
+
+def get(path: str, spark: SparkSession | None = None) -> bytes | None:
+    """The bytes at a path, None if there is nothing."""
+    return _read(path, spark)
+
+
 def _read(path: str, spark: SparkSession | None) -> bytes | None:
-    local = _local(path)
+    local = local_path(path)
     if local is None:
         return _Files(spark or SparkSession.active(), path).read()
     try:

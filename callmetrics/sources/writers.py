@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import shutil
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +36,12 @@ def append_samples(frame: DataFrame, path: str) -> None:
     frame.write.mode("append").json(path)
 
 
+def append_csv(frame: DataFrame, path: str, fields: list[str]) -> None:
+    """Add rows under the named columns, missing ones empty, to a folder of CSV files that each have a header."""
+    columns = [F.col(f) if f in frame.columns else F.lit(None).cast("string").alias(f) for f in fields]
+    frame.select(*columns).write.mode("append").option("header", "true").csv(path)
+
+
 def finite(frame: DataFrame) -> DataFrame:
     """``frame``, which fails when a number that is not finite is read."""
     numbers = [f.name for f in frame.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
@@ -61,27 +66,33 @@ def content_hash(document: dict[str, Any], field: str = "content_sha256") -> str
 
 
 def write_sidecar(path: str) -> str:
-    """Write the SHA-256 of a file beside it, as ``<path>.sha256``; the digest."""
+    """Write the SHA-256 of a file beside it, on any file system, as ``<path>.sha256``; the digest."""
+    from callmetrics.sources import locks
+
     digest = _file_digest(path)
-    with open(f"{path}.sha256", "w", encoding="utf-8") as file:
-        file.write(f"{digest}  {os.path.basename(path)}\n")
+    locks.put(f"{path}.sha256", f"{digest}  {path.rsplit('/', 1)[-1]}\n".encode())
     return digest
 
 
 def check_sidecar(path: str) -> None:
     """LockError if a file's sidecar is missing or names another digest."""
-    try:
-        with open(f"{path}.sha256", encoding="utf-8") as file:
-            stored = file.read().split()[:1]
-    except FileNotFoundError:
-        stored = []
+    from callmetrics.sources import locks
+
+    stored = (locks.get(f"{path}.sha256") or b"").decode().split()[:1]
     if stored != [_file_digest(path)]:
-        raise LockError(f"{os.path.basename(path)} does not match its sidecar")
+        raise LockError(f"{path.rsplit('/', 1)[-1]} does not match its sidecar")
 
 
 def _file_digest(path: str) -> str:
-    with open(path, "rb") as file:
-        return hashlib.file_digest(file, "sha256").hexdigest()
+    """The digest of a file: of a local one here, of any other by the executor that reads it."""
+    from callmetrics.sources import locks
+
+    local = locks.local_path(path)
+    if local is not None:
+        with open(local, "rb") as file:
+            return hashlib.file_digest(file, "sha256").hexdigest()
+    files = SparkSession.active().read.format("binaryFile").load(path)
+    return files.select(F.sha2("content", 256)).first()[0]
 
 
 def write_lock(path: str, document: dict[str, Any]) -> dict[str, Any]:

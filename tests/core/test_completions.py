@@ -1,13 +1,14 @@
 """Report tables, prepared versions, value checks, interval names and the smaller suite."""
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from callmetrics.functions import jsontext
-from callmetrics.operators import robustness, runs, stats
-from callmetrics.sources import readers
+from callmetrics.operators import render, robustness, runs, stats
+from callmetrics.sources import readers, writers
 
 
 def test_report_tables_and_seed_group(spark):
@@ -66,3 +67,28 @@ def test_exposure(spark):
     rows = spark.createDataFrame([("a", 3, 1), ("a", None, 2), ("b", 5, None)], "g string, p int, t int")
     assert {r.g: (r.prompt_tokens, r.target_tokens) for r in runs.exposure(rows, F.col("p"), F.col("t"), ("g",)).collect()} == {"a": (3, 3), "b": (5, 0)}
     assert tuple(runs.exposure(rows.limit(0), F.col("p"), F.col("t")).first()) == (0, 0)
+
+
+def test_sidecars_anywhere(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.sidecars.link./in", f"file://{tmp_path}")
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    far, near = "viewfs://sidecars/in/a.bin", str(tmp_path / "a.bin")
+    assert writers.write_sidecar(far) == hashlib.sha256(b"abc").hexdigest()
+    writers.check_sidecar(near)
+    writers.check_sidecar(far)
+    (tmp_path / "a.bin").write_bytes(b"abd")
+    for path in (near, far):
+        with pytest.raises(writers.LockError):
+            writers.check_sidecar(path)
+    writers.write_sidecar(near)
+    writers.check_sidecar(far)
+
+
+def test_appended_csv_and_spaced_calls(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "é"), (2, 'q"')], "n int, s string")
+    for part in (frame.where("n = 1"), frame.where("n = 2")):
+        writers.append_csv(part, str(tmp_path / "t"), ["s", "missing", "n"])
+    back = spark.read.option("header", "true").option("escape", "\\").csv(str(tmp_path / "t"))
+    assert back.columns == ["s", "missing", "n"] and sorted(int(r.n) for r in back.collect()) == [1, 2]
+    got = frame.select(render.spaced_call(F.col("s"), F.lit('{"b":[1,2],"a":"ü"}')).alias("c")).collect()
+    assert [r.c for r in got] == ['{"arguments": {"a": "ü", "b": [1, 2]}, "name": "é"}', '{"arguments": {"a": "ü", "b": [1, 2]}, "name": "q\\""}']

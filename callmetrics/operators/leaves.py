@@ -1,0 +1,176 @@
+"""Leaves of JSON arguments in columns: no Python, no rows per leaf, whatever the depth.
+
+A text is cut into tokens by one expression without nested loops (escaped quotes and backslashes are set aside first, as
+control characters that JSON text can't hold), and one fold over the tokens keeps the path as a stack and notes every
+place: its path, whether an object, a list or a scalar stands there, and the scalar's token. Steps of a path are ``k``
+and the key, or ``#`` and the index.
+
+Schemas are variants; one fold along a path goes down ``properties`` and ``items``. Texts that hold characters which
+composition may change, none below U+0300, are composed by an Arrow function that gets only those.
+
+Texts are strict JSON (``parse`` gives canonical text). Integers may have any size; a schema's own numbers don't matter.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from callmetrics.functions.jsontext import MAY_COMPOSE, composed_json
+from callmetrics.operators.parse import BLANK
+
+SLASH, QUOTE = "\u0001", "\u0002"
+TOKEN = r'"[^"]*+"[ \t\r\n]*+:|"[^"]*+"|-?[0-9][0-9.eE+\-]*+|true|false|null|[\[\]{},]'
+NODE = "array<struct<path:array<string>,kind:string,raw:string>>"
+def _restored(token: Column) -> Column:
+    """The text of a string token: what was set aside put back, escapes resolved."""
+    quoted = F.replace(F.replace(token, F.lit(QUOTE), F.lit('\\"')), F.lit(SLASH), F.lit("\\\\"))
+    read = F.get(F.from_json(F.concat(F.lit("["), quoted, F.lit("]")), "array<string>"), 0)
+    return F.when(token.contains("\\") | token.contains(SLASH) | token.contains(QUOTE), read).otherwise(F.substr(token, F.lit(2), F.length(token) - 2))
+
+
+def places(text: Column) -> Column:
+    """Every place in a JSON text, as an array of (path, kind, raw) in the order of the text; kind d, l or s."""
+    aside = F.replace(F.replace(text, F.lit("\\\\"), F.lit(SLASH)), F.lit('\\"'), F.lit(QUOTE))
+    tokens = F.regexp_extract_all(aside, F.lit(TOKEN), F.lit(0))
+    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast(NODE).alias("found"))
+
+    def step(acc: Column, token: Column) -> Column:
+        path, found = acc["path"], acc["found"]
+        first = F.substr(token, F.lit(1), F.lit(1))
+        above = F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
+        top = F.get(path, F.size(path) - 1)
+        key = F.substr(token, F.lit(1), F.length(F.rtrim(F.substr(token, F.lit(1), F.length(token) - 1))))
+        note = lambda kind, raw: F.concat(found, F.array(F.struct(path.alias("path"), F.lit(kind).alias("kind"), raw.alias("raw"))))
+        none = F.lit(None).cast("string")
+        is_key = token.endswith(":") & (first == '"')
+        path_after = (
+            F.when(is_key, F.concat(above, F.array(F.concat(F.lit("k"), _restored(key)))))
+            .when(first == "{", F.concat(path, F.array(F.lit("k"))))
+            .when(first == "[", F.concat(path, F.array(F.lit("#0"))))
+            .when(first.isin("}", "]"), above)
+            .when((first == ",") & top.startswith("#"), F.concat(above, F.array(F.concat(F.lit("#"), (F.substr(top, F.lit(2)).cast("int") + 1).cast("string")))))
+            .otherwise(path)
+        )
+        found_after = (
+            F.when(is_key | first.isin("}", "]", ","), found)
+            .when(first == "{", note("d", none))
+            .when(first == "[", note("l", none))
+            .otherwise(note("s", token))
+        )
+        return F.struct(path_after.alias("path"), found_after.alias("found"))
+
+    return F.aggregate(tokens, start, step, lambda acc: acc["found"])
+
+
+def _typed(raw: Column) -> tuple[Column, Column]:
+    """(type, value as text) of a scalar's token."""
+    whole = F.regexp_like(raw, F.lit(r"^-?[0-9]+$"))
+    text = raw.startswith('"')
+    kind = F.when(text, "string").when(raw.isin("true", "false"), "bool").when(raw == "null", "null").when(whole, "int").otherwise("float")
+    number = F.when(raw == "-0", "0").when(whole, raw).otherwise(raw.cast("double").cast("string"))
+    return kind, F.when(text, _restored(raw)).when(raw.isin("true", "false", "null"), raw).otherwise(number)
+
+
+def function_schema(tools: Column, name: Column) -> Column:
+    """The parameters of the named function in a tools text, as a variant; null if it has none or isn't there."""
+    listed = F.try_variant_get(F.try_parse_json(tools), "$", "array<variant>")
+    inner = F.transform(listed, lambda t: F.coalesce(F.try_variant_get(t, "$.function", "variant"), t))
+    named = F.filter(inner, lambda f: F.try_variant_get(f, "$.name", "string") == name)
+    return F.try_variant_get(F.get(named, 0), "$.parameters", "variant")
+
+
+def _is(node: Column, kind: str) -> Column:
+    return F.coalesce(F.try_variant_get(node, "$.type", "string") == kind, F.lit(False))
+
+
+def _child(node: Column, step: Column) -> Column:
+    """The schema one step down a path: a property of an object, or the items of an array for a step of digits."""
+    key = F.substr(step, F.lit(2))
+    part = F.when(_is(node, "object"), F.try_element_at(F.try_variant_get(node, "$.properties", "map<string,variant>"), key)).when(
+        _is(node, "array") & F.regexp_like(key, F.lit(r"^[0-9]+$")), F.try_variant_get(node, "$.items", "variant")
+    )
+    return F.when(F.try_variant_get(part, "$", "map<string,variant>").isNotNull(), part)
+
+
+def _along(path: Column, schema: Column) -> Column:
+    """(schema type, whether it is an enum, whether the place is required by the schemas above it) at a path."""
+    start = F.struct(schema.alias("node"), F.lit(True).alias("required"))
+
+    def step(acc: Column, at: Column) -> Column:
+        asked = F.array_contains(F.try_variant_get(acc["node"], "$.required", "array<string>"), F.substr(at, F.lit(2)))
+        required = acc["required"] & at.startswith("k") & _is(acc["node"], "object") & F.coalesce(asked, F.lit(False))
+        return F.struct(_child(acc["node"], at).alias("node"), required.alias("required"))
+
+    def read(acc: Column) -> Column:
+        return F.struct(
+            F.try_variant_get(acc["node"], "$.type", "string").alias("type"), F.try_variant_get(acc["node"], "$.enum", "variant").isNotNull().alias("enum"), acc["required"].alias("required")
+        )
+
+    return F.aggregate(path, start, step, read)
+
+
+def described(nodes: Column, schema: Column) -> Column:
+    """Places with what their schema says: (path, kind, jtype, raw, schema_type, has_enum, required)."""
+
+    def one(n: Column) -> Column:
+        kind, value = _typed(n["raw"])
+        scalar = n["kind"] == "s"
+        at = F.transform(F.array(_along(n["path"], schema)), lambda s: F.struct(n["path"].alias("path"), n["kind"].alias("kind"), F.when(scalar, kind).alias("jtype"), F.when(scalar, value).alias("raw"), s["type"].alias("schema_type"), s["enum"].alias("has_enum"), s["required"].alias("required")))
+        return F.get(at, 0)
+
+    return F.transform(nodes, one)
+
+
+@F.pandas_udf(T.StringType())
+def composed_text(text: pd.Series) -> pd.Series:
+    """:func:`composed_json` of each text that isn't null."""
+    return text.map(composed_json, na_action="ignore")
+
+
+def may_compose(text: Column) -> Column:
+    """The text if it may hold a character that composition changes, else null."""
+    return F.when(F.regexp_like(text, F.lit(MAY_COMPOSE.pattern.replace("\u0300-\U0010ffff", r"\x{300}-\x{10FFFF}"))), text)
+
+
+def texts_of(text: Column) -> Column:
+    """The strings of a JSON text's places, in order, null where no string stands."""
+    return F.transform(places(text), lambda n: F.when(n["raw"].startswith('"'), _restored(n["raw"])))
+
+
+def leaves(nodes: Column, texts: Column, before: Column) -> Column:
+    """The scalars among described places, with ``norm``: texts composed and without blanks around them. ``texts`` are the
+    composed texts of all places or null, of which the first ``before`` belong to others."""
+    strip = lambda t: F.regexp_replace(t, f"^{BLANK}+|{BLANK}+$", "")
+
+    def one(n: Column, i: Column) -> Column:
+        norm = F.when(n["jtype"] == "string", strip(F.coalesce(F.get(texts, before + i), n["raw"]))).otherwise(n["raw"])
+        return F.struct(
+            F.transform(n["path"], lambda s: F.substr(s, F.lit(2))).alias("path"), n["jtype"].alias("jtype"), n["raw"].alias("raw"), norm.alias("norm"),
+            n["schema_type"].alias("schema_type"), n["has_enum"].alias("has_enum"), n["required"].alias("required"), n["path"].alias("at"),
+        )
+
+    made = F.transform(nodes, lambda n, i: F.struct(n["kind"].alias("kind"), one(n, i).alias("leaf")))
+    return F.transform(F.filter(made, lambda x: x["kind"] == "s"), lambda x: x["leaf"])
+
+
+def needed(nodes: Column, is_object: Column) -> Column:
+    """Paths of the places in a gold value that its schema requires and that hold no other required place; the value
+    itself where its schema is no object's."""
+    asked = F.transform(F.filter(nodes, lambda n: n["required"] & (F.size(n["path"]) > 0)), lambda n: n["path"])
+    parts = F.transform(asked, lambda p: F.slice(p, F.lit(1), F.size(p) - 1))
+    return F.when(is_object, F.filter(asked, lambda p: ~F.array_contains(parts, p))).otherwise(F.array(F.array().cast("array<string>")))
+
+
+def shape(nodes: Column) -> Column:
+    """The places and kinds of a value, in order."""
+    return F.array_sort(F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), n["kind"].alias("kind"))))
+
+
+def has_more(nodes: Column, other: Column) -> Column:
+    """Whether a value has a place, or a container at a place, that the other one lacks."""
+    paths = F.transform(other, lambda n: n["path"])
+    held = F.transform(other, lambda n: F.struct(n["path"].alias("path"), n["kind"].alias("kind")))
+    return F.exists(nodes, lambda n: ~F.array_contains(paths, n["path"]) | ((n["kind"] != "s") & ~F.array_contains(held, F.struct(n["path"].alias("path"), n["kind"].alias("kind")))))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callmetrics.functions.jsontext import StrictJsonError, canonical, strict_loads
+from callmetrics.functions.jsontext import StrictJsonError, canonical, composed_json, strict_loads
 from callmetrics.functions.schema import violations
 
 # Marks, categories and message texts of the output contract.
@@ -52,7 +52,7 @@ MESSAGES = {
 #: Characters that Python's str.strip() removes.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
-CALL = T.StructType([T.StructField(n, T.StringType()) for n in ("category", "message", "name", "arguments")])
+CALL = T.StructType([*[T.StructField(n, T.StringType()) for n in ("category", "message", "name", "arguments")], T.StructField("broken", T.ArrayType(T.StringType())), T.StructField("composed", T.StringType())])
 
 
 def strip(text: Column) -> Column:
@@ -68,11 +68,12 @@ def tool_functions(tools: list) -> list[dict]:
     return [f for f in found if isinstance(f, dict)]
 
 
-def judge_payload(payload: str, tools: list) -> tuple[str | None, str | None, str, str]:
-    """(category, message, name, arguments as JSON text) of the text between the marks; category null if valid."""
+def judge_payload(payload: str, tools: list) -> tuple[str | None, str | None, str, str, list[str]]:
+    """(category, message, name, arguments as JSON text, schema keywords that they break) of the text between the marks;
+    category null if valid."""
 
-    def verdict(category: str | None, message: str | None = None, name: str = "", arguments: dict | None = None):
-        return category, message, name, canonical(arguments or {})
+    def verdict(category: str | None, message: str | None = None, name: str = "", arguments: dict | None = None, broken: list[str] = ()):
+        return category, message, name, canonical(arguments or {}), list(broken)
 
     try:
         call = strict_loads(payload)
@@ -92,8 +93,8 @@ def judge_payload(payload: str, tools: list) -> tuple[str | None, str | None, st
     if not functions:
         return verdict("unknown_tool", MESSAGES["unknown_tool"].format(name), name, given)
     schema = functions[0].get("parameters", functions[0].get("schema"))
-    broken = next(violations(given, schema), None) if isinstance(schema, dict) else None
-    return verdict("schema_invalid", broken[2], name, given) if broken else verdict(None, None, name, given)
+    found = list(violations(given, schema)) if isinstance(schema, dict) else []
+    return verdict("schema_invalid", found[0][2], name, given, sorted({keyword for _, keyword, _ in found})) if found else verdict(None, None, name, given)
 
 
 @F.pandas_udf(CALL)
@@ -102,17 +103,18 @@ def _judge(payload: pd.Series, tools: pd.Series) -> pd.DataFrame:
     rows = []
     for text, listed in zip(payload, tools, strict=True):
         if text is None:
-            rows.append((None,) * 4)
+            rows.append((None,) * 6)
             continue
         if listed not in known:
             known[listed] = json.loads(listed) if listed else []
-        rows.append(judge_payload(text, known[listed]))
+        made = judge_payload(text, known[listed])
+        rows.append((*made, composed_json(made[3])))
     return pd.DataFrame(rows, columns=CALL.names)
 
 
 def parse(predictions: DataFrame, text: str = "prediction", tools: str = "tools", truncated: Column | None = None, generated: Column | None = None, limit: Column | None = None) -> DataFrame:
-    """``predictions`` with ``category`` (null if valid), ``message``, ``name``, ``arguments`` (JSON text), ``primary``,
-    ``json_valid``, ``tool_valid``, ``schema_valid``.
+    """``predictions`` with ``category`` (null if valid), ``message``, ``name``, ``arguments`` (JSON text), ``broken`` (the
+    schema keywords that they break), ``composed_arguments`` (their strings composed, null if that changes nothing), ``primary``, ``json_valid``, ``tool_valid``, ``schema_valid``.
 
     ``truncated``, or ``generated`` reaching ``limit``, marks an output as cut off and outranks everything but null text.
     """
@@ -149,6 +151,8 @@ def parse(predictions: DataFrame, text: str = "prediction", tools: str = "tools"
         F.when(early.isNull(), F.col("_call.message")).otherwise(F.element_at(words, key)).alias("message"),
         F.coalesce("_call.name", F.lit("")).alias("name"),
         F.coalesce("_call.arguments", F.lit("{}")).alias("arguments"),
+        F.coalesce("_call.broken", F.array().cast("array<string>")).alias("broken"),
+        F.col("_call.composed").alias("composed_arguments"),
     )
     c = F.col("category")
     return made.select(

@@ -1,0 +1,101 @@
+"""Leaves in columns against the rules for one row in Python."""
+
+import contextlib
+import io
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from callmetrics.operators import leaves, parse, score
+
+INNER = {"type": "object", "properties": {"x": {"type": "number"}, "y": {"type": "string", "enum": ["é", "é", " a "]}, "0": {"type": "integer"}}, "required": ["x"]}
+SCHEMA = {
+    "type": "object",
+    "properties": {"a": {"type": "integer"}, "b": {"type": "string"}, "o": INNER, "l": {"type": "array", "items": {"type": "number"}}, "m": {"type": "array", "items": INNER}, "q\"\\k": {"type": "string"}},
+    "required": ["a", "o", "l"],
+}
+SCALARS = [0, 1, -0.0, 1.0, 2.5, 1e300, 10**25, True, False, None, "", "a", " a ", "é", "é", "가", "日本", 'q"uo\\te', "line\nbreak\t\u0007", "{[,:]}", "\\", '\\"', "\U0001f600", "\x85x "]
+
+
+def value(rng, depth=0):
+    kind = rng.random()
+    if depth < 3 and kind < 0.25:
+        return {rng.choice(("x", "y", "0", "z", 'q"\\k', "")): value(rng, depth + 1) for _ in range(rng.randrange(4))}
+    if depth < 3 and kind < 0.4:
+        return [value(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return rng.choice(SCALARS)
+
+
+FITTING = {"a": (0, 1, 10**25), "b": ("a", " a ", "é", "é"), "o": ({"x": 1, "y": "é"}, {"x": 1.0}, {"x": 2.5, "0": 1, "z": []}), "l": ([], [1, 2.0], [1.0, 2]), "m": ([], [{"x": 1}], [{"x": 1.0, "y": "é"}]), 'q"\\k': ("a", "가", "x\n")}
+
+
+def arguments(rng):
+    return {k: value(rng) if rng.random() < 0.1 else rng.choice(FITTING[k]) for k in SCHEMA["properties"] if rng.random() < 0.8}
+
+
+def mutated(rng, gold):
+    made = json.loads(json.dumps(gold))
+    for k in list(made):
+        if rng.random() < 0.2:
+            made[k] = rng.choice(FITTING[k]) if rng.random() < 0.7 else value(rng)
+        elif rng.random() < 0.1:
+            del made[k]
+    return made
+
+
+def test_against_the_rules_for_one_row(spark):
+    rng, rows = random.Random(11), []
+    schemas = [SCHEMA, {"type": "array", "items": {"type": "string"}}, {"properties": {"a": {"type": "integer"}}, "required": ["a"], "type": "object", "additionalProperties": False}, {"type": "object", "properties": {"o": {"type": "object", "properties": {"x": {}}, "required": ["x"]}}, "required": ["o", "b"]}]
+    for i in range(400):
+        gold = arguments(rng)
+        call = {"name": "get", "arguments": mutated(rng, gold)}
+        tools = [{"name": "other", "parameters": INNER}, {"function": {"name": "get", "parameters": rng.choice(schemas)}} if rng.random() < 0.5 else {"name": "get", "parameters": rng.choice(schemas)}]
+        rows.append((i, f"<tool_call>{json.dumps(call, ensure_ascii=rng.random() < 0.5)}</tool_call>", json.dumps(tools), "get", json.dumps(gold, ensure_ascii=rng.random() < 0.5, indent=rng.choice((None, 1)))))
+    rows += [(400, None, json.dumps(tools), "get", "{}"), (401, "plain", "[]", "none", '{"a": 1}')]
+    frame = spark.createDataFrame(rows, "pos long, prediction string, tools string, gold_name string, gold_arguments string")
+    parsed = parse.parse(frame)
+    comparable = F.col("category").isNull() | (F.col("category") == "schema_invalid")
+    plain = parsed.withColumn("c", score.compare_rows("gold_arguments", "gold_name", "arguments", comparable, "tools"))
+    made = {r.pos: r for r in score.compare(parsed).collect()}
+    checked = 0
+    for r in plain.collect():
+        got, text = made[r.pos], rows[r.pos]
+        fine = lambda held: sorted((tuple(x.path), x.jtype, x.schema_type, x.has_enum) for x in held)
+        assert fine(got.gold_leaves) == fine(r.c.gold) and fine(got.predicted_leaves) == fine(r.c.predicted), text
+        strings = lambda held, inner: sorted((tuple(x.path), inner(x.norm)) for x in held if x.jtype == "string")
+        assert strings(got.gold_leaves, str) == strings(r.c.gold, json.loads), text
+        ok = r.category is None and r.tool_valid
+        assert (got.exact, got.task_success, got.extra) == (ok and r.c.exact_arguments, ok and not r.c.lost_required, r.c.extra), text
+        if r.category == "schema_invalid":
+            assert got.task_error == r.c.keyword_error, text
+        checked += ok
+    assert checked > 30 and any(r.exact for r in made.values()) and any(r.task_success for r in made.values())
+
+
+def test_places(spark):
+    text = '{"a": [1, {"b\\"": "x\\\\"}, [], -2.5e3], "c": {}, "": null, "d" : true}'
+    got = spark.createDataFrame([(text,)], "t string").select(leaves.places(F.col("t")).alias("p")).first().p
+    assert [(tuple(n.path), n.kind) for n in got] == [
+        ((), "d"), (("ka",), "l"), (("ka", "#0"), "s"), (("ka", "#1"), "d"), (("ka", "#1", 'kb"'), "s"), (("ka", "#2"), "l"), (("ka", "#3"), "s"), (("kc",), "d"), (("k",), "s"), (("kd",), "s")
+    ]
+    assert [n.raw for n in got if n.kind == "s"][0::2] == ["1", "-2.5e3", "true"]
+
+
+def test_deep_and_long_texts(spark):
+    deep = '{"a":' * 60 + "1" + "}" * 60
+    long = json.dumps({"a": "\\\n\"" * 50_000, "b": list(range(300))})
+    got = spark.createDataFrame([(deep,), (long,)], "t string").select(leaves.places(F.col("t")).alias("p")).collect()
+    assert len(got[0].p) == 61 and len(got[0].p[-1].path) == 60 and len(got[1].p) == 303
+    tools = json.dumps([{"name": "f", "parameters": {"type": "object", "properties": {}}}])
+    rows = [(i, f'<tool_call>{{"name":"f","arguments":{t}}}</tool_call>', tools, "f", t) for i, t in enumerate((deep, long))]
+    made = score.compare(parse.parse(spark.createDataFrame(rows, "pos long, prediction string, tools string, gold_name string, gold_arguments string")))
+    assert [(r.exact, r.n_gold, r.value_matches) for r in made.orderBy("pos").collect()] == [(True, 1, 1), (True, 301, 301)]
+
+
+def test_only_the_parser_runs_rows_in_python(spark):
+    frame = spark.createDataFrame([(0, "x", "[]", "f", "{}")], "pos long, prediction string, tools string, gold_name string, gold_arguments string")
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        score.evaluate(score.compare(parse.parse(frame))).explain()
+    assert "compare_rows" not in out.getvalue() and out.getvalue().count("ArrowEvalPython") == 1

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import re
 import unicodedata
 from typing import Any
 
@@ -85,25 +84,6 @@ def clean(text: str) -> str:
     return unicodedata.normalize("NFC", text).strip()
 
 
-#: A character that composition can change or take part in, plain or escaped.
-MAY_COMPOSE = re.compile("[\u0300-\U0010ffff]|\\\\u")
-
-
-def composed_json(text: str) -> str | None:
-    """JSON text with its strings, not its keys, composed and otherwise as it is; null if it holds nothing that changes."""
-    if not MAY_COMPOSE.search(text):
-        return None
-
-    def one(value):
-        if isinstance(value, dict):
-            return {key: one(inner) for key, inner in value.items()}
-        if isinstance(value, list):
-            return [one(inner) for inner in value]
-        return unicodedata.normalize("NFC", value) if isinstance(value, str) else value
-
-    return json.dumps(one(json.loads(text)), ensure_ascii=False)
-
-
 @F.pandas_udf(T.StringType())
 def nfc_strip(text: pd.Series) -> pd.Series:
     """NFC, then Unicode blanks trimmed; null stays null."""

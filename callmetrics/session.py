@@ -24,7 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame`` dealt over all cores if it comes in fewer partitions, as a small file does: worth a shuffle of its rows
+    where much is computed of each. Larger inputs stay as they are read."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Register driver tables as temporary views for SQL text shared with an oracle."""
+    """Register driver tables as temporary views for SQL text shared with an oracle, rows dealt over the cores."""
     for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        spread(table(spark, sf_dir, name)).createOrReplaceTempView(name)

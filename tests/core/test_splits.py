@@ -122,6 +122,21 @@ def test_exclusions_are_transitive_or_not(spark):
     assert [r.id for r in splits.without_shared_keys(rows, locked, "id", F.col("keys")).orderBy("id").collect()] == [3, 4]
 
 
+def test_ood_split_returns_what_whole_components_give(spark, tmp_path):
+    """6,000 suppliers, of whose keys few are free: no components add up to 20 rows, which the query's SQL doesn't ask for."""
+    import duckdb
+
+    from callmetrics.plans import study
+
+    rows = spark.createDataFrame([(i, [f"k{i // 3}"]) for i in range(30)], SCHEMA)
+    assert splits.schema_ood_test(rows, rows.where("id < 3"), "id", F.col("keys"), 7, strict=False).count() == 6
+    spark.range(6000).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+        want = sorted(duck.execute(study.SQL["ood_split"]).fetchall())
+    assert len(want) == 19 and sorted(map(tuple, study.ood_split(spark, str(tmp_path)).collect())) == want
+
+
 def test_ood_and_nested_subset(spark):
     rows = spark.createDataFrame([(i, [f"k{i // 3}"]) for i in range(30)], SCHEMA)
     locked = rows.where("id < 3")

@@ -215,3 +215,21 @@ def test_last_write_on_a_stream(spark, tmp_path, state_store):
     left = {r.run for r in journal.still_to_do(plan, spark, table, "run", ["seq", "at"], lambda: F.col("status") == "completed").collect()}
     done = {w[0] for w in want if w[3] == "completed"}
     assert left == ({f"r{i}" for i in range(15)} | {"quiet"}) - done
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_last_write_by_time_over_many_batches(spark, tmp_path, state_store, kind):
+    """Keys come again in later batches, so that rows are compared with what the state holds."""
+    rng = random.Random(6)
+    rows = [(f"r{i % 5}", f"2024-03-{1 + rng.randrange(28):02d} 02:30:00.{rng.randrange(10**6):06d}" if i % 9 else None, i) for i in range(40)]
+    entries = spark.createDataFrame(rows, "run string, at string, seq int").withColumn("at", F.col("at").cast(kind))
+    for i in range(4):
+        entries.where(F.col("seq") % 4 == i).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    made = journal.last_writes(stream, "run", ["at", "seq"])
+    assert made.schema["at"].dataType == entries.schema["at"].dataType
+    query = made.writeStream.foreachBatch(journal.upsert(f"{tmp_path}/table")).outputMode("update").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert query.exception() is None and spark.read.parquet(f"{tmp_path}/table").select("batch").distinct().count() > 1
+    want = {tuple(r) for r in select.last_write(entries, "run", ["at", "seq"]).collect()}
+    assert {tuple(r) for r in journal.current(spark, f"{tmp_path}/table", "run", ["at", "seq"]).collect()} == want

@@ -172,8 +172,9 @@ def winner_seeds(rows: DataFrame, seeds: int = 3) -> DataFrame:
 
 
 def repaired_examples(base: DataFrame, tuned: DataFrame, on: str, success: str = "task_success", k: int = 5) -> DataFrame:
-    """The first k rows by id that failed before tuning and succeed after."""
-    failed = base.where(~F.col(success)).select(on)
+    """The first k rows by id that failed before tuning and succeed after. The failed ids are joined by a shuffle: those
+    of a large run are too many for a broadcast, which Spark would choose from the size of what they are read from."""
+    failed = base.where(~F.col(success)).select(on).hint("merge")
     return tuned.where(F.col(success)).join(failed, on, "left_semi").orderBy(on).limit(k)
 
 

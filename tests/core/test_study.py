@@ -82,6 +82,15 @@ def test_skylines(spark):
     assert got == {y[0] for y in many if not any(beats(x, y) for x in many)}
 
 
+def test_repaired_examples_broadcast_no_ids(spark):
+    """Spark would take the failed ids, of unknown number, for small enough to send to every task."""
+    base = spark.createDataFrame([(i, i % 3 == 0) for i in range(20)], "pos long, task_success boolean")
+    tuned = base.withColumn("task_success", F.col("pos") % 2 == 0)
+    made = runs.repaired_examples(base, tuned, "pos")
+    assert [r.pos for r in made.collect()] == [2, 4, 8, 10, 14]
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_selection_order_and_journal(spark):
     rows = [("r1", "0.9", 0.5, 1.0, None, 1.0, "f1"), ("r2", "0.9", 0.5, 1.0, 2.0, 1.0, "f2"), ("r3", "0.9", 0.5, 1.0, 2.0, 1.0, "f3"), ("r4", "bad", 1.0, 1.0, 1.0, 9.0, "f9")]
     frame = spark.createDataFrame(rows, "run string, task_success string, argument_value_f1 double, schema_validity double, rss_gib double, generation_throughput_tokens_per_second double, fingerprint string")

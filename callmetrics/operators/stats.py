@@ -1,8 +1,8 @@
 """Bootstrap intervals, paired deltas, order statistics and seed summaries.
 
 Three ways to resample. ``poisson`` weighs every row in every draw by a digest of its id, in one pass whose sums merge;
-it is the one for large series. ``hash`` draws slot j of draw i as a row by a digest of (seed, i, j), in SQL, the same in
-any engine; resampling is a join on row number and the statistic an aggregate per draw. ``parity`` replays the Mersenne
+it is the one for large series. ``hash`` draws slot j of draw i as a row by a digest of (seed, i, j), the same in any
+engine; ``redraw`` makes the pairs and the statistic is an aggregate per draw. ``parity`` replays the Mersenne
 Twister sequence inside one Arrow group, for series that fit a task.
 """
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callmetrics.operators import resample
+from callmetrics.operators import redraw, resample
 from callmetrics.operators.ranks import end_quartiles, percentiles  # noqa: F401
 from callmetrics.operators.storage import cut
 
@@ -24,11 +24,6 @@ class SeriesError(ValueError):
     """A series that a statistic is not defined on."""
 
 
-def _index(draws: DataFrame, n: int, seed: int) -> DataFrame:
-    word = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string")).cast("binary")), 1, 8), 16, 10)
-    return draws.withColumn("row", F.pmod(word.cast("long"), F.lit(n)))
-
-
 def numbered(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with ``row``, their place from 0 by a unique ``order``: range-sorted, counted by partition and shifted."""
     spread = cut(rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()))
@@ -39,17 +34,18 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
 
 
 def draws(rows: DataFrame, order: str, samples: int, statistic: dict[str, Column], seed: int = 42) -> DataFrame:
-    """(draw, statistics): each draw resamples all rows with replacement; rows are numbered by ``order``."""
-    n = rows.count()
+    """(draw, statistics): each draw resamples all rows with replacement; rows are numbered by ``order``. A statistic is of
+    columns other than ``order`` and of ``times``; rows with equal columns may come as one with their times added up."""
+    if "times" in rows.columns:
+        raise SeriesError("a column is named times")
+    held = cut(rows)
+    n = held.count()
     if not n:
         raise SeriesError("there is nothing to resample")
     if samples <= 0:
         raise SeriesError("samples must be positive")
-    placed = numbered(rows, order)
-    spark = rows.sparkSession
-    pairs = spark.range(samples * n).select(F.floor(F.col("id") / n).alias("draw"), (F.col("id") % n).alias("slot"))
-    picked = _index(pairs, n, seed).groupBy("draw", "row").agg(F.count(F.lit(1)).alias("times"))
-    return picked.join(placed, "row").groupBy("draw").agg(*[column.alias(name) for name, column in statistic.items()])
+    placed = numbered(held, order).drop(order)
+    return redraw.redrawn(placed, n, samples, seed).groupBy("draw").agg(*[column.alias(name) for name, column in statistic.items()])
 
 
 def interval(samples: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:

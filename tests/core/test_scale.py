@@ -1,6 +1,7 @@
 """Resampling, skylines, streaks and order statistics that are dealt over tasks, against plain versions."""
 
 import contextlib
+import hashlib
 import io
 import random
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callmetrics.operators import ranks, resample, select, skyline, stats, telemetry
+from callmetrics.operators import ranks, redraw, resample, select, skyline, stats, telemetry
 
 
 def plan_of(frame):
@@ -18,6 +19,35 @@ def plan_of(frame):
     return out.getvalue()
 
 
+# -- slots ----------------------------------------------------------------------------------------------------------
+
+
+def test_slot_words_are_those_of_md5():
+    for seed, draw, start, end in ((42, 0, 0, 12_345), (42, 199, 0, 700), (-7, 12, 990_000, 1_010_001), (3, 1_000, 123_450_000, 123_450_003)):
+        want = [int(hashlib.md5(f"{seed}:{draw}:{slot}".encode()).hexdigest()[:8], 16) for slot in range(start, end)]
+        assert redraw.slot_words(seed, draw, start, end).tolist() == want
+    for places in ([0], [65535], [0, 0, 3, 255, 300], [5, 5, 60_000]):
+        assert redraw.unpacked(redraw.packed(np.array(places, np.int32))).tolist() == places
+
+
+def test_draws_over_blocks_and_sets_of_draws(spark):
+    """Rows of two blocks, draws of two sets, a null value; the given rows are computed once and pairs are no rows."""
+    n, samples, seen = 66_000, 66, spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def value(i):
+        seen.add(1)
+        return None if i % 11 == 0 else i % 5
+
+    frame = spark.range(0, n, 1, 3).select((F.col("id") * 3).alias("i"), value("id").alias("v"))
+    statistic = {"s": F.sum(F.col("v") * F.col("times")), "t": F.sum("times"), "k": F.sum(F.when(F.col("v").isNull(), F.col("times")))}
+    got = {r.draw: (r.s, r.t, r.k) for r in stats.draws(frame, "i", samples, statistic).collect()}
+    assert seen.value == n and sorted(got) == list(range(samples))
+    for draw in (0, 63, 64, 65):
+        rows = [int(hashlib.md5(f"42:{draw}:{slot}".encode()).hexdigest()[:8], 16) % n for slot in range(n)]
+        assert got[draw] == (sum(r % 5 for r in rows if r % 11), n, sum(r % 11 == 0 for r in rows))
+
+
 # -- Poisson weights ------------------------------------------------------------------------------------------------
 
 

@@ -2,18 +2,25 @@
 
 Equal vectors form classes first. Centroids of a spherical k-means, fitted on a bounded sample, cut the classes into
 clusters, and clusters whose centroids lie within the angle of a link form one region, so that a dense group is never
-cut by its clusters. A class is at home in the region of its nearest cluster and a guest in all regions with a cluster
-that is nearly as near, however many. A region that is still large is cut in the same way by centroids of its own,
-level by level. On every region's shard a graph is built: each vector's nearest candidates and some far ones are pruned robustly (a
-candidate goes when a chosen neighbour is nearer to it by a factor than the vector is), edges are made mutual and what
-the shard's medoid can't reach is tied to its nearest reached vector. The adjacency lists of a class from all its
-shards are united. Every class is then a query in its home shard: a greedy search from the medoid keeps a short list of
-the best, and from the moment it meets vectors in range it goes on expanding all of those, so that it returns the whole
-range and not a fixed number; a query that met ``dense`` of them is compared with the whole block instead. Cosines are computed in double precision from the vectors themselves, which verifies
-every link. ``audit_recall`` compares a bounded set of queries with brute force over all vectors, in blocks.
-
-A shard of more than ``block_rows`` members is cut into blocks with a graph each, and every query of the shard searches
-all of them. Links leave a task as counts and a spanning forest, never as pairs.
+cut by its clusters. A class is at home in the region of its nearest cluster and a guest in every region with a cluster
+whose bisecting plane with the nearest one is within a margin of it, however many. The ends of a link that lie on two
+sides of a plane are together no farther from it than they are apart along its normal, so one of them is within half of
+that: a margin of half a link's length loses no link, and the margin taken is what 999 of 1,000 probe links of the bare
+length need on the sample, in random directions and in those between its vectors, if that is less. A region that is still
+large is cut in the same way by centroids of its own, level by level. On every region's shard a graph is built: each
+vector's nearest candidates and some far ones are pruned robustly (a candidate goes when a chosen neighbour is nearer
+to it by a factor than the vector is), edges are made mutual and what the shard's medoid can't reach is tied to its
+nearest reached vector. The adjacency lists of a class from all its shards are united: a shard hands each edge on to
+the other shards that hold both ends. Every class is then a query in its home shard: a greedy search, from its own
+place in the graph or from the medoid of a block that lacks it, keeps a short list of the best and expands whatever it
+meets in range, so that it returns the whole range and not a fixed number; a query that met ``dense`` of them is
+compared with the whole block instead. Cosines are computed in double precision from the vectors themselves, which
+verifies every link. ``audit_recall`` compares a bounded set of queries with brute force over all vectors, in blocks.
+
+A shard of more than ``block_rows`` members is cut into blocks with a graph each; a task takes two blocks, and the
+queries of each search the other. A link belongs to one shard, the smaller of its ends' homes where each end is a guest
+of the other's, and is counted there for both ends, whichever found it. Links leave a task as counts and a spanning
+forest, never as pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 components of their own; vectors of different lengths don't link; equal vectors link; a null vec_id counts as a row
@@ -31,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callmetrics.llm.common import cut, discard, stored
+from callmetrics.llm.common import cut, discard, small_or_not, stored
 from callmetrics.llm.graph import components
 
 
@@ -44,7 +51,7 @@ class Index:
     most_clusters: int = 1_024  # of one level
     levels: int = 4
     sample: int = 20_000
-    nearly: float = 0.2  # radians a guest's cluster may lie farther than the home
+    nearly: float | None = None  # greatest distance of a guest from the bisecting plane; None: measured on the sample
     dense: int = 64  # vectors in range from which a query is compared with its whole block
     degree: int = 16
     candidates: int = 48
@@ -128,10 +135,14 @@ def build_graph(x: np.ndarray, index: Index) -> list[np.ndarray]:
     if n == 1:
         return [np.zeros(0, dtype=np.int64)]
     rng = np.random.default_rng(index.seed)
-    apart = np.maximum(0.0, 2 - 2 * (x @ x.T))
+    single = x.astype(np.float32)  # distances that choose edges; links are verified in double precision
+    apart = single @ single.T
+    apart *= -2
+    apart += 2
+    np.maximum(apart, 0, out=apart)
     np.fill_diagonal(apart, np.inf)
     near = min(index.candidates, n - 1)
-    pool = np.argpartition(apart, near - 1, axis=1)[:, :near]
+    pool = np.concatenate([np.argpartition(apart[i : i + 512], near - 1, axis=1)[:, :near] for i in range(0, n, 512)])
     pool = np.concatenate([pool, rng.integers(0, n, (n, index.degree))], axis=1)
     gap = np.take_along_axis(apart, pool, 1)
     order = np.argsort(gap, axis=1, kind="stable")
@@ -174,191 +185,279 @@ def build_graph(x: np.ndarray, index: Index) -> list[np.ndarray]:
     return lists
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], start: int, queries: np.ndarray, least: float, keep: int, width: int = 4, dense: int = 64) -> Iterator[tuple[int, np.ndarray]]:
-    """(query number, numbers of base vectors with cosine >= least that the search met)."""
+def range_search(x: np.ndarray, lists: list[np.ndarray], entries: np.ndarray, queries: np.ndarray, least: float, keep: int, width: int = 4, dense: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query numbers, numbers of base vectors), pairs with cosine >= least that the searches met. A search starts at
+    its entry; its list holds the best ``keep`` and, being ``dense`` longer, all that is in range."""
     n, deepest = len(x), max((len(v) for v in lists), default=0)
     links = np.full((n + 1, max(deepest, 1)), n)
     for i, v in enumerate(lists):
         links[i, : len(v)] = v
-    base = np.concatenate([x, np.zeros((1, x.shape[1]))])
-    for low in range(0, len(queries), 128):
-        q = queries[low : low + 128]
-        score = np.full((len(q), n + 1), -np.inf)  # of what was met
-        done = np.zeros((len(q), n + 1), dtype=bool)
-        done[:, n] = True
-        score[:, start] = q @ x[start]
-        active = np.arange(len(q))
+    for low in range(0, len(queries), 256):
+        q = queries[low : low + 256]
+        seen = np.zeros((len(q), n + 1), dtype=bool)
+        seen[:, n] = True
+        ids = np.full((len(q), keep + dense), n)
+        score = np.full(ids.shape, -np.inf)
+        fresh = np.zeros(ids.shape, dtype=bool)  # not expanded
+        whole = np.zeros(len(q), dtype=bool)
+        every = np.arange(len(q))
+        ids[:, 0], fresh[:, 0] = entries[low : low + 256], True
+        score[:, 0] = np.einsum("ij,ij->i", q, x[ids[:, 0]])
+        seen[every, ids[:, 0]] = True
+        active = every
         while len(active):
-            open_score = np.where(done[active], -np.inf, score[active])
-            w = min(width, n)
-            best = np.argpartition(-open_score, w - 1, axis=1)[:, :w] if w < n + 1 else np.zeros((len(active), 1), dtype=int)
-            value = np.take_along_axis(open_score, best, 1)
-            bar = -np.partition(-score[active], min(keep, n) - 1, axis=1)[:, min(keep, n) - 1]
+            mine = score[active]
+            bar = -np.partition(-mine, keep - 1, axis=1)[:, keep - 1]
+            mine = np.where(fresh[active], mine, -np.inf)
+            best = np.argpartition(-mine, width - 1, axis=1)[:, :width]
+            value = np.take_along_axis(mine, best, 1)
             worth = (value > -np.inf) & ((value >= bar[:, None]) | (value >= least))
-            best = np.where(worth, best, n)
             some = worth.any(1)
-            active, best = active[some], best[some]
+            active, best, worth = active[some], best[some], worth[some]
             if not len(active):
                 break
-            np.put_along_axis(mine := done[active], best, True, 1)
-            done[active] = mine
-            met = links[best].reshape(len(active), -1)
-            row, col = np.nonzero((met < n) & ~np.isfinite(np.take_along_axis(score[active], met, 1)))
-            who, what = active[row], met[row, col]
-            score[who, what] = np.einsum("ij,ij->i", q[who], base[what])
-            crowded = (score[active] >= least).sum(1) >= dense
-            whole = active[crowded]
-            if len(whole):
-                score[whole, :n] = q[whole] @ x.T
-                active = active[~crowded]
-        for i in range(len(q)):
-            yield low + i, np.nonzero(score[i, :n] >= least)[0]
-
-
-def placed_in(x: np.ndarray, centers: np.ndarray, region: np.ndarray, nearly: float) -> tuple[list[int], list[list[int]]]:
-    """Of unit vectors: the region of the nearest center, and all regions with a center that is nearly as near."""
-    angle = np.arccos(np.clip(x @ centers.T, -1, 1))
-    near = angle <= angle.min(1, keepdims=True) + nearly
-    return region[angle.argmin(1)].tolist(), [np.unique(region[row]).tolist() for row in near]
+            row, col = np.nonzero(worth)
+            fresh[active[row], best[row, col]] = False
+            at = ids[active[row], best[row, col]]
+            met, who = links[at].ravel(), np.repeat(active[row], links.shape[1])
+            new = ~seen[who, met]
+            pairs = np.unique(who[new] * (n + 1) + met[new])
+            if not len(pairs):
+                continue
+            who, what = pairs // (n + 1), pairs % (n + 1)
+            seen[who, what] = True
+            value = np.einsum("ij,ij->i", q[who], x[what])
+            lines, first, count = np.unique(who, return_index=True, return_counts=True)
+            place = np.repeat(np.arange(len(lines)), count), np.arange(len(who)) - np.repeat(first, count)
+            more_ids, more = np.full((len(lines), count.max()), n), np.full((len(lines), count.max()), -np.inf)
+            more_ids[place], more[place] = what, value
+            all_ids, all_scores = np.concatenate([ids[lines], more_ids], axis=1), np.concatenate([score[lines], more], axis=1)
+            all_fresh = np.concatenate([fresh[lines], np.isfinite(more)], axis=1)
+            top = np.argpartition(-all_scores, ids.shape[1] - 1, axis=1)[:, : ids.shape[1]]
+            ids[lines], score[lines], fresh[lines] = (np.take_along_axis(v, top, 1) for v in (all_ids, all_scores, all_fresh))
+            whole[lines] = (score[lines] >= least).sum(1) >= dense
+            active = active[~whole[active]]
+        row, col = np.nonzero((score >= least) & ~whole[:, None])
+        yield low + row, ids[row, col]
+        if whole.any():
+            row, col = np.nonzero(q[whole] @ x.T >= least)
+            yield low + every[whole][row], col
+
+
+def behind(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of unit vectors: the nearest unit center, and the distances from its bisecting planes with all centers."""
+    near = x @ centers.T
+    home = near.argmax(1)
+    apart = np.sqrt(np.maximum(1e-18, 2 - 2 * (centers @ centers.T)))
+    return home, (near[np.arange(len(x)), home][:, None] - near) / apart[home]
+
+
+def margin_of(sample: np.ndarray, centers: np.ndarray, least: float, index: Index, share: float = 0.999, probes: int = 4_000) -> float:
+    """The distance from a bisecting plane within which one end of a link lies: half a link's length always, and less
+    if that is so for ``share`` of probes with the cosine ``least``, both of those in random directions and of those
+    in directions between vectors of the sample, which keep to the space that the vectors fill."""
+    half = float(np.sqrt(max(0.0, 2 - 2 * least))) / 2
+    if index.nearly is not None or len(sample) < 2:
+        return half if index.nearly is None else min(index.nearly, half)
+    rng = np.random.default_rng(index.seed)
+    x = sample[rng.integers(0, len(sample), probes)]
+    needs = []
+    for aim in (rng.normal(size=x.shape), sample[rng.integers(0, len(sample), probes)] - sample[rng.integers(0, len(sample), probes)]):
+        side = aim - (aim * x).sum(1, keepdims=True) * x
+        length = np.linalg.norm(side, axis=1)
+        apart = length > 1e-6  # equal vectors give no direction
+        if not apart.any():
+            continue
+        a = x[apart]
+        b = least * a + np.sqrt(1 - least**2) * side[apart] / length[apart, None]
+        (home_a, from_a), (home_b, from_b) = behind(a, centers), behind(b, centers)
+        rows = np.arange(len(a))
+        needs.append(float(np.quantile(np.minimum(from_a[rows, home_b], from_b[rows, home_a]), share)))
+    return min(half, max(needs, default=half))
+
+
+def placed_in(x: np.ndarray, centers: np.ndarray, region: np.ndarray, margin: float | np.ndarray) -> tuple[list[int], list[list[int]]]:
+    """Of unit vectors: the region of the nearest center, and all regions with a center whose plane is within ``margin``
+    (one number, or one a vector)."""
+    homes, near = [], []
+    margins = np.broadcast_to(margin, len(x))
+    for low in range(0, len(x), 2_000):
+        home, far = behind(x[low : low + 2_000], centers)
+        row, col = np.nonzero(far <= margins[low : low + 2_000, None])
+        pairs = np.unique(row * len(centers) + region[col])
+        homes += region[home].tolist()
+        near += [v.tolist() for v in np.split(pairs % len(centers), np.searchsorted(pairs // len(centers), np.arange(1, len(home))))]
+    return homes, near
 
 
 def by_levels(members: DataFrame, least: float, index: Index) -> DataFrame:
-    """Stored ``members`` (cid, m, vector, home, shards, shard) with every shard of more than twice ``shard_rows`` cut
-    into clusters of its own, level by level, so that shards stay small however many vectors there are.
+    """``members`` (cid, m, vector, home, shards, shard) with every shard of more than twice ``shard_rows`` members at
+    home cut into clusters of its own, level by level, so that shards stay small however many vectors there are.
 
     A shard's centroids are fitted in one task on about ``sample`` of its members and carried to all of them, dealt
-    over tasks of about ``sample`` rows. A shard that its own clusters don't part (a dense group is one region) stays
-    whole; so does what is left after ``levels``. Blocks cover such a shard in full.
+    over tasks of about ``sample`` rows. Guests search elsewhere, so of a link only the guest's own distance counts, and
+    its margin is doubled. A shard that its own clusters don't part (a dense group is one region) stays whole; so does
+    what is left after ``levels``. Blocks cover such a shard in full. Only vectors of shards that are cut are stored
+    again, for the next level; the others keep their ids and shards.
     """
-    rows = members.select("cid", "m", "vector", "shard", (F.col("home") == F.col("shard")).alias("own"), F.lit(True).alias("fresh"))
-    kept, cuts = members, 0
+    rows = members.select("cid", "vector", "shard", (F.col("home") == F.col("shard")).alias("own"))
+    names = rows.columns
+    kind = dict(rows.dtypes)["vector"]
+    settled: list[DataFrame] = []
+    written: list[DataFrame] = []
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("cid")
         x = unit(frame["vector"])
         k = int(min(index.most_clusters, -(-int(frame["rows"].iloc[0]) // index.shard_rows)))
         centers = fit_centroids(x, k, index.seed)
-        region = regions(centers, least)
-        held = np.bincount(np.concatenate(placed_in(x, centers, region, index.nearly)[1]))
+        region, margin = regions(centers, least), margin_of(x, centers, least, index)
+        held = np.bincount(np.concatenate(placed_in(x, centers, region, margin)[1]))
         parts = 2 * int((held**2).sum()) < len(x) ** 2  # the comparisons that are left
-        made = [(int(frame["shard"].iloc[0]), int(frame["rows"].iloc[0]), centers.tolist(), region.tolist())] if parts else []
-        return pd.DataFrame(made, columns=["shard", "rows", "centers", "region"])
+        made = [(int(frame["shard"].iloc[0]), int(frame["rows"].iloc[0]), centers.tolist(), region.tolist(), margin)] if parts else []
+        return pd.DataFrame(made, columns=["shard", "rows", "centers", "region", "margin"])
 
     def deal(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in ("cid", "m", "vector", "shard", "own", "leaf")})
+            return pd.DataFrame([], columns=[*names, "leaf"], dtype=object)
         centers = np.array([np.asarray(c) for c in right["centers"].iloc[0]])
-        home, near = placed_in(unit(left["vector"]), centers, np.asarray(right["region"].iloc[0]), index.nearly)
-        made = left[["cid", "m", "vector", "shard", "own"]].assign(first=home, leaf=near).explode("leaf")
+        margin = float(right["margin"].iloc[0])
+        home, near = placed_in(unit(left["vector"]), centers, np.asarray(right["region"].iloc[0]), np.where(left["own"], margin, 2 * margin))
+        made = left[names].assign(first=home, leaf=near).explode("leaf")
         made["own"] = made["own"] & (made["first"] == made["leaf"])
         return made.drop(columns="first")
 
     for _ in range(index.levels):
-        large = cut(rows.where("fresh").groupBy("shard").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 2 * index.shard_rows))
+        counts = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.count_if("own").alias("at_home"))
+        large = cut(counts.where(F.col("at_home") > 2 * index.shard_rows).select("shard", "rows"))
         if not large.count():
             break
         chance = F.lit(1_000_000) * F.least(F.lit(1.0), F.lit(index.sample) / F.col("rows"))
-        picked = rows.join(large, "shard").where(F.pmod(F.xxhash64(F.lit(index.seed + 1), "cid"), F.lit(1_000_000)) < chance)
-        fitted = stored(picked.select("shard", "rows", "vector").groupBy("shard").applyInPandas(fit, "shard long, rows long, centers array<array<double>>, region array<int>"), "vector-levels")
+        picked = rows.join(small_or_not(large), "shard").where(F.pmod(F.xxhash64(F.lit(index.seed + 1), "cid"), F.lit(1_000_000)) < chance)
+        fitted = cut(picked.select("cid", "shard", "rows", "vector").groupBy("shard").applyInPandas(fit, "shard long, rows long, centers array<array<double>>, region array<int>, margin double"))
         if not fitted.count():
-            discard(fitted)
             break
         deals = F.ceil(F.col("rows") / index.sample).cast("int")
-        parted = fitted.select("shard", deals.alias("deals"))
-        left = rows.join(parted, "shard").withColumn("deal", F.pmod("cid", "deals").cast("int")).groupBy("shard", "deal")
+        parted = cut(fitted.select("shard", deals.alias("deals")))
+        left = rows.join(small_or_not(parted), "shard").withColumn("deal", F.pmod("cid", "deals").cast("int")).groupBy("shard", "deal")
         right = fitted.withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).groupBy("shard", "deal")
-        dealt = left.cogroup(right).applyInPandas(deal, "cid long, m long, vector array<double>, shard long, own boolean, leaf long")
-        below = dealt.select("cid", "m", "vector", F.xxhash64("shard", "leaf").alias("shard"), "own", F.lit(True).alias("fresh"))
-        whole = rows.join(parted, "shard", "left_anti").withColumn("fresh", F.lit(False))
-        after = stored(whole.select(below.columns).unionByName(below), "vector-members")
-        discard(fitted, kept)
-        rows = kept = after
-        cuts += 1
-    if not cuts:
+        dealt = left.cogroup(right).applyInPandas(deal, f"cid long, vector {kind}, shard long, own boolean, leaf long")
+        settled.append(rows.join(small_or_not(parted), "shard", "left_anti").select("cid", "shard", "own"))
+        rows = stored(dealt.select("cid", "vector", F.xxhash64("shard", "leaf").alias("shard"), "own"), "vector-members")
+        written.append(rows)
+    if not written:
         return members
-    owners = rows.groupBy("cid").agg(F.max(F.when(F.col("own"), F.col("shard"))).alias("home"), F.collect_set("shard").alias("shards"))
-    made = stored(rows.drop("own", "fresh").join(owners, "cid"), "vector-members")
-    discard(kept)
-    return made
+    for part in settled:
+        rows = rows.select("cid", "shard", "own").unionByName(part)
+    owners = cut(rows.groupBy("cid").agg(F.max(F.when(F.col("own"), F.col("shard"))).alias("home"), F.collect_set("shard").alias("shards")))
+    discard(*written)
+    once = members.where("home = shard").select("cid", "m", "vector")
+    return once.join(owners, "cid").withColumn("shard", F.explode("shards"))
 
 
-def link_classes(classes: DataFrame, least: float, index: Index) -> tuple[DataFrame, DataFrame]:
-    """From classes (cid, m, vector): counts (cid, found), vectors linked directly, and forest edges (a, b)."""
+def placed_classes(classes: DataFrame, least: float, index: Index) -> DataFrame:
+    """Stored ``classes`` (cid, vector and others) with the shard they are at home in and all their shards."""
     n = classes.count()
     share = min(1.0, index.sample / max(n, 1))
     chosen = classes.where(F.pmod(F.xxhash64(F.lit(index.seed), "cid"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))).orderBy("cid").limit(index.sample)
     rows = chosen.select("vector").collect()  # at most index.sample rows
     length = len(rows[0]["vector"]) if rows else 0
-    held = [r["vector"] for r in rows if len(r["vector"]) == length]
+    held = unit([r["vector"] for r in rows if len(r["vector"]) == length]) if rows else np.zeros((0, 1))
     k = int(min(index.most_clusters, max(1, -(-n // index.shard_rows))))
-    centroids = fit_centroids(unit(held), k, index.seed) if held else np.zeros((1, 1))
-    shared = classes.sparkSession.sparkContext.broadcast((centroids, regions(centroids, least)))  # most_clusters rows at most
+    centroids = fit_centroids(held, k, index.seed) if rows else np.zeros((1, 1))
+    shared = classes.sparkSession.sparkContext.broadcast((centroids, regions(centroids, least), margin_of(held, centroids, least, index)))  # most_clusters rows at most
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centers, region = shared.value
+        centers, region, margin = shared.value
         for batch in batches:
             fits = batch["vector"].map(len) == centers.shape[1]
             homes = [-len(v) for v in batch["vector"]]
             shards = [[h] for h in homes]
             at = np.nonzero(fits)[0].tolist()
             if at:
-                for i, home, near in zip(at, *placed_in(unit(batch["vector"][fits]), centers, region, index.nearly), strict=True):
+                for i, home, near in zip(at, *placed_in(unit(batch["vector"][fits]), centers, region, margin), strict=True):
                     homes[i], shards[i] = home, near
             yield batch.assign(home=homes, shards=shards)
 
-    schema = "cid long, m long, vector array<double>, home long, shards array<long>"
-    placed = classes.select("cid", "m", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(assign, schema)
-    members = by_levels(stored(placed.withColumn("shard", F.explode("shards")), "vector-members"), least, index)
+    schema = ", ".join(f"{name} {kind}" for name, kind in classes.dtypes)
+    return stored(classes.mapInPandas(assign, f"{schema}, home long, shards array<long>"), "vector-placed")
+
+
+def link_classes(placed: DataFrame, least: float, index: Index) -> tuple[DataFrame, DataFrame]:
+    """From placed classes (cid, m, vector, home, shards): counts (cid, found), vectors linked directly, and forest edges
+    (a, b)."""
+    members = by_levels(placed.select("cid", "m", "vector", "home", "shards").withColumn("shard", F.explode("shards")), least, index)
     sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
-    blocks = cut(sizes.select("shard", F.ceil(F.col("rows") / index.block_rows).cast("int").alias("blocks")))
-    based = members.join(blocks, "shard").withColumn("block", F.pmod("cid", "blocks").cast("int"))
+    blocks = small_or_not(cut(sizes.select("shard", F.ceil(F.col("rows") / index.block_rows).cast("int").alias("blocks"))))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Each row to every pair of its block with a block of its shard, itself included."""
+        cells = rows.join(blocks, "shard").withColumn("block", F.pmod("cid", "blocks").cast("int"))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return cells.select("shard", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *[c for c in rows.columns if c != "shard"])
+
+    pairs = dealt(members.select("shard", "cid", "m", "vector", "home", "shards"))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["cid"].to_numpy()
-        lists = build_graph(unit(frame["vector"]), index)
-        return pd.DataFrame({"cid": ids, "near": [ids[v].tolist() for v in lists]})
-
-    graphs = based.groupBy("shard", "block").applyInPandas(build, "cid long, near array<long>")
-    union = stored(graphs.groupBy("cid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "vector-graph")
-    # base rows go to each query block of their shard, queries, classes at home, to each base block
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    base = based.join(union, "cid").select("shard", every.alias("asking"), F.col("block").alias("asked"), "cid", "m", "vector", "home", "shards", "near", F.lit(False).alias("query"))
-    asks = based.where("home = shard").select("shard", F.col("block").alias("asking"), every.alias("asked"), "cid", "m", "vector", "home", "shards", F.array().cast("array<bigint>").alias("near"), F.lit(True).alias("query"))
-
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        shard = int(frame["shard"].iloc[0])
-        b = frame[~frame["query"]].sort_values("cid").reset_index(drop=True)
-        q = frame[frame["query"]].sort_values("cid").reset_index(drop=True)
-        if not len(b) or not len(q):
+        if frame["low"].iloc[0] != frame["high"].iloc[0]:
+            return pd.DataFrame([], columns=["shard", "cid", "near"], dtype=object)
+        frame = frame.sort_values("cid")
+        here, ids = int(frame["shard"].iloc[0]), frame["cid"].to_numpy()
+        held = [set(v.tolist()) for v in frame["shards"]]
+        made = []
+        for i, near in enumerate(build_graph(unit(frame["vector"]), index)):
+            made.append((here, ids[i], ids[near]))
+            for shard in held[i] - {here}:  # what the graph of another shard may use
+                both = [ids[j] for j in near.tolist() if shard in held[j]]
+                if both:
+                    made.append((shard, ids[i], both))
+        return pd.DataFrame(made, columns=["shard", "cid", "near"])
+
+    edges = dealt(pairs.groupBy("shard", "low", "high").applyInPandas(build, "shard long, cid long, near array<long>"))
+
+    def search(frame: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
             return pd.DataFrame({"cid": [], "found": [], "root": []}, dtype="int64")
-        ids, weight = b["cid"].to_numpy(), b["m"].to_numpy()
-        place = {c: i for i, c in enumerate(ids.tolist())}
-        lists = [np.array([place[c] for c in near if c in place], dtype=np.int64) for near in b["near"]]
-        x = unit(b["vector"])
-        at_home = b["home"].to_numpy() == shard
-        homes = b["home"].to_numpy()
-        asked, times = q["cid"].to_numpy(), q["m"].to_numpy()
-        hit = np.zeros((len(q), len(b)), dtype=bool)
-        for i, found in range_search(x, lists, medoid(x), unit(q["vector"]), least, index.keep, dense=index.dense):
-            hit[i, found] = True
-        mine = np.array([place.get(c, -1) for c in asked.tolist()], dtype=np.int64)
-        rows = np.nonzero(mine >= 0)[0]
-        cols = mine[rows]
-        if len(rows):  # a link found from either end is a link of both
-            both = hit[np.ix_(rows, cols)]
-            hit[np.ix_(rows, cols)] = both | both.T
-            hit[rows, cols] = False
-        of_query = {int(c): int(weight[hit[i]].sum()) for i, c in enumerate(asked)}
-        of_base = np.zeros(len(b), dtype=np.int64)
-        for home in np.unique(homes[~at_home]).tolist():  # guests whose own search can't see the query
-            unseen = np.array([home not in v for v in map(set, q["shards"])])
-            guests = np.nonzero(homes == home)[0]
-            of_base[guests] = (hit[np.ix_(unseen, guests)] * times[unseen, None]).sum(0)
-        other = dict(zip(ids.tolist(), of_base.tolist(), strict=True))
-        root = forest_of(hit, asked, ids)
-        return pd.DataFrame([(c, of_query.get(c, 0) + other.get(c, 0), r) for c, r in root.items()], columns=["cid", "found", "root"]).astype("int64")
-
-    links = cut(base.unionByName(asks).groupBy("shard", "asking", "asked").applyInPandas(search, "cid long, found long, root long"))
-    discard(members, union)
+        frame = frame.sort_values("cid").reset_index(drop=True)
+        shard, low, high = (int(frame[c].iloc[0]) for c in ("shard", "low", "high"))
+        ids, weight, block, homes = (frame[c].to_numpy() for c in ("cid", "m", "block", "home"))
+        x = unit(frame["vector"])
+        asked = np.nonzero(homes == shard)[0]
+        row_of = np.full(len(ids), -1)
+        row_of[asked] = np.arange(len(asked))
+        hit = np.zeros((len(asked), len(ids)), dtype=bool)
+        for base, query in {(low, high), (high, low)}:
+            cols, rows = np.nonzero(block == base)[0], np.nonzero((block == query) & (homes == shard))[0]
+            if not len(cols) or not len(rows):
+                continue
+            place = {c: i for i, c in enumerate(ids[cols].tolist())}
+            near: list[list[int]] = [[] for _ in cols]
+            for c, v in zip(lists["cid"].tolist(), lists["near"], strict=True):
+                if c in place:
+                    near[place[c]] += [place[e] for e in v.tolist() if e in place]
+            united = [np.unique(np.array(v, dtype=np.int64)) for v in near]
+            entries = np.searchsorted(cols, rows) if base == query else np.full(len(rows), medoid(x[cols]))
+            for i, j in range_search(x[cols], united, entries, x[rows], least, index.keep, dense=index.dense):
+                hit[row_of[rows[i]], cols[j]] = True
+        both = hit[:, asked]  # a link found from either end is a link of both
+        hit[:, asked] = both | both.T
+        hit[np.arange(len(asked)), asked] = False
+        held = [set(v.tolist()) for v in frame["shards"]]
+        for home in np.unique(homes[homes < shard]).tolist():  # links that belong to the guest's home
+            meet = np.array([home in held[i] for i in asked.tolist()], dtype=bool)
+            hit[np.ix_(meet, homes == home)] = False
+        found = np.zeros(len(ids), dtype=np.int64)
+        guests = homes != shard
+        for i in range(0, len(asked), 256):
+            some = hit[i : i + 256]
+            found[asked[i : i + 256]] = some @ weight
+            found[guests] += weight[asked[i : i + 256]] @ some[:, guests]
+        root = forest_of(hit, ids[asked], ids)
+        count = dict(zip(ids.tolist(), found.tolist(), strict=True))
+        return pd.DataFrame([(c, count[c], r) for c, r in root.items()], columns=["cid", "found", "root"]).astype("int64")
+
+    keys = ("shard", "low", "high")
+    links = cut(pairs.groupBy(*keys).cogroup(edges.groupBy(*keys)).applyInPandas(search, "cid long, found long, root long"))
     return links.groupBy("cid").agg(F.sum("found").alias("found")), links.select(F.col("cid").alias("a"), F.col("root").alias("b"))
 
 
@@ -368,12 +467,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, index: Index | None
     good = usable(F.col("embedding"))
     key = F.when(good, F.md5(F.array_join(F.transform("embedding", lambda x: (x + 0.0).cast("string")), ",").cast("binary")))
     keyed = vectors.select("vec_id", "embedding", key.alias("key"))
-    grouped = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("embedding").alias("vector"))
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    grouped = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("embedding").cast(kind).alias("vector"))
     classes = stored(grouped.withColumn("cid", F.xxhash64("key")), "vector-classes")
-    counts, forest = link_classes(classes.select("cid", "m", "vector"), least, index)
+    placed = placed_classes(classes, least, index)
+    discard(classes)
+    counts, forest = link_classes(placed, least, index)
     roots = components(forest).withColumnRenamed("node", "cid")
-    rooted = classes.select("cid", "key", "rep", "m").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(counts, "cid", "left")
+    rooted = placed.select("cid", "key", "rep", "m").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")).join(counts, "cid", "left")
     rooted = cut(rooted)
+    discard(placed)
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = cut(rooted.join(smallest, "root").select(F.col("key"), (F.col("m") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), "component_id"))
     linked = keyed.where("key is not null").select("vec_id", "key").join(named, "key").select("vec_id", "n_links", "component_id")

@@ -130,3 +130,56 @@ def test_planted_links_just_over_the_bar(spark):
     assert vectors.audit_recall(frame, found) >= 0.99
     alone = spark.createDataFrame([(i, np.eye(32)[i].tolist()) for i in range(9)], frame.schema)
     assert vectors.audit_recall(alone, vectors.near_duplicates(alone)) is None
+
+
+def test_vectors_without_structure_are_in_few_shards(spark, monkeypatch):
+    """Unstructured vectors with planted links just over the bar: few copies in the input's own type, links counted at both ends."""
+    rng = np.random.default_rng(21)
+    x = vectors.unit(rng.normal(size=(3000, 64)))
+    side = rng.normal(size=(600, 64))
+    side = vectors.unit(side - (side * x[:600]).sum(1, keepdims=True) * x[:600])
+    cosine = rng.uniform(0.9501, 0.956, (600, 1))
+    x = np.concatenate([x, cosine * x[:600] + np.sqrt(1 - cosine**2) * side])
+    rows = rows_of(x)
+    want = brute(rows)
+    seen, plain = [], vectors.by_levels
+
+    def watched(members, least, index):
+        made = plain(members, least, index)
+        seen.append((made.count(), dict(made.dtypes)["vector"]))
+        return made
+
+    monkeypatch.setattr(vectors, "by_levels", watched)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA), index=vectors.Index(shard_rows=100)).collect()}
+    members, kind = seen[0]
+    assert members < 5 * len(rows) and kind == "array<float>"
+    assert sum(got[i] == want[i] for i in want) >= 0.999 * len(want)
+    assert sum(n for n, _ in got.values()) % 2 == 0
+
+
+def test_a_margin_of_half_a_link_loses_none():
+    """Links along the line between two centers, the worst direction: one end is always within half their length."""
+    rng = np.random.default_rng(4)
+    centers = vectors.unit(rng.normal(size=(12, 6)))
+    x = vectors.unit(rng.normal(size=(4000, 6)))
+    toward = centers[rng.integers(0, 12, 4000)] - centers[(x @ centers.T).argmax(1)]
+    side = toward - (toward * x).sum(1, keepdims=True) * x
+    some = np.linalg.norm(side, axis=1) > 1e-9
+    x, side = x[some], vectors.unit(side[some])
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * side
+    region = np.arange(12)
+    half = vectors.margin_of(x, centers, 0.95, vectors.Index(nearly=9.0))
+    (home_x, in_x), (home_y, in_y) = (vectors.placed_in(v, centers, region, half) for v in (x, y))
+    assert sum(a != b for a, b in zip(home_x, home_y, strict=True)) > 500
+    assert all(a in v or b in u for a, b, u, v in zip(home_x, home_y, in_x, in_y, strict=True))
+    assert vectors.margin_of(x, centers, 0.95, vectors.Index()) <= half
+
+
+def test_searches_from_their_own_place_are_exact():
+    rng = np.random.default_rng(9)
+    x = vectors.unit(np.repeat(rng.normal(size=(80, 32)), 10, 0) + 0.2 * rng.normal(size=(800, 32)))
+    lists = vectors.build_graph(x, vectors.Index())
+    hit = np.zeros((800, 800), dtype=bool)
+    for i, j in vectors.range_search(x, lists, np.arange(800), x, 0.95, 12):
+        hit[i, j] = True
+    assert (hit == (x @ x.T >= 0.95)).all() and hit.sum() > 2000

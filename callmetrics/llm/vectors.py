@@ -17,8 +17,8 @@ meets in range, so that it returns the whole range and not a fixed number; a que
 compared with the whole block instead. Cosines are computed in double precision from the vectors themselves, which
 verifies every link. ``audit_recall`` compares a bounded set of queries with brute force over all vectors, in blocks.
 
-A shard of more than ``block_rows`` members is cut into blocks with a graph each; a task takes two blocks, and the
-queries of each search the other. A link belongs to one shard, the smaller of its ends' homes where each end is a guest
+A shard of more than ``block_rows`` members at home, or four times as many with guests, is cut into blocks with a graph
+each; a task takes two blocks, and the queries of each search the other. A link belongs to one shard, the smaller of its ends' homes where each end is a guest
 of the other's, and is counted there for both ends, whichever found it. Links leave a task as counts and a spanning
 forest, never as pairs.
 
@@ -136,30 +136,30 @@ def build_graph(x: np.ndarray, index: Index) -> list[np.ndarray]:
         return [np.zeros(0, dtype=np.int64)]
     rng = np.random.default_rng(index.seed)
     single = x.astype(np.float32)  # distances that choose edges; links are verified in double precision
-    apart = single @ single.T
-    apart *= -2
-    apart += 2
-    np.maximum(apart, 0, out=apart)
-    np.fill_diagonal(apart, np.inf)
     near = min(index.candidates, n - 1)
-    pool = np.concatenate([np.argpartition(apart[i : i + 512], near - 1, axis=1)[:, :near] for i in range(0, n, 512)])
-    pool = np.concatenate([pool, rng.integers(0, n, (n, index.degree))], axis=1)
-    gap = np.take_along_axis(apart, pool, 1)
-    order = np.argsort(gap, axis=1, kind="stable")
-    pool, gap = np.take_along_axis(pool, order, 1), np.take_along_axis(gap, order, 1)
-    alive = np.isfinite(gap)
+    far = rng.integers(0, n, (n, index.degree))
     edges: list[tuple[np.ndarray, np.ndarray]] = []
-    rows = np.arange(n)
-    for _ in range(index.degree):
-        first = alive.argmax(1)
-        some = alive[rows, first]
-        chosen = pool[rows, first]
-        edges.append((rows[some], chosen[some]))
-        alive[rows, first] = False
-        alive &= ~(index.alpha * apart[chosen[:, None], pool] <= gap)
-        alive &= pool != chosen[:, None]
-        if not some.any():
-            break
+    for low in range(0, n, 512):
+        apart = np.maximum(0, 2 - 2 * (single[low : low + 512] @ single.T))
+        rows = np.arange(len(apart))
+        apart[rows, low + rows] = np.inf
+        pool = np.concatenate([np.argpartition(apart, near - 1, axis=1)[:, :near], far[low : low + 512]], axis=1)
+        gap = np.take_along_axis(apart, pool, 1)
+        order = np.argsort(gap, axis=1, kind="stable")
+        pool, gap = np.take_along_axis(pool, order, 1), np.take_along_axis(gap, order, 1)
+        held = single[pool]
+        among = np.maximum(0, 2 - 2 * (held @ held.transpose(0, 2, 1)))
+        alive = np.isfinite(gap)
+        for _ in range(index.degree):
+            first = alive.argmax(1)
+            some = alive[rows, first]
+            if not some.any():
+                break
+            chosen = pool[rows, first]
+            edges.append((low + rows[some], chosen[some]))
+            alive[rows, first] = False
+            alive &= ~(index.alpha * among[rows, first] <= gap)
+            alive &= pool != chosen[:, None]
     a, b = np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
     pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
     a, b = pairs // n, pairs % n
@@ -175,11 +175,11 @@ def build_graph(x: np.ndarray, index: Index) -> list[np.ndarray]:
 
     reach([start])
     while not reached.all():
-        outside = np.nonzero(~reached)[0]
+        outside = np.nonzero(~reached)[0][:512]
         inside = np.nonzero(reached)[0]
-        block = apart[np.ix_(outside, inside)]
-        at = int(block.min(1).argmin())
-        i, j = int(outside[at]), int(inside[block[at].argmin()])
+        block = single[outside] @ single[inside].T
+        at = int(block.max(1).argmax())
+        i, j = int(outside[at]), int(inside[block[at].argmax()])
         lists[i], lists[j] = np.append(lists[i], j), np.append(lists[j], i)
         reach([i])
     return lists
@@ -276,6 +276,12 @@ def margin_of(sample: np.ndarray, centers: np.ndarray, least: float, index: Inde
     return min(half, max(needs, default=half))
 
 
+def fitted_clusters(sample: np.ndarray, rows: int, least: float, index: Index) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centroids, their regions and the guests' margin, fitted on a sample of ``rows`` vectors."""
+    centers = fit_centroids(sample, int(min(index.most_clusters, max(1, -(-rows // index.shard_rows)))), index.seed)
+    return centers, regions(centers, least), margin_of(sample, centers, least, index)
+
+
 def placed_in(x: np.ndarray, centers: np.ndarray, region: np.ndarray, margin: float | np.ndarray) -> tuple[list[int], list[list[int]]]:
     """Of unit vectors: the region of the nearest center, and all regions with a center whose plane is within ``margin``
     (one number, or one a vector)."""
@@ -309,9 +315,7 @@ def by_levels(members: DataFrame, least: float, index: Index) -> DataFrame:
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cid")
         x = unit(frame["vector"])
-        k = int(min(index.most_clusters, -(-int(frame["rows"].iloc[0]) // index.shard_rows)))
-        centers = fit_centroids(x, k, index.seed)
-        region, margin = regions(centers, least), margin_of(x, centers, least, index)
+        centers, region, margin = fitted_clusters(x, int(frame["rows"].iloc[0]), least, index)
         held = np.bincount(np.concatenate(placed_in(x, centers, region, margin)[1]))
         parts = 2 * int((held**2).sum()) < len(x) ** 2  # the comparisons that are left
         made = [(int(frame["shard"].iloc[0]), int(frame["rows"].iloc[0]), centers.tolist(), region.tolist(), margin)] if parts else []
@@ -363,9 +367,8 @@ def placed_classes(classes: DataFrame, least: float, index: Index) -> DataFrame:
     rows = chosen.select("vector").collect()  # at most index.sample rows
     length = len(rows[0]["vector"]) if rows else 0
     held = unit([r["vector"] for r in rows if len(r["vector"]) == length]) if rows else np.zeros((0, 1))
-    k = int(min(index.most_clusters, max(1, -(-n // index.shard_rows))))
-    centroids = fit_centroids(held, k, index.seed) if rows else np.zeros((1, 1))
-    shared = classes.sparkSession.sparkContext.broadcast((centroids, regions(centroids, least), margin_of(held, centroids, least, index)))  # most_clusters rows at most
+    fitted = fitted_clusters(held, n, least, index) if rows else (np.zeros((1, 1)), np.zeros(1, dtype=np.int64), 0.0)
+    shared = classes.sparkSession.sparkContext.broadcast(fitted)  # most_clusters rows at most
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centers, region, margin = shared.value
@@ -387,33 +390,48 @@ def link_classes(placed: DataFrame, least: float, index: Index) -> tuple[DataFra
     """From placed classes (cid, m, vector, home, shards): counts (cid, found), vectors linked directly, and forest edges
     (a, b)."""
     members = by_levels(placed.select("cid", "m", "vector", "home", "shards").withColumn("shard", F.explode("shards")), least, index)
-    sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
-    blocks = small_or_not(cut(sizes.select("shard", F.ceil(F.col("rows") / index.block_rows).cast("int").alias("blocks"))))
+    sizes = members.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("home") == F.col("shard")).alias("at_home"))
+    parts = F.ceil(F.greatest("at_home", F.col("rows") / 4) / index.block_rows).cast("int")
+    counted = cut(sizes.select("shard", parts.alias("blocks")))
+    blocks = small_or_not(counted)
+    many = {r["shard"]: r["blocks"] for r in counted.where("blocks > 1").collect()}  # fewer than members / block_rows
 
     def dealt(rows: DataFrame) -> DataFrame:
         """Each row to every pair of its block with a block of its shard, itself included."""
-        cells = rows.join(blocks, "shard").withColumn("block", F.pmod("cid", "blocks").cast("int"))
+        cells = rows.join(blocks, "shard")
         cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return cells.select("shard", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", *[c for c in rows.columns if c != "shard"])
+        return cells.select("shard", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *[c for c in rows.columns if c != "shard"])
 
-    pairs = dealt(members.select("shard", "cid", "m", "vector", "home", "shards"))
+    block_of = F.pmod("cid", "blocks").cast("int").alias("block")
+    pairs = dealt(members.join(blocks, "shard").select("shard", block_of, "cid", "m", "vector", "home", "shards"))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         if frame["low"].iloc[0] != frame["high"].iloc[0]:
-            return pd.DataFrame([], columns=["shard", "cid", "near"], dtype=object)
+            return pd.DataFrame([], columns=["shard", "block", "ids", "counts", "near"], dtype=object)
         frame = frame.sort_values("cid")
-        here, ids = int(frame["shard"].iloc[0]), frame["cid"].to_numpy()
-        held = [set(v.tolist()) for v in frame["shards"]]
+        ids = frame["cid"].to_numpy()
+        lists = build_graph(unit(frame["vector"]), index)
+        a, b = np.repeat(np.arange(len(ids)), [len(v) for v in lists]), np.concatenate(lists)
+        row = np.repeat(np.arange(len(ids)), [len(v) for v in frame["shards"]])
+        shard, row = np.unique(np.stack([np.concatenate(list(frame["shards"])), row]), axis=1)
         made = []
-        for i, near in enumerate(build_graph(unit(frame["vector"]), index)):
-            made.append((here, ids[i], ids[near]))
-            for shard in held[i] - {here}:  # what the graph of another shard may use
-                both = [ids[j] for j in near.tolist() if shard in held[j]]
-                if both:
-                    made.append((shard, ids[i], both))
-        return pd.DataFrame(made, columns=["shard", "cid", "near"])
-
-    edges = dealt(pairs.groupBy("shard", "low", "high").applyInPandas(build, "shard long, cid long, near array<long>"))
+        for rows in np.split(row, np.nonzero(np.diff(shard))[0] + 1):  # of each shard that shares rows
+            target = int(shard[0])
+            shard = shard[len(rows) :]
+            block = ids[rows] % many.get(target, 1)
+            for part in np.unique(block).tolist():
+                both = rows[block == part]
+                place = np.full(len(ids), -1)
+                place[both] = np.arange(len(both))
+                kept = (place[a] >= 0) & (place[b] >= 0)
+                if kept.any():  # edges whose two ends that block holds: ids, edges an id, their ends as places in ids
+                    counts = np.bincount(place[a[kept]], minlength=len(both))
+                    some = counts > 0  # edges are mutual, so every end has its own
+                    place[both] = np.cumsum(some) - 1
+                    made.append((target, part, ids[both[some]], counts[some], place[b[kept]]))
+        return pd.DataFrame(made, columns=["shard", "block", "ids", "counts", "near"])
+
+    edges = dealt(pairs.groupBy("shard", "low", "high").applyInPandas(build, "shard long, block int, ids array<long>, counts array<int>, near array<int>"))
 
     def search(frame: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
@@ -430,14 +448,15 @@ def link_classes(placed: DataFrame, least: float, index: Index) -> tuple[DataFra
             cols, rows = np.nonzero(block == base)[0], np.nonzero((block == query) & (homes == shard))[0]
             if not len(cols) or not len(rows):
                 continue
-            place = {c: i for i, c in enumerate(ids[cols].tolist())}
-            near: list[list[int]] = [[] for _ in cols]
-            for c, v in zip(lists["cid"].tolist(), lists["near"], strict=True):
-                if c in place:
-                    near[place[c]] += [place[e] for e in v.tolist() if e in place]
-            united = [np.unique(np.array(v, dtype=np.int64)) for v in near]
+            united = [np.zeros(0, dtype=np.int64)]
+            here = lists[lists["block"] == base]
+            for held, counts, near in zip(here["ids"], here["counts"], here["near"], strict=True):
+                at = np.searchsorted(ids[cols], held)
+                united.append(np.repeat(at, counts) * len(cols) + at[near])
+            pairs = np.unique(np.concatenate(united))
+            near = np.split(pairs % len(cols), np.searchsorted(pairs // len(cols), np.arange(1, len(cols))))
             entries = np.searchsorted(cols, rows) if base == query else np.full(len(rows), medoid(x[cols]))
-            for i, j in range_search(x[cols], united, entries, x[rows], least, index.keep, dense=index.dense):
+            for i, j in range_search(x[cols], near, entries, x[rows], least, index.keep, dense=index.dense):
                 hit[row_of[rows[i]], cols[j]] = True
         both = hit[:, asked]  # a link found from either end is a link of both
         hit[:, asked] = both | both.T
